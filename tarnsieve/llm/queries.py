@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 from .shared import new_folder, table
 
 
@@ -18,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, word_bpe_path())
@@ -27,6 +31,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op2_simhash": op2_simhash,
         "op7_token_files": op7_token_files,
     }
 
