@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_files
+from . import packing, pii, simhash, token_files, toxicity
 from .shared import new_folder, table
 
 
@@ -22,6 +22,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, word_bpe_path())
@@ -32,6 +41,8 @@ def queries():
     return {
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
+        "op3_pii": op3_pii,
+        "op5_toxicity": op5_toxicity,
         "op7_token_files": op7_token_files,
     }
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -34,16 +35,37 @@ class _Places(dict):
         return place
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: visible Latin-1 as itself, the rest from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class WordTokenizer:
     """Encodes texts with the tokenizer file at `path`, caching up to `cache_ids` token ids."""
 
     def __init__(self, path: str, cache_ids: int = 8_000_000):
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
+        self._whole = Tokenizer.from_file(path)
+        self._model, self._letters = self._whole.model, _byte_letters()
         self._limit = cache_ids
+        self._marks: dict[str, list[int]] = {"": []}
+        # plain words may go straight to the merges if that gives what the whole tokenizer gives
+        probes = ["the", "straße", "élevé", "señor", "tokenizer", "øre", "ÿ", "a"]
+        self._direct = all(self._word(w) == self._ids_of([w])[0] for w in probes)
         self._clear()
 
+    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._whole.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one lower-case word of Latin-1 letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(word)]
+
     def _clear(self) -> None:
         self._places = _Places()
         self._ids = np.empty(1 << 16, np.uint32)
@@ -61,39 +83,32 @@ class WordTokenizer:
             more = np.empty(known + (1 << 16), np.int64)
             self._from = np.concatenate([self._from[: self._known], more])
             self._len = np.concatenate([self._len[: self._known], more])
-        self._ids[self._used : self._used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self._from[self._known : known] = self._used + np.cumsum(lens) - lens
         self._len[self._known : known] = lens
         self._used += total
         self._known = known
 
     def _learn(self) -> None:
-        """Encodes the waiting pieces; those that are a known word in other case or with a mark need no merges."""
-        places, waiting = self._places, self._places.waiting
-        parts: list[tuple[str, str] | None] = []
-        need: dict[str, None] = {}
-        for piece in waiting:
-            if m := _PLAIN.fullmatch(piece):
-                word = m[1].lower()
-                parts.append((word, m[2]))
-                for x in (word, m[2]):
-                    if x and (x not in places or places[x] >= self._known):
-                        need[x] = None
-            else:
-                parts.append(None)
-                need[piece] = None
-        fresh = {x: e.ids for x, e in zip(need, self._encode(list(need), add_special_tokens=False))}
-
-        def ids(x: str) -> list[int]:
-            if not x:
-                return []
-            if x in fresh:
-                return fresh[x]
-            at = places[x]
-            return self._ids[self._from[at] : self._from[at] + self._len[at]].tolist()
-
-        self._put([fresh[piece] if p is None else ids(p[0]) + ids(p[1]) for piece, p in zip(waiting, parts)])
-        places.waiting = []
+        """Encodes the waiting pieces: plain words by the merges alone, others by the whole tokenizer."""
+        waiting, self._places.waiting = self._places.waiting, []
+        found: list = [None] * len(waiting)
+        others = []
+        for k, piece in enumerate(waiting):
+            m = _PLAIN.fullmatch(piece) if self._direct else None
+            if m is None:
+                others.append(k)
+                continue
+            word, mark = m.groups()
+            ids = self._word(word.lower())
+            if mark:
+                if mark not in self._marks:
+                    self._marks[mark] = self._ids_of([mark])[0]
+                ids += self._marks[mark]
+            found[k] = ids
+        for k, ids in zip(others, self._ids_of([waiting[k] for k in others])):
+            found[k] = ids
+        self._put(found)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
