@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, token_files, toxicity
+from . import packing, pii, quality, simhash, substrings, token_files, toxicity
 from .shared import new_folder, table
 
 
@@ -31,6 +32,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(len(ws) - 19)) AS i, ws FROM d WHERE len(ws) >= 20),
+named AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 20), ' ') AS k FROM win),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM named) t WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM (SELECT doc_id, i, unnest(range(20)) AS o FROM later) t),
+words AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM d),
+kept AS (SELECT words.doc_id, string_agg(w, ' ' ORDER BY words.pos) AS t, COUNT(*) AS n
+         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos WHERE gone.pos IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, word_bpe_path())
@@ -43,9 +67,13 @@ def queries():
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
         "op5_toxicity": op5_toxicity,
+        "op6_substrings": op6_substrings,
         "op7_token_files": op7_token_files,
+        "op8_quality": op8_quality,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op6_substrings": OP6_SQL,
+    }
