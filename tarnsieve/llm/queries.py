@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash, substrings, token_files, toxicity
+from . import decontaminate, packing, pii, quality, simhash, substrings, token_files, toxicity
 from .shared import new_folder, table
 
 
@@ -27,6 +27,29 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+OP4_SQL = r"""
+WITH lowered AS (SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+worded AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+items AS (SELECT id, ws, least(len(ws), 10) AS size FROM worded WHERE side = 'b' AND len(ws) > 0),
+spots AS (SELECT id, ws, size, unnest(range(len(ws) - size + 1)) AS i FROM items),
+wins AS (SELECT DISTINCT id, size, array_to_string(list_slice(ws, i + 1, i + size), ' ') AS run FROM spots),
+sizes AS (SELECT DISTINCT size FROM wins),
+places AS (SELECT d.id, d.ws, s.size, unnest(range(len(d.ws) - s.size + 1)) AS i FROM worded d, sizes s WHERE d.side = 'd' AND len(d.ws) >= s.size),
+runs AS (SELECT id, size, i, array_to_string(list_slice(ws, i + 1, i + size), ' ') AS run FROM places),
+hits AS (SELECT r.id, r.i, r.size, w.id AS item FROM runs r JOIN wins w ON w.run = r.run AND w.size = r.size),
+covered AS (SELECT id, COUNT(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + size)) AS p FROM hits) t GROUP BY id),
+found AS (SELECT id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM hits) t GROUP BY id)
+SELECT d.id AS doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded d LEFT JOIN covered c ON c.id = d.id LEFT JOIN found f ON f.id = d.id WHERE d.side = 'd'
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -66,6 +89,7 @@ def queries():
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
+        "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
         "op6_substrings": op6_substrings,
         "op7_token_files": op7_token_files,
@@ -75,5 +99,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_decontamination": OP4_SQL,
         "op6_substrings": OP6_SQL,
     }
