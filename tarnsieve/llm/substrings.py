@@ -77,14 +77,20 @@ def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     text_of = np.searchsorted(text_ends, starts, "right")
     n = len(starts) - window + 1
     if n <= 0:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    words = _rolled(data.astype(_U) + _U(1), starts, ends, _byte_powers)
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int32)
+    words = np.empty(len(starts), _U)
+    # a megabyte of whole words at a time: the sums take several times a text's memory
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+        if b > a:
+            low, high = starts[a], ends[b - 1]
+            words[a:b] = _rolled(data[low:high].astype(_U) + _U(1), starts[a:b] - low, ends[a:b] - low, _byte_powers)
     at = np.arange(n)
     hashes = _rolled(words, at, at + window, _word_powers)
     first_word = np.searchsorted(text_of, np.arange(len(texts)))
     whole = text_of[:n] == text_of[window - 1 :]
     of = text_of[:n][whole]
-    return hashes[whole], of, at[whole] - first_word[of]
+    return hashes[whole], of, (at[whole] - first_word[of]).astype(np.int32)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -108,7 +114,7 @@ def pack_places(docs: np.ndarray, positions: np.ndarray) -> bytes:
     """Places sorted by document, then position; runs of a document name it once."""
     first = np.concatenate([[True], docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, bool)
     starts = np.flatnonzero(first)
-    gaps = np.diff(positions, prepend=0).astype(np.int32)
+    gaps = np.diff(positions, prepend=np.int32(0)).astype(np.int32)
     gaps[starts] = positions[starts]
     counts = np.diff(np.concatenate([starts, [len(docs)]])).astype(np.int32)
     return _pack(np.diff(docs[starts].view(_U), prepend=_U(0))) + _pack(counts) + _pack(gaps)
@@ -121,7 +127,7 @@ def unpack_places(blob: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray, int
     starts = np.cumsum(counts) - counts
     sums = np.cumsum(gaps, dtype=np.int64)
     before = np.concatenate([[0], sums])[starts]
-    return np.repeat(np.cumsum(ids).view(np.int64), counts), sums - np.repeat(before, counts), at
+    return np.repeat(np.cumsum(ids).view(np.int64), counts), (sums - np.repeat(before, counts)).astype(np.int32), at
 
 
 def xxhash64_of_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -149,8 +155,9 @@ def _by_bucket(buckets: np.ndarray):
 
 def _send(hashes, docs, positions, bits: int):
     """(bucket, payload) rows of one batch of windows."""
-    order = np.lexsort((positions, docs))  # texts come in any order of ids
-    hashes, docs, positions = hashes[order], docs[order], positions[order]
+    if (docs[1:] < docs[:-1]).any():  # texts come in any order of ids
+        order = np.lexsort((positions, docs))
+        hashes, docs, positions = hashes[order], docs[order], positions[order]
     by_hash = np.argsort(hashes, kind="stable")
     same = np.concatenate([[False], hashes[by_hash][1:] == hashes[by_hash][:-1]])
     first_of = by_hash[np.maximum.accumulate(np.where(same, 0, np.arange(len(by_hash))))]
@@ -199,11 +206,11 @@ def intervals(positions: np.ndarray, window: int) -> np.ndarray:
     return np.stack([positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [-1]])] + window], axis=1)
 
 
-def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, the removed word intervals and the kept text
     (its words joined by single spaces)."""
     spark = documents.sparkSession
-    bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length()
+    bits = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length()
     buckets = 1 << bits
     docs = id_and_text(documents, id_col, text_col)
     rows = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -225,7 +232,7 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
             for i in range(len(ids)):
                 texts.append((column[i].as_py() or "").encode())
                 size += len(texts[-1])
-                if size > 4_000_000 or i + 1 == len(ids):
+                if size > 2_000_000 or i + 1 == len(ids):
                     hashes, of, positions = windows(texts, window)
                     held.append((hashes, ids[first + of], positions))
                     count += len(hashes)
