@@ -45,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Encodes texts with the tokenizer file at `path`, caching up to `cache_ids` token ids."""
 
-    def __init__(self, path: str, cache_ids: int = 2_000_000):
+    def __init__(self, path: str, cache_ids: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
