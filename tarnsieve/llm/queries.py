@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, substrings, token_files, toxicity
+from . import decontaminate, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity
 from .shared import new_folder, table
 
 
@@ -84,6 +84,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -94,6 +98,7 @@ def queries():
         "op6_substrings": op6_substrings,
         "op7_token_files": op7_token_files,
         "op8_quality": op8_quality,
+        "op10_secrets": op10_secrets,
     }
 
 
