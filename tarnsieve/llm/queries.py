@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity
+from . import decontaminate, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity, warc
 from .shared import new_folder, table
 
 
@@ -84,6 +84,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")), folder)
+    found = warc.read_derivatives(spark, folder).withColumnRenamed("source_id", "page_id")
+    return found.select("page_id", "url", "response_id", "metadata_id", "conversion_id", "payload_digest", "text_digest", "title", F.size("links").cast("long").alias("n_links"), F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -98,6 +105,7 @@ def queries():
         "op6_substrings": op6_substrings,
         "op7_token_files": op7_token_files,
         "op8_quality": op8_quality,
+        "op9_warc": op9_warc,
         "op10_secrets": op10_secrets,
     }
 
