@@ -58,3 +58,15 @@ def store(uri: str):
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
+
+
+def without(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1_000_000) -> DataFrame:
+    """documents but for those whose id is in `removed` (a column of the same name); a row without an id stays.
+
+    Up to `most_broadcast` ids (8 bytes each) are counted and broadcast, so texts aren't shuffled;
+    more are joined by a shuffle.
+    """
+    ids = written(removed.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "removed")
+    if ids.count() <= most_broadcast:
+        ids = F.broadcast(ids)
+    return documents.join(ids, id_col, "left_anti").select(documents.columns)

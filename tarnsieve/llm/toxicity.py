@@ -213,3 +213,15 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3, id_col: st
 
     scored = id_and_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is under the threshold."""
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        table = model.table()
+        for batch in batches:
+            yield batch.filter(pa.array([model(t, table) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -104,7 +104,7 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def members(source, step: int = 1 << 20):
+def members(source, step: int = 1 << 16):
     """(offset, length, headers, block) of a file's records, holding one record at a time."""
     at, held, end = 0, b"", False
     unpacker, out, used = zlib.decompressobj(31), [], 0
