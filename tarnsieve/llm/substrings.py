@@ -97,7 +97,7 @@ def _pack(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     import zstandard
 
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
     blob = zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
     return np.array([len(values), len(blob)], "<u4").tobytes() + blob
 
