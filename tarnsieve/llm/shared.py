@@ -1,51 +1,17 @@
-"""Tables and the folder that the driver and all executors share."""
+"""Tables, ids and stores, as all operators of this subpackage use them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsieve.storage import new_folder, written  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder which driver and executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarnsieve-"))
-            root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_root(spark)}/tarnsieve/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there and a lost
-    executor costs nothing that was written.  `remove_folders` clears what is no longer needed."""
-    folder = new_folder(df.sparkSession, tag)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def remove_folders(spark: SparkSession) -> None:
-    """Deletes everything that this library has written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/tarnsieve")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id, as long, and the whole text, under the names that the operators use."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
