@@ -132,18 +132,17 @@ def _chosen(counted: DataFrame, n_pos: int, n_neg: int, per_slice: int, slices:
     return counted.repartition(slices, "slice").mapInArrow(choose, "feature int, r double")
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Newton steps, each solved by conjugate gradients, for log loss + l2/2 |w|^2."""
-    lens = np.array([len(r) for r in rows])
-    col = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lens)
-    value = scale[col]
+def _logistic(lens: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, rounds: int = 10) -> tuple[np.ndarray, float]:
+    """Newton steps, each solved by conjugate gradients, for log loss + l2/2 |w|^2.  Row i has the next
+    lens[i] of the features `col`; feature j has the value scale[j] wherever it occurs."""
+    n = len(lens)
+    row = np.repeat(np.arange(n, dtype=np.int32), lens)
 
     def times(w):
-        return np.bincount(row, value * w[col], len(rows))
+        return np.bincount(row, (scale * w)[col], n)
 
     def back(u):
-        return np.bincount(col, value * u[row], len(scale))
+        return scale * np.bincount(col, u[row], len(scale))
 
     w, b = np.zeros(len(scale)), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     for _ in range(rounds):
@@ -152,8 +151,8 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: floa
         x, xb, r, rb = np.zeros_like(w), 0.0, -gw, -gb
         q, qb, rr = r.copy(), rb, float(r @ r + rb * rb)
         first = rr
-        for _ in range(30):
-            if rr < 1e-4 * first or rr < 1e-12:
+        for _ in range(20):
+            if rr < 1e-3 * first or rr < 1e-12:
                 break
             u = d * (times(q) + qb)
             hq, hb = back(u) + l2 * q, float(u.sum())
@@ -172,7 +171,7 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 16_384, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 4096, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -197,8 +196,12 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_r
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "found"])
 
     rows = train.mapInArrow(kept, "label int, found binary").toArrow()
-    ids = [np.searchsorted(features, np.frombuffer(x.as_py(), np.int32)) for x in rows.column("found")]
-    weights, bias = _logistic(ids, rows.column("label").to_numpy().astype(float), scale, l2)
+    found = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.empty(0, np.int32) for x in rows.column("found")]
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    col = np.searchsorted(features, np.concatenate(found)).astype(np.int32)
+    y = rows.column("label").to_numpy().astype(float)
+    del rows, found
+    weights, bias = _logistic(lens, col, y, scale, l2)
     return Model(bias, features, weights.astype(np.float32))
 
 
