@@ -210,8 +210,10 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
     """Per document: doc_id, n_words, n_removed, the removed word intervals and the kept text
     (its words joined by single spaces)."""
     spark = documents.sparkSession
-    bits = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length()
-    buckets = 1 << bits
+    # about as many buckets of documents as the session has shuffle partitions, and twice as many of
+    # hashes; a bucket of hashes sends each bucket of documents at most one row
+    doc_bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length()
+    doc_buckets, bits = 1 << doc_bits, doc_bits + 1
     docs = id_and_text(documents, id_col, text_col)
     rows = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -255,7 +257,7 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
         ids, positions = np.concatenate([ids[late], marked_ids]), np.concatenate([positions[late], marked_positions])
         order = np.lexsort((positions, ids))
         ids, positions = ids[order], positions[order]
-        to = (xxhash64_of_long(ids) & _U(buckets - 1)).astype(np.int64)
+        to = (xxhash64_of_long(ids) & _U(doc_buckets - 1)).astype(np.int64)
         found = [(b, pack_places(ids[part], positions[part])) for b, part in _by_bucket(to)]
         if found:
             yield batch_of(found)
@@ -291,8 +293,8 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()))], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    marked = docs.mapInArrow(hash_windows, "bucket int, payload binary").repartitionById(buckets, "bucket").mapInArrow(mark, "bucket int, payload binary")
-    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(buckets)).cast("int")
+    marked = docs.mapInArrow(hash_windows, "bucket int, payload binary").repartitionById(1 << bits, "bucket").mapInArrow(mark, "bucket int, payload binary")
+    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(doc_buckets)).cast("int")
     both = docs.select(own.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload")).unionByName(marked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    met = both.repartitionById(buckets, "bucket").sortWithinPartitions("kind")
+    met = both.repartitionById(doc_buckets, "bucket").sortWithinPartitions("kind")
     return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
