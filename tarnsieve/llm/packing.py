@@ -66,7 +66,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_
     def cut(batches):
         encode = tokenizer(tokenizer_path).encode
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
+            names, texts = batch.column(0), batch.column(1)
             for first, run in blocks(texts):
                 ids, lens = with_end(*encode(run), end_id)
                 n = -(-lens // capacity)  # every text has its end id, so one piece at least

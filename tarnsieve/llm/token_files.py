@@ -163,7 +163,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
     def write(batches):
         encode, writer, out = tokenizer(tokenizer_path).encode, None, None
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
             for first, run in blocks(texts):
                 if writer is None:
                     part = TaskContext.get().partitionId()

@@ -43,9 +43,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Encodes texts with the tokenizer file at `path`, caching up to `cache_ids` token ids."""
+    """Encodes texts with the tokenizer file at `path`, caching about `cache_ids` token ids at most; then
+    the cache starts anew."""
 
-    def __init__(self, path: str, cache_ids: int = 4_000_000):
+    def __init__(self, path: str, cache_ids: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
@@ -144,18 +145,20 @@ def tokenizer(path: str) -> WordTokenizer:
     return _made[path]
 
 
-def blocks(texts: list[str | None], most_chars: int = 2_000_000):
-    """(first, texts) of runs of texts of about `most_chars` characters; a null text is empty."""
-    run: list[str] = []
-    first = chars = 0
-    for i, text in enumerate(texts):
-        run.append(text or "")
-        chars += len(run[-1])
-        if chars >= most_chars:
-            yield first, run
-            run, first, chars = [], i + 1, 0
-    if run:
-        yield first, run
+def blocks(column, most_bytes: int = 500_000):
+    """(first, texts) of runs of an Arrow column of texts, about `most_bytes` each, so that only one run
+    exists as Python strings; a null text is empty."""
+    import pyarrow.compute as pc
+
+    if not len(column):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+        yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
+        first = last
 
 
 def with_end(ids: np.ndarray, per_text: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

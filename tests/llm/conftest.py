@@ -32,4 +32,4 @@ def odd():
 
 @pytest.fixture(scope="session")
 def real(spark, sf):
-    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    return [(r["doc_id"] + 5000, r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

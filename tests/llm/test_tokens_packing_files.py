@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def test_word_cache_equals_library(bpe, real, odd, encode):
     assert fast._direct
     for _ in range(2):  # the second time from the cache
         got = []
-        for _, run in blocks(texts, 5000):
+        for _, run in blocks(pa.array(texts, pa.string()), 5000):
             ids, lens = fast.encode(run)
             got += [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
         assert got == [encode(t)[:-1] for t in texts]
