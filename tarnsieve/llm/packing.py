@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_and_text
-from .tokens import END_ID, blocks, crc32, tokenizer, with_end
+from .tokens import END_ID, blocks, crc32, tokenizer
 
 
 class CapacityTree:
@@ -68,7 +68,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for first, run in blocks(texts):
-                ids, lens = with_end(*encode(run), end_id)
+                ids, lens = encode(run, end_id)
                 n = -(-lens // capacity)  # every text has its end id, so one piece at least
                 doc = np.repeat(np.arange(len(run)), n)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity

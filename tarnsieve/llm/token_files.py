@@ -31,35 +31,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import id_and_text, store
-from .tokens import END_ID, blocks, tokenizer, with_end
+from .tokens import END_ID, blocks, tokenizer
 
 MAGIC = b"TSBP1\n"
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
     """mode "byte": 4 planes of a byte an id; "bit": 32 planes of a bit an id.  Planes of zeros are empty."""
-    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    ids = np.ascontiguousarray(ids, np.uint32)
+    used = int(np.bitwise_or.reduce(ids)) if len(ids) else 0
     if mode == "byte":
-        planes = list(raw.T)
-    else:
-        bits = np.unpackbits(raw, axis=1, bitorder="little")
-        planes = list(np.packbits(bits.T, axis=1, bitorder="little"))
-    return [p.tobytes() if p.any() else b"" for p in planes]
+        return [(ids >> np.uint32(8 * k)).astype(np.uint8).tobytes() if used >> 8 * k & 255 else b"" for k in range(4)]
+    return [np.packbits((ids >> np.uint32(k) & np.uint32(1)).astype(bool), bitorder="little").tobytes() if used >> k & 1 else b"" for k in range(32)]
 
 
 def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
-    if mode == "byte":
-        raw = np.zeros((n, 4), np.uint8)
-        for k, p in enumerate(planes):
-            if p:
-                raw[:, k] = np.frombuffer(p, np.uint8)
-    else:
-        bits = np.zeros((n, 32), np.uint8)
-        for k, p in enumerate(planes):
-            if p:
-                bits[:, k] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-        raw = np.packbits(bits, axis=1, bitorder="little")
-    return raw.reshape(-1).view("<u4")
+    ids = np.zeros(n, np.uint32)
+    for k, p in enumerate(planes):
+        if p:
+            part = np.frombuffer(p, np.uint8) if mode == "byte" else np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
+            ids |= part.astype(np.uint32) << np.uint32(8 * k if mode == "byte" else k)
+    return ids
 
 
 class ShardWriter:
@@ -70,8 +62,8 @@ class ShardWriter:
 
         self.out, self.mode, self.chunk_ids = out, mode, chunk_ids
         self.compress = zstandard.ZstdCompressor(level=level).compress
-        self.at, self.chunks, self.docs, self.lens, self.rest = 0, [], [], [], np.empty(0, np.uint32)
-        self.nulls = self.ids = 0
+        self.at, self.chunks, self.docs, self.lens, self.rest = 0, [], [], [], []
+        self.nulls = self.ids = self.held = 0
         self._write(MAGIC)
 
     def _write(self, data: bytes) -> None:
@@ -83,10 +75,14 @@ class ShardWriter:
         self.docs.append(np.array([d or 0 for d in docs], np.int64))
         self.lens.append(np.asarray(lens, np.int64))
         self.ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids])
-        while len(self.rest) >= self.chunk_ids:
-            self._chunk(self.rest[: self.chunk_ids])
-            self.rest = self.rest[self.chunk_ids :]
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= self.chunk_ids:
+            whole = np.concatenate(self.rest)
+            done = len(whole) // self.chunk_ids * self.chunk_ids
+            for at in range(0, done, self.chunk_ids):
+                self._chunk(whole[at : at + self.chunk_ids])
+            self.rest, self.held = [whole[done:]], len(whole) - done
 
     def _chunk(self, ids: np.ndarray) -> None:
         offset = self.at
@@ -95,8 +91,8 @@ class ShardWriter:
         self._write(b"".join(planes))
 
     def close(self) -> dict:
-        if len(self.rest):
-            self._chunk(self.rest)
+        if self.held:
+            self._chunk(np.concatenate(self.rest))
         docs, lens = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.docs, self.lens))
         table = [self.at]
         for column in (docs, lens):
@@ -172,7 +168,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(f"{path}/{name}")
                     writer = ShardWriter(out, mode, chunk_ids, level)
-                writer.add(names[first : first + len(run)], *with_end(*encode(run), end_id))
+                writer.add(names[first : first + len(run)], *encode(run, end_id))
         if writer is not None:
             about = writer.close()
             out.close()

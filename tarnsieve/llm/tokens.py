@@ -19,6 +19,9 @@ import numpy as np
 #: What ends a document in the written and packed token streams.
 END_ID = 2
 
+#: Stands for a text's end among its pieces; no piece holds a line end.
+_END = "\n"
+
 #: A word of Latin-1 letters with at most one mark behind it: case and mark are independent of it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
@@ -53,6 +56,7 @@ class WordTokenizer:
         self._model, self._letters = self._whole.model, _byte_letters()
         self._limit = cache_ids
         self._marks: dict[str, list[int]] = {"": []}
+        self._end_id: int | None = None
         # plain words may go straight to the merges if that gives what the whole tokenizer gives
         probes = ["the", "straße", "élevé", "señor", "tokenizer", "øre", "ÿ", "a"]
         self._direct = all(self._word(w) == self._ids_of([w])[0] for w in probes)
@@ -90,13 +94,16 @@ class WordTokenizer:
         self._used += total
         self._known = known
 
-    def _learn(self) -> None:
+    def _learn(self, end_id: int | None) -> None:
         """Encodes the waiting pieces: plain words by the merges alone, others by the whole tokenizer."""
         waiting, self._places.waiting = self._places.waiting, []
         found: list = [None] * len(waiting)
         others = []
         for k, piece in enumerate(waiting):
             m = _PLAIN.fullmatch(piece) if self._direct else None
+            if piece == _END:
+                found[k] = [end_id]
+                continue
             if m is None:
                 others.append(k)
                 continue
@@ -111,19 +118,22 @@ class WordTokenizer:
             found[k] = ids
         self._put(found)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and how many each text has."""
-        if self._used > self._limit:
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has; with `end_id` behind each, if given."""
+        if self._used > self._limit or end_id != self._end_id:
             self._clear()
+            self._end_id = end_id
         pieces: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             had = len(pieces)
             pieces += text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            if end_id is not None:
+                pieces.append(_END)
             counts[i] = len(pieces) - had
         at = np.fromiter(map(self._places.__getitem__, pieces), np.int64, len(pieces))
         if self._places.waiting:
-            self._learn()
+            self._learn(end_id)
         lens = self._len[at]
         ends = np.cumsum(lens)
         take = np.repeat(self._from[at] - (ends - lens), lens)
@@ -161,12 +171,6 @@ def blocks(column, most_bytes: int = 500_000):
         first = last
 
 
-def with_end(ids: np.ndarray, per_text: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with `end_id` behind each text."""
-    ends = np.cumsum(per_text)
-    return np.insert(ids, ends, end_id), per_text + 1
-
-
 def crc32(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

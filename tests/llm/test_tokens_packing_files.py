@@ -38,6 +38,14 @@ def test_word_cache_equals_library(bpe, real, odd, encode):
         assert got == [encode(t)[:-1] for t in texts]
 
 
+def test_end_ids(bpe, encode):
+    fast = WordTokenizer(bpe)
+    for end in (2, 3, None, 2):
+        ids, lens = fast.encode(["a\nb", "", "c"], end)
+        want = [encode(t)[:-1] + [end] * (end is not None) for t in ("a\nb", "", "c")]
+        assert ids.tolist() == sum(want, []) and lens.tolist() == [len(w) for w in want]
+
+
 def test_full_cache_is_cleared(bpe, encode):
     small = WordTokenizer(bpe, cache_ids=10)
     for text in ("one two three four five six seven", "eight nine ten eleven twelve", "one two nine"):
