@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnsieve.llm import decontaminate, packing, secrets, simhash, toxicity
 from tarnsieve.llm.queries import word_bpe_path
-from tarnsieve.llm.shared import new_folder, table, without
+from tarnsieve.llm.shared import new_folder, table, text_batches, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     classes = simhash.near_duplicates(docs)
     return without(docs, classes.where(F.col("doc_id") != F.col("component_id")))
 
@@ -37,6 +38,7 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return packing.pack(docs, word_bpe_path())
 
 

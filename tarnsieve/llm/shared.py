@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from tarnsieve.storage import new_folder, written  # noqa: F401  the operators take them from here
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that a Python worker gets at once, unless the session has its own number: Spark's default of
+    10,000 whole texts takes tens of megabytes in the worker and again beside the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

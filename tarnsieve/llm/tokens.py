@@ -49,7 +49,7 @@ class WordTokenizer:
     """Encodes texts with the tokenizer file at `path`, caching about `cache_ids` token ids at most; then
     the cache starts anew."""
 
-    def __init__(self, path: str, cache_ids: int = 2_000_000):
+    def __init__(self, path: str, cache_ids: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
