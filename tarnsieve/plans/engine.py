@@ -27,6 +27,7 @@ class Engine:
         self.spark = spark
         self.catalog = SnapshotTable(spark, f"{location}/files", schema.CATALOG)
         self.rules_table = SnapshotTable(spark, f"{location}/rules", schema.RULES)
+        self.plan_table = SnapshotTable(spark, f"{location}/plan", schema.PLAN)
 
     # -- scan
 
@@ -95,6 +96,29 @@ class Engine:
     def suggest(self, root: str, actions: DataFrame | None = None, keep: str = "code") -> DataFrame:
         return policy.suggest(groups.duplicates(self.files(root)), self.rules(), actions, keep)
 
+    def folders_to_rank(self, root: str, actions: DataFrame | None = None) -> list[tuple[str, bool]]:
+        """The list that a person puts in order: folders of live groups, those ranked before first."""
+        listed = policy.prefill(policy.live_folders(groups.duplicates(self.files(root)), actions), self.rules())
+        return [(r["dir"], r["recursive"]) for r in listed.orderBy(*policy.prefill_order()).toLocalIterator()]
+
+    def arm(self, plan: DataFrame) -> DataFrame:
+        """Keeps a plan as the manifest to be confirmed and returns it as it was kept."""
+        self.plan_table.publish(plan)
+        return self.plan_table.read()
+
+    def disarm(self) -> None:
+        """Drops the manifest."""
+        self.plan_table.publish(self.spark.createDataFrame([], schema.PLAN))
+
+    def delete(self, path: str, root: str, trash: str, actions: DataFrame | None = None, confirm: bool = False) -> DataFrame:
+        """Removes one file of a group, unless it is the group's last: (path, removed, error)."""
+        dups = groups.duplicates(self.files(root))
+        row = policy.can_delete(dups, actions).where(F.col("path") == path).select("can_delete").first()
+        if row is None or not row["can_delete"]:
+            why = "not in a group of copies" if row is None else "removed already, or the last copy of its group"
+            return self.spark.createDataFrame([(path, False, why)], "path string, removed boolean, error string")
+        return self.apply(dups.where(F.col("path") == path), root, trash, actions, confirm)
+
     def apply(self, plan: DataFrame, root: str, trash: str, actions: DataFrame | None = None, confirm: bool = False) -> DataFrame:
         """Moves the planned files to the folder `trash` and returns (path, removed, error).
 

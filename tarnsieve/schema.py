@@ -30,6 +30,9 @@ CATALOG = _fields(
 #: A folder-priority rule; the lowest rank is kept first, rule_seq settles equal ones.
 RULES = _fields(("path", _S, False), ("recursive", T.BooleanType(), False), ("rank", T.IntegerType(), False), ("rule_seq", T.IntegerType(), False))
 
+#: A planned removal.
+PLAN = _fields(("full_hash", _S, False), ("path", _S, False), ("size", _L, False), ("dir", _S, False), ("name", _S, False), ("why", _S, False))
+
 #: A content hash, or the error met while reading.
 HASHED = _fields(("path", _S, False), ("hash", _S, True), ("error", _S, True))
 

@@ -116,6 +116,15 @@ def test_suggest_and_apply(spark, library, tmp_path):
     done = engine.apply(plan, str(library), str(tmp_path / "trash"), actions, confirm=True).collect()
     assert {os.path.relpath(r["path"], library) for r in done if r["removed"]} == {"a/one.txt", ".hidden/_u.PDF"}
     assert (library / "a" / "empty.pdf").exists() and sorted(os.listdir(tmp_path / "trash")) == ["_u.PDF", "one.txt"]
+    # one file at a time: never the last, never one without copies
+    last = engine.delete(str(library / "a" / "empty.pdf"), str(library), str(tmp_path / "trash"), actions, confirm=True).first()
+    assert not last["removed"] and "last copy" in last["error"]
+    assert "not in a group" in engine.delete(str(library / "b" / "c" / "other.jpg"), str(library), str(tmp_path / "trash"), confirm=True).first()["error"]
+    assert engine.delete(str(library / "a" / "empty.pdf"), str(library), str(tmp_path / "trash"), confirm=True).first()["removed"]
+    assert engine.arm(plan).count() == 3 and engine.plan_table.read().count() == 3
+    engine.disarm()
+    assert engine.plan_table.read().count() == 0
+    assert engine.folders_to_rank(str(library)) == [(str(library / "b"), True), (str(library / "a"), False), (str(library / ".hidden"), False), (str(library / "b" / "c"), False)]
     engine.save_rules([(str(library / "a"), True)])
     assert {(os.path.basename(r["path"]), r["recursive"], r["rank"]) for r in engine.rules().collect()} == {("a", True, 0), ("b", True, 0)}
 
