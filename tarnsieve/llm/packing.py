@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_and_text
-from .tokens import END_ID, blocks, crc32, tokenizer
+from .tokens import CACHE_IDS, END_ID, blocks, crc32, tokenizer
 
 
 class CapacityTree:
@@ -58,13 +58,13 @@ class CapacityTree:
             self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID, keep_ids: bool = False, cache_ids: int = CACHE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids, if kept)."""
     fields = [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [pa.field("ids", pa.list_(pa.int32()))] * keep_ids
     schema = pa.schema(fields)
 
     def cut(batches):
-        encode = tokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path, cache_ids).encode
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for first, run in blocks(texts):
@@ -83,15 +83,16 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_
     return id_and_text(documents, id_col, text_col).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID, group_docs: int = 8192, n_groups: int | None = None, seed: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = END_ID, group_docs: int = 8192, n_groups: int | None = None, seed: int = 1, keep_ids: bool = False, cache_ids: int = CACHE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with the sequence_id they are packed into and their offset there.
 
     n_groups: by default the documents are counted for it, which for files costs their footers only.
-    keep_ids: carry the ids along, for `sequences`.
+    keep_ids: carry the ids along, for `sequences`.  cache_ids: a smaller word cache saves memory in the
+    workers, which then tokenize more slowly.
     """
     if n_groups is None:
         n_groups = max(1, math.ceil(documents.count() / group_docs))
-    found = pieces(documents, tokenizer_path, capacity, end_id, keep_ids, id_col, text_col)
+    found = pieces(documents, tokenizer_path, capacity, end_id, keep_ids, cache_ids, id_col, text_col)
     order = F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed))
     grouped = found.withColumn("_order", order).withColumn("_group", F.pmod("_order", F.lit(n_groups)))
     # about the same amount of each group meets in each task; a task holds several groups

@@ -19,6 +19,9 @@ import numpy as np
 #: What ends a document in the written and packed token streams.
 END_ID = 2
 
+#: Token ids that a worker's cache holds: some 40 bytes each with the words they belong to.
+CACHE_IDS = 3_000_000
+
 #: Stands for a text's end among its pieces; no piece holds a line end.
 _END = "\n"
 
@@ -49,7 +52,7 @@ class WordTokenizer:
     """Encodes texts with the tokenizer file at `path`, caching about `cache_ids` token ids at most; then
     the cache starts anew."""
 
-    def __init__(self, path: str, cache_ids: int = 3_000_000):
+    def __init__(self, path: str, cache_ids: int = CACHE_IDS):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
@@ -142,17 +145,18 @@ class WordTokenizer:
         return self._ids[take], per_text
 
 
-_made: dict[str, WordTokenizer] = {}
+_made: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cache_ids: int = CACHE_IDS) -> WordTokenizer:
     """This Python worker's tokenizer; its cache stays from task to task."""
-    if path not in _made:
+    if (path, cache_ids) not in _made:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _made[path] = WordTokenizer(path)
-    return _made[path]
+        _made.clear()  # one cache in a worker
+        _made[path, cache_ids] = WordTokenizer(path, cache_ids)
+    return _made[path, cache_ids]
 
 
 def blocks(column, most_bytes: int = 500_000):
