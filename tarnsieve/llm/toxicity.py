@@ -45,7 +45,9 @@ class Model:
     def __call__(self, text: str | None, table: np.ndarray) -> float:
         if self.constant:
             return self.bias
-        total = self.bias + float(table[_kept(text, table != 0)].sum(dtype=np.float64))
+        found = [g[table[g] != 0] for g in _grams(text)]
+        once = np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+        total = self.bias + float(table[once].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
