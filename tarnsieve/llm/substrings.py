@@ -10,8 +10,8 @@
    id, then position; the marks go, packed again, to buckets of documents.
 4. There they meet the texts, and marked windows merge into maximal intervals, which are removed.
 
-A batch or bucket, not a key, is what a task holds; nothing is collected.  Two different windows
-share a hash with a chance of 2^-62 or less a pair.
+A batch or bucket, not a key, is what a task holds; nothing is collected.  Windows count as equal if
+the 56 sent bits and the bucket's own are; there is no comparison of the words behind them.
 
 Nulls and ties: a null text has no words; texts shorter than a window lose nothing; a null id comes
 before all others.  An id names one document: rows that repeat it share their marks, and windows at
