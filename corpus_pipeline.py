@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage is one operator of tarnsieve.llm, applied to what the one before kept.
 
-Toxic documents go, one document of each near-duplicate group stays (the one of least id), documents
-with benchmark passages go, documents with secrets go, and the rest is packed into sequences.
+Toxic documents go, one document of each near-duplicate group (five-word shingles,
+Jaccard similarity 0.8 or more) stays, the one of least id, documents with benchmark passages go,
+documents with secrets go, and the rest is packed into sequences.
 Every stage's result is written as Parquet to the shared folder and read again.
 
 A row without an id is judged by the toxicity stage and otherwise kept; rows that repeat an id share
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsieve.llm import decontaminate, packing, secrets, simhash, toxicity
+from tarnsieve.llm import decontaminate, near, packing, secrets, toxicity
 from tarnsieve.llm.queries import word_bpe_path
 from tarnsieve.llm.shared import new_folder, table, text_batches, without
 
@@ -24,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    classes = simhash.near_duplicates(docs)
+    classes = near.near_duplicates(docs)
     return without(docs, classes.where(F.col("doc_id") != F.col("component_id")))
 
 
