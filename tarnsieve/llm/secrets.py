@@ -1,14 +1,17 @@
 """Secret scans: patterns of known shapes, and a battery of randomness tests for other tokens.
 
 Base kinds (assign, access, hex) are leftmost non-overlapping matches of their patterns which pass
-their length check; they are always reported.  Kind `random` is added for runs of 20 to 512
-token characters that overlap no base span and pass the battery:
+their length check; they are always reported.  Kind `random` is added for runs of 20 or more
+token characters, however long, that overlap no base span and pass the battery:
 
-* the encoding is inferred from the characters (hex in one case, base32, base36, base64); runs of
+* the encoding is inferred from the characters (hex in one case, base32, base36, base62, base64 of
+  either sign pair, or all of these mixed), without `=` at the end; a run that is the base64 of a text (as keys
+  in configuration files are) is judged by the longest run in that text; runs of
   letters alone in one case, of digits alone, or of one class of characters are no candidates;
 * chi-squared uniformity over that alphabet: how likely characters distributed as in natural words
   and identifiers would look as uniform as the token does (their sum of squared shares and its
   spread give the null distribution; its distance from the uniform one grows with the length);
+  from 8 characters a letter on, letters with under a quarter of their share are not in use;
 * class changes (lower case, upper case, digit, sign): how likely an identifier would change as often;
 * runs above and below the middle of the alphabet, and serial correlation of neighbouring ranks: a
   sequence such as abc..., 0123... or a repeated pattern is dismissed if either rejects randomness;
@@ -40,6 +43,8 @@ _HEX = r"[0-9a-f]{16,}"
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
 # Fixed values for each encoding: name, alphabet in order, pattern of the whole token, and for
 # characters of natural words and identifiers written in it: sum of squared and of cubed shares.
 ENCODINGS = (
@@ -47,10 +52,15 @@ ENCODINGS = (
     ("HEX", "0123456789ABCDEF", r"^[0-9A-F]+$", 0.15, 0.03),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$", 0.066, 0.0058),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", r"^[a-z0-9]+$", 0.066, 0.0058),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", r"^.*$", 0.06, 0.005),
+    ("base62", _LETTERS, r"^[A-Za-z0-9]+$", 0.06, 0.005),
+    ("base64", _LETTERS + "+/", r"^[A-Za-z0-9+/]+=*$", 0.06, 0.005),
+    ("base64url", _LETTERS + "-_", r"^[A-Za-z0-9_-]+=*$", 0.06, 0.005),
+    ("mixed", _LETTERS + "+/-_=", r"^.*$", 0.06, 0.005),
 )
 #: Share of neighbours of different class in natural identifiers.
 _CHANGE = 0.15
+#: A character of another class than the one before.
+_CHANGED = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[A-Za-z0-9]"
 
 
 def _normal_below(z: Column) -> Column:
@@ -77,6 +87,14 @@ def _spans(column: str, kind: int) -> Column:
     return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def _judged(token: Column) -> Column:
+    """The token, or the longest run in the text that it is the base64 of."""
+    plain = F.when((F.length(token) >= 64) & token.rlike("^[A-Za-z0-9+/]+={0,2}$"), F.try_to_binary(token, F.lit("base64")).cast("string"))
+    runs = F.when(plain.rlike(r"^[\x20-\x7E\t\r\n]+$"), F.regexp_extract_all(F.regexp_replace(plain, r"[\r\n]", ""), F.lit(_TOKEN), F.lit(0)))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    return F.coalesce(longest["run"], token)
+
+
 def _battery(tokens: DataFrame) -> DataFrame:
     """tokens (m, ...): adds encoding, p (natural origin) and regular (a test rejects randomness)."""
     encoding = alphabet = squared = cubed = None
@@ -86,12 +104,13 @@ def _battery(tokens: DataFrame) -> DataFrame:
         alphabet = (F if alphabet is None else alphabet).when(fits, letters)
         squared = (F if squared is None else squared).when(fits, s2)
         cubed = (F if cubed is None else cubed).when(fits, s3)
-    chars = F.filter(F.split("m", ""), lambda c: c != "")
-    step1 = tokens.withColumns({"encoding": encoding, "alphabet": alphabet, "s2": squared, "s3": cubed, "chars": chars})
-    ranks = F.transform("chars", lambda c: F.instr(F.col("alphabet"), c) - 1)
-    classes = F.transform("chars", lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3))
-    step2 = step1.withColumns({"n": F.size("chars").cast("double"), "size": F.length("alphabet").cast("double"), "ranks": ranks, "classes": classes, "kinds": F.sort_array("chars")})
-    n, size = F.col("n"), F.col("size")
+    step1 = tokens.withColumns({"encoding": encoding, "alphabet": alphabet, "s2": squared, "s3": cubed, "core": F.when(F.col("m").rlike("[^=].{14,}[^=]=*$"), F.regexp_replace("m", "=+$", "")).otherwise(F.col("m"))})
+    letters = F.filter(F.split("alphabet", ""), lambda c: c != "")
+    # a pass over the token for each letter: linear in its length
+    counts = F.transform(letters, lambda c: (F.length("core") - F.length(F.replace(F.col("core"), c, F.lit("")))).cast("double"))
+    ranks = F.transform(F.filter(F.split("core", ""), lambda c: c != ""), lambda c: F.instr(F.col("alphabet"), c) - 1)
+    step2 = step1.withColumns({"n": F.length("core").cast("double"), "size": F.length("alphabet").cast("double"), "counts": counts, "ranks": ranks})
+    n, size, middle = F.col("n"), F.col("size"), (F.col("size") - 1) / 2
 
     def total(array: Column) -> Column:
         return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
@@ -100,15 +119,17 @@ def _battery(tokens: DataFrame) -> DataFrame:
         """Sum of say(x, next) over neighbours."""
         return total(F.transform(F.slice(column, 1, F.size(column) - 1), lambda x, i: say(x, F.get(column, i + 1)).cast("double")))
 
-    # sum of squared counts: each character counts once for each equal one
-    equal = total(F.transform(F.array_distinct("kinds"), lambda c: F.pow(F.size(F.filter("kinds", lambda d: d == c)).cast("double"), F.lit(2.0))))
-    step3 = step2.withColumns({
-        "equal": equal,
-        "changes": neighbours("classes", lambda a, b: a != b),
-        "above": total(F.transform("ranks", lambda r: (r > (F.col("size") - 1) / 2).cast("double"))),
-        "crossings": neighbours("ranks", lambda a, b: (a > (F.col("size") - 1) / 2) != (b > (F.col("size") - 1) / 2)),
-        "product": neighbours("ranks", lambda a, b: (a - (F.col("size") - 1) / 2) * (b - (F.col("size") - 1) / 2)),
-        "square": total(F.transform("ranks", lambda r: (r - (F.col("size") - 1) / 2) * (r - (F.col("size") - 1) / 2))),
+    used = F.filter("counts", lambda v: (n < 8 * size) | (v >= n / (4 * size)))
+    step3 = step2.withColumn("used", used).withColumns({
+        "equal": total(F.transform("counts", lambda v: v * v)),
+        "used_n": total(F.col("used")),
+        "used_equal": total(F.transform("used", lambda v: v * v)),
+        "used_size": F.size("used").cast("double"),
+        "changes": F.regexp_count("core", F.lit(_CHANGED)).cast("double"),
+        "above": total(F.transform("counts", lambda v, i: F.when(i > middle, v).otherwise(F.lit(0.0)))),
+        "crossings": neighbours("ranks", lambda a, b: (a > middle) != (b > middle)),
+        "product": neighbours("ranks", lambda a, b: (a - middle) * (b - middle)),
+        "square": total(F.transform("counts", lambda v, i: v * (i - middle) * (i - middle))),
     })
     s2, s3 = F.col("s2"), F.col("s3")
     spread = 2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2)
@@ -121,7 +142,8 @@ def _battery(tokens: DataFrame) -> DataFrame:
     variance = (expected - 1) * (expected - 2) / (n - 1)
     runs = F.when(variance > 0, F.abs(F.col("crossings") + 1 - expected) / F.sqrt(variance)).otherwise(F.lit(99.0))
     serial = F.when(F.col("square") > 0, F.abs(F.col("product") / F.col("square")) * F.sqrt(n)).otherwise(F.lit(99.0))
-    uniform_rejected = (size * F.col("equal") / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
+    used_n, used_size = F.col("used_n"), F.col("used_size")
+    uniform_rejected = F.when((used_size > 1) & (used_n > 0), (used_size * F.col("used_equal") / used_n - used_n - (used_size - 1)) / F.sqrt(2 * (used_size - 1))).otherwise(F.lit(99.0))
     regular = (runs > 3.3) | (serial > 3.3) | (uniform_rejected > 6)
     return step3.select("m", "start", "end", *[c for c in tokens.columns if c not in ("m", "start", "end")], "encoding", combined.alias("p"), regular.alias("regular"))
 
@@ -143,9 +165,9 @@ def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col
     found = _places(found, F.col("_hexed"), _HEX, "hex")
     found = _places(found, F.col("_long"), _TOKEN, "tokens")
     base = found.withColumn("base", F.sort_array(F.concat(*(_spans(k, i) for i, k in enumerate(BASE_KINDS)))))
-    mixed = F.filter("tokens", lambda x: (F.length(x["m"]) <= 512) & ~x["m"].rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & x["m"].rlike("[0-9A-Z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    mixed = F.filter("tokens", lambda x: ~x["m"].rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & x["m"].rlike("[0-9A-Z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     scanned = written(base.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", mixed.alias("tokens")), "secrets")
-    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", "t.m", "t.start", "t.end")
+    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", _judged(F.col("t.m")).alias("m"), "t.start", "t.end")
     tested = written(_battery(tokens), "battery")
     # Benjamini-Hochberg over a histogram of log p-values: the largest p with p * m / rank <= q
     bins = tested.groupBy(F.floor(-F.log10("p") * 20).cast("int").alias("bin")).count().collect()  # at most some 1300 bins

@@ -287,3 +287,20 @@ def test_battery_false_discoveries(spark):
     rows = list(enumerate(["text " + w + " text" for w in natural + keys]))
     got = {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(got[i] for i in range(len(natural))) and sum(got[i] for i in range(len(natural), len(rows))) >= 38
+
+
+def test_long_tokens(spark):
+    """Tokens of any length: random ones are found, patterned ones and encoded prose are not."""
+    import base64
+    import random
+    import string
+
+    rng = random.Random(8)
+    blobs = [base64.b64encode(rng.randbytes(n)).decode() for n in (400, 1200, 3000, 60_000)]
+    keys = [base64.urlsafe_b64encode(rng.randbytes(3000)).decode().rstrip("="), "".join(rng.choices(string.ascii_letters + string.digits, k=5000)), "client-key-data=" + blobs[2]]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(blobs[1][i : i + 64] for i in range(0, len(blobs[1]), 64)) + "\n-----END PRIVATE KEY-----\n"
+    found = [*blobs, *keys, base64.b64encode(pem.encode()).decode()]
+    clean = ["aB3" * 1000, "A1" + "=" * 30, "A=" * 15, "CamelCaseName1" * 300, base64.b64encode(b"some words of plain text, again and again. " * 60).decode()]
+    rows = list(enumerate("x " + t + " y" for t in found + clean))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [[(2, 3, 2 + len(t))] for t in found] + [[] for _ in clean]
