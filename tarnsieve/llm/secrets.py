@@ -12,6 +12,8 @@ token characters, however long, that overlap no base span and pass the battery:
   and identifiers would look as uniform as the token does (their sum of squared shares and its
   spread give the null distribution; its distance from the uniform one grows with the length);
   from 8 characters a letter on, letters with under a quarter of their share are not in use;
+* for base32, base36 and upper-case hex, where uniformity of 20 to 40 characters says little, in its place how
+  likely words have letter pairs as rare as the token's, or (hex) letters of A to F only;
 * class changes (lower case, upper case, digit, sign): how likely an identifier would change as often;
 * runs above and below the middle of the alphabet, and serial correlation of neighbouring ranks: a
   sequence such as abc..., 0123... or a repeated pattern is dismissed if either rejects randomness;
@@ -43,6 +45,7 @@ _HEX = r"[0-9a-f]{16,}"
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 # Fixed values for each encoding: name, alphabet in order, pattern of the whole token, and for
@@ -59,6 +62,29 @@ ENCODINGS = (
 )
 #: Share of neighbours of different class in natural identifiers.
 _CHANGE = 0.15
+#: Letter pairs of words and identifiers (four languages and program text): a row for each first letter, a
+#: character for each second; its code less 68 is 4 log2 of the pair's share against that of random letters.
+_PAIRS = (
+    "ABFD>8@9E0;IDL;A2IJLE::9;1" "JAD>M;78DC5O::H=5BB<G366F6"
+    "I8><I;5NH0GG<6L92C>IA841<0" "H?>BQ=:?K43C:?J;2BDCC6<591"
+    "G;DGCA::C03G@K>??NKF<<;C87" "I=?AGI=9M55E:>M;3IADF674<5"
+    "H>=;P;BFG48D>ED=3GIDC<;47;" "M?:6Q27CG08@7BH80BCG<7>056"
+    "@>FAGAA5914ECPJ@3AHJ1=1;0>" "N>@@M=>?C>C?>>IB>>E>H=>=?="
+    "E=A?R>A=I<:F;A??9@GB?;C7=8" "I8:APJ43J03H86H<07CCB530I2"
+    "LB8<P955I17@B;IJ38D>B661@3" "G>DKJ>K@E1;@9AH;5>GM>=;054"
+    "=?DE8F<1A2;BDPAC0MDDJ;@902" "M7==LD7>F08H78IE6JAHA770E1"
+    "=;:9:9:9;7:@:<9;=>><U;:998" "I=@?P9@>H0;?@CI;0FFIA;;0?3"
+    "A8E9O6;HF2;><;CB7;IOD390>0" "G:?:M;4OL04=:<F=0GDCA5:1A<"
+    "GD@<L@=9C04GDL@E5IFI685F04" "M<<9R:9:L66:>:D96;;;87:6;9"
+    "K:<>F:7PN55>9DF94FC:89<:44" "GAKALF7<G:8?B;AH<@>M9<9FB9"
+    "CAB?G?<AE68EBGEL8BJK<=B<D>" "F?@>N<?>H;<?@:C?;<@?N<<>>K"
+)
+#: Mean log2 of a pair in natural tokens of 20 letters or more, and its spread (as if pairs were independent).
+_PAIR_MEAN, _PAIR_SPREAD = 0.95, 1.7
+#: Share of A to F among the letters of natural words.
+_HEX_LETTERS = 0.32
+#: Encodings of one case, by place in ENCODINGS: their letters are judged as words.
+_UPPER_HEX, _ONE_CASE = 1, (2, 3)
 #: A character of another class than the one before.
 _CHANGED = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[A-Za-z0-9]"
 
@@ -120,11 +146,18 @@ def _battery(tokens: DataFrame) -> DataFrame:
         return total(F.transform(F.slice(column, 1, F.size(column) - 1), lambda x, i: say(x, F.get(column, i + 1)).cast("double")))
 
     used = F.filter("counts", lambda v: (n < 8 * size) | (v >= n / (4 * size)))
-    step3 = step2.withColumn("used", used).withColumns({
+    # of neighbouring letters; null if one is none
+    places = F.transform("ranks", lambda r: F.instr(F.lit(_ALPHABET), F.lower(F.substring("alphabet", r + 1, F.lit(1)))))
+    table = F.array(*(F.lit(ord(c) - 68) for c in "".join(_PAIRS)))
+    scores = F.transform(F.slice("places", 1, F.size("places") - 1), lambda a, i: F.when((a > 0) & (F.get("places", i + 1) > 0), F.get(table, (a - 1) * 26 + F.get("places", i + 1) - 1)))
+    one_case = F.when(F.col("encoding").isin(*_ONE_CASE), places).otherwise(F.array().cast("array<int>"))
+    step3 = step2.withColumns({"used": used, "places": one_case}).withColumn("scores", F.when(F.size("places") > 1, scores).otherwise(F.array().cast("array<int>"))).withColumns({
         "equal": total(F.transform("counts", lambda v: v * v)),
         "used_n": total(F.col("used")),
         "used_equal": total(F.transform("used", lambda v: v * v)),
         "used_size": F.size("used").cast("double"),
+        "pairs": total(F.transform("scores", lambda v: v.isNotNull().cast("double"))),
+        "pair_score": total(F.transform("scores", lambda v: F.coalesce(v / 4.0, F.lit(0.0)))),
         "changes": F.regexp_count("core", F.lit(_CHANGED)).cast("double"),
         "above": total(F.transform("counts", lambda v, i: F.when(i > middle, v).otherwise(F.lit(0.0)))),
         "crossings": neighbours("ranks", lambda a, b: (a > middle) != (b > middle)),
@@ -135,6 +168,12 @@ def _battery(tokens: DataFrame) -> DataFrame:
     spread = 2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2)
     uniform = F.greatest(_normal_below((F.col("equal") - n - n * (n - 1) * s2) / F.sqrt(spread)), F.lit(1e-30))
     changing = F.greatest(1 - _normal_below((F.col("changes") - 0.5 - (n - 1) * _CHANGE) / F.sqrt((n - 1) * _CHANGE * (1 - _CHANGE))), F.lit(1e-30))
+    # one case: letters against those of words
+    word = F.col("pairs") > 0
+    worded = F.when(word, _normal_below((F.col("pair_score") - F.col("pairs") * _PAIR_MEAN) / (_PAIR_SPREAD * F.sqrt(F.greatest("pairs", F.lit(1.0)))))).otherwise(F.lit(1.0))
+    hexed = F.pow(F.lit(_HEX_LETTERS), F.regexp_count("core", F.lit("[A-F]")).cast("double"))
+    letters_p = F.greatest(F.when(F.col("encoding") == _UPPER_HEX, hexed).otherwise(worded), F.lit(1e-30))
+    uniform = F.when(F.col("encoding").isin(_UPPER_HEX, *_ONE_CASE), letters_p).otherwise(uniform)
     fisher = -2 * (F.log(uniform) + F.log(changing))
     combined = F.exp(-fisher / 2) * (1 + fisher / 2)  # chi-squared with 4 degrees of freedom
     below = n - F.col("above")

@@ -304,3 +304,27 @@ def test_long_tokens(spark):
     rows = list(enumerate("x " + t + " y" for t in found + clean))
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == [[(2, 3, 2 + len(t))] for t in found] + [[] for _ in clean]
+
+
+def test_battery_recall_of_one_case(spark):
+    """Keys of the encodings of one case among as many natural ones, by length."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    words = "user account number service default retries maximum connection timeout python library version request header parser iterator generator database column street zurück straße mañana système".encode("ascii", "ignore").decode().split()
+    rows, kind = [], {}
+    for name, letters in (("base32", string.ascii_uppercase + "234567"), ("base36", string.digits + string.ascii_lowercase), ("HEX", "0123456789ABCDEF"), ("base62", string.ascii_letters + string.digits), ("base64", string.ascii_letters + string.digits + "+/")):
+        for n in (20, 32, 40):
+            for _ in range(60):
+                kind[len(rows)] = name, n
+                rows.append("".join(rng.choices(letters, k=n)))
+    for k in range(900):
+        kind[len(rows)] = "natural", 0
+        token = "".join(rng.choices(words, k=4)) + str(rng.randrange(100)) + rng.choice(words)
+        rows.append(token.upper() if k % 2 else token)
+    frame = spark.createDataFrame([(i, f"text {t} text") for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(frame).collect()}
+    share = {k: sum(got[i] for i in kind if kind[i] == k) / sum(v == k for v in kind.values()) for k in set(kind.values())}
+    assert share.pop(("natural", 0)) == 0
+    assert all(v >= {20: 0.6, 32: 0.9, 40: 0.95}[n] for (_, n), v in share.items()), share
