@@ -1,11 +1,12 @@
 """Near-duplicates by similarity: Jaccard of word shingles, found by MinHash bands and checked exactly.
 
-1. A worker makes each document's set of shingle hashes (XXH64), the set's id (the hash of the sorted
-   set) and a key for each band of its MinHash signature.  28 bands of 5 rows miss a pair of
+1. A worker makes each document's set of shingle hashes (XXH64) and writes the set's id (the hash of the
+   sorted set), its size and a key for each band of its MinHash signature; the hashes are made again later
+   for one document of each candidate set.  28 bands of 5 rows miss a pair of
    similarity 0.8 with a chance of 0.672^28, some 1.5e-5, and more similar pairs less often.
 2. Keys held by one set only are dropped after a pre-aggregated minimum and maximum.
 3. Sets that share a key are candidates.  A key of up to `all_pairs` sets gives all their pairs.  A
-   larger one first gives the pairs with a few leaders; then those members that are not in the key's
+   larger one first gives the pairs with two leaders, its least and greatest; then those members that are not in the key's
    largest component so far are paired with all others, so no pair of different components of a key
    stays unchecked.
 4. A pair is a link if the Jaccard similarity of its sets, by array_intersect, is `least` or more.
@@ -59,8 +60,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
-def sets(documents: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id, the keys and the hashes of each row."""
+def sets(documents: DataFrame, shingle: int = 5, hashes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, set_id and n (hashes) of each row, with the keys or the hashes in `listed`."""
 
     def make(batches):
         from xxhash import xxh64_intdigest
@@ -70,10 +71,11 @@ def sets(documents: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_co
                 part = batch.slice(at, 500)
                 found = [shingles(t, shingle) for t in part.column(1).to_pylist()]
                 ids = np.array([xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for x in ([band_keys(h) for h in found], found)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), *lists], names=["doc_id", "set_id", "keys", "hashes"])
+                listed = found if hashes else [band_keys(h) for h in found]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, listed)]), pa.int32()), pa.array(np.concatenate(listed).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array([len(h) for h in found], pa.int32()), lists], names=["doc_id", "set_id", "n", "listed"])
 
-    return id_and_text(documents, id_col, text_col).mapInArrow(make, "doc_id long, set_id long, keys array<long>, hashes array<long>")
+    return id_and_text(documents, id_col, text_col).mapInArrow(make, "doc_id long, set_id long, n int, listed array<long>")
 
 
 def _checked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -85,10 +87,10 @@ def _checked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return written(sized.where(F.col("common") >= least * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
 
 
-def links(met: DataFrame, held: DataFrame, least: float = 0.8, all_pairs: int = 32, leaders: int = 8) -> DataFrame:
+def links(met: DataFrame, held: DataFrame, least: float = 0.8, all_pairs: int = 8) -> DataFrame:
     """Links (a, b) whose components are those of all links among sets that share a key.
     met: key, set_id, n (hashes of the set); held: set_id, hashes."""
-    counted = met.join(met.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("first")), "key")
+    counted = met.join(met.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("first"), F.max("set_id").alias("last")), "key")
 
     def side(df: DataFrame, name: str, *more) -> DataFrame:
         return df.select("key", F.col("set_id").alias(name), F.col("n").alias(f"n_{name}"), *more)
@@ -98,7 +100,7 @@ def links(met: DataFrame, held: DataFrame, least: float = 0.8, all_pairs: int =
     large = written(counted.where(F.col("members") > all_pairs), "large-keys")
     if large.isEmpty():
         return found
-    led = large.where((F.col("set_id") == F.col("first")) | (F.pmod(F.xxhash64("key", "set_id"), F.col("members")) < leaders))
+    led = large.where((F.col("set_id") == F.col("first")) | (F.col("set_id") == F.col("last")))
     found = found.union(_checked(side(led, "a").join(side(large, "b"), "key"), held, least))
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     rooted = written(large.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
@@ -108,19 +110,21 @@ def links(met: DataFrame, held: DataFrame, least: float = 0.8, all_pairs: int =
     return found.union(_checked(pairs, held, least))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, all_pairs: int = 32, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, all_pairs: int = 8, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
     """Per document: doc_id, component_id."""
-    docs = written(sets(documents, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
-    keyed = docs.select("set_id", F.size("hashes").alias("n"), F.explode("keys").alias("key"))
+    docs = written(sets(documents, shingle, False, id_col, text_col), "sets")
+    keyed = docs.select("set_id", "n", F.explode("listed").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("key")
     met = written(keyed.join(shared, "key").distinct().select("key", "set_id", "n"), "met")
-    # the hashes of each set that shares a key, once
-    distinct = docs.groupBy("set_id").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
-    distinct = written(distinct, "distinct-sets")
-    rows = written(distinct.join(met.select("set_id").distinct(), "set_id", "left_semi").select("row"), "met-rows")
-    if rows.count() <= most_broadcast:
-        rows = F.broadcast(rows)
-    held = written(docs.join(rows, "row", "left_semi").select("set_id", "hashes"), "met-sets")
+    distinct = written(docs.groupBy("set_id").agg(F.min("doc_id").alias("least")), "distinct-sets")
+    # the hashes of each set that shares a key, from the document of least id
+    wanted = written(distinct.join(met.select("set_id").distinct(), "set_id", "left_semi"), "met-ids")
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    if wanted.count() <= most_broadcast:
+        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
+    again = documents.join(ids, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("id")), "left_semi")
+    found = sets(again, shingle, True, id_col, text_col).join(wanted.select("set_id"), "set_id", "left_semi")
+    held = written(found.groupBy("set_id").agg(F.first("listed").alias("hashes")), "met-sets")
     joined = components(links(met, held, least, all_pairs))
     classes = distinct.join(joined.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -37,7 +37,7 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("all_pairs", [32, 1])
+@pytest.mark.parametrize("all_pairs", [8, 1])
 def test_recall_against_brute_force(spark, docs_of, real, odd, all_pairs):
     """all_pairs=1 sends every shared key the way of large ones."""
     rows = real + odd + edited()
