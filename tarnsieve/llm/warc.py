@@ -32,13 +32,11 @@ from .shared import store
 
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's for URLs
 
-# Every repetition is possessive or bounded, so no input makes the search quadratic.
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]{0,65536}+>"""
-    r"""|<(/?)([a-z][a-z0-9:-]{0,64}+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+'){0,256}+)>""",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9:-]{0,64}+)\s{0,64}+=\s{0,64}+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+# What a construct begins with; _Markup finds its end.
+_OPEN = re.compile(r"<(?:(!--)|(script|style|template|noscript)\b|([!?])|(/?)([a-z][a-z0-9:-]*+))", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "template", "noscript")}
+_SPECIAL = re.compile("""[>"']""")
+_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9:-]{0,64}+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 # Elements that end a line of text, and attributes that hold links.
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,6 +45,65 @@ _BLOCKS = frozenset(
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "source": "src"}
 
 
+class _Markup:
+    """Comments, hidden elements, declarations and tags of a body, in linear time whatever their length.
+
+    What a search has shown is remembered: the next `>`, the next character that ends a tag or opens a
+    value, and the opening quotes from which no end of a tag is reached."""
+
+    def __init__(self, body: str):
+        self.body, self.hopeless = body, set()
+        self.close = self.special = -1
+
+    def after_close(self, at: int) -> int:
+        """The place after the next `>`, or 0."""
+        if self.close < at:
+            found = self.body.find(">", at)
+            self.close = len(self.body) if found < 0 else found
+        return self.close + 1 if self.close < len(self.body) else 0
+
+    def after_tag(self, at: int) -> int:
+        """The place after the `>` outside of quotes, or 0."""
+        if self.special < at:
+            found = _SPECIAL.search(self.body, at)
+            self.special = found.start() if found else len(self.body)
+        spot, opened = self.special, []
+        while spot < len(self.body):
+            quote = self.body[spot]
+            if quote == ">":
+                return spot + 1
+            if spot in self.hopeless:
+                break
+            opened.append(spot)
+            end = self.body.find(quote, spot + 1)
+            found = _SPECIAL.search(self.body, end + 1) if end >= 0 else None
+            spot = found.start() if found else len(self.body)
+        self.hopeless.update(opened)
+        return 0
+
+    def __iter__(self):
+        """(start, end, hidden, closing, name, attributes) of each construct, in order."""
+        at = 0
+        while m := _OPEN.search(self.body, at):
+            comment, hidden, declared, closing, name = m.groups()
+            attributes = None
+            if comment:
+                found = self.body.find("-->", m.end())
+                end = found + 3 if found >= 0 else len(self.body)
+            elif hidden:
+                found = _CLOSE[hidden.lower()].search(self.body, m.end())
+                end = found.end() if found else len(self.body)
+                attributes = self.body[m.end() : self.after_tag(m.end()) or self.after_close(m.end())] if hidden.lower() == "script" else None
+            elif declared:
+                end = self.after_close(m.end())
+            else:
+                end = self.after_tag(m.end())
+                attributes = self.body[m.end() : end - 1] if end else None
+            if end:
+                yield m.start(), end, hidden, closing, name, attributes
+            at = end or m.end()
+
+
 def convert(body: str) -> tuple[str, str, list[str]]:
     """(text, title, links) of an HTML page.  Text keeps a line for each block element."""
     parts: list[str] = []
@@ -54,16 +111,15 @@ def convert(body: str) -> tuple[str, str, list[str]]:
     title: list[str] | None = None
     titled = ""
     at = 0
-    for m in _MARKUP.finditer(body):
-        if m.start() > at:
-            piece = body[at : m.start()]
+    for start, end, hidden, closing, name, attributes in _Markup(body):
+        if start > at:
+            piece = body[at:start]
             parts.append(piece)
             if title is not None:
                 title.append(piece)
-        at = m.end()
-        hidden, closing, name, attributes = m.groups()
+        at = end
         if hidden is not None and hidden.lower() == "script":
-            name, attributes, closing = "script", m[0][: m[0].find(">") + 1], ""
+            name, closing = "script", ""
         if name is None:
             continue
         name = name.lower()

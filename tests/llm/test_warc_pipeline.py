@@ -134,3 +134,22 @@ def test_stages_take_odd_rows(spark, docs_of, odd, sf):
             out = stage(spark, docs, sf)
             assert stage is pipeline.pack or out.columns == docs.columns
             assert out.count() <= len(rows) + 200
+
+
+def test_convert_of_long_constructs():
+    """Attributes, declarations and numbers of attributes without a bound."""
+    big = "data:image/png;base64," + "A" * 1_000_000
+    many = " ".join(f'data-{i}="{i}>"' for i in range(1000))
+    assert warc.convert(f'a<img src="{big}">b') == ("ab", "", [big])
+    assert warc.convert(f"a<a {many} href='/x'>b</a>") == ("ab", "", ["/x"])
+    assert warc.convert(f"a<!x {big}>b<?x {big}?>c")[0] == "abc"
+    assert warc.convert(f"a<script data-x='>' src=\"/s.js\">{big}</script>b") == ("ab", "", ["/s.js"])
+
+
+@pytest.mark.parametrize("text", ["<a" * 300_000, "<!" * 300_000, "<a \"'" * 200_000, "<a '\"\"" * 200_000, "<script x='" * 100_000, "<a x='>" * 100_000])
+def test_convert_is_linear_for_more(text):
+    import time
+
+    began = time.process_time()
+    warc.convert(text)
+    assert time.process_time() - began < 8
