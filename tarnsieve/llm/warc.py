@@ -9,6 +9,12 @@ repeated run or task writes the same ids.  An index table (file, offset, length,
 committed by Spark and names the files of the tasks that succeeded; a retried task leaves at most a
 file that nothing refers to.  Paths are URIs of any store that pyarrow opens.
 
+Responses of WARC files keep their payload as bytes and their record's headers: the digests that the record
+declares are copied, and computed from the bytes only where it has none.  The payload is read by its
+transfer and content coding (chunked, gzip, deflate) and its charset (byte order mark, HTTP, meta, else
+UTF-8).  Text that is no page is converted line by line; other media types and codings have an empty
+conversion, and the metadata says why.
+
 Nulls and ties: a null body is an empty one; a null URL becomes urn:page:<id>; a null id stays null;
 repeated rows give records with equal ids; other columns are ignored; an empty table gives no files.
 """
@@ -175,7 +181,7 @@ def members(source, step: int = 1 << 16):
         held = unpacker.unused_data
         if unpacker.eof:
             head, _, rest = b"".join(out).partition(b"\r\n\r\n")
-            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])}
             yield at, used, headers, rest[: int(headers["Content-Length"])]
             at, used, out, unpacker = at + used, 0, [], zlib.decompressobj(31)
 
@@ -197,8 +203,10 @@ def response_id(source_id, url: str, payload: bytes) -> str:
 
 
 def responses_from_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Responses of WARC files with a gzip member for each record; files: a column `file` of URIs."""
-    names = ["source_id", "url", "date", "headers", "body", "record_id"]
+    """Responses of WARC files with a gzip member for each record, each with its payload's bytes and its record's
+    headers (JSON); files: a column `file` of URIs."""
+    names = ["source_id", "url", "date", "headers", "body", "record_id", "payload", "warc"]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.string()]
 
     def read(batches):
         for batch in batches:
@@ -207,24 +215,116 @@ def responses_from_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
                 with system.open_input_stream(path, compression=None) as source:
                     for _, _, h, block in members(source):
                         if h["WARC-Type"] == "response":
-                            head, _, payload = block.partition(b"\r\n\r\n")
-                            row = [None, h.get("WARC-Target-URI"), h.get("WARC-Date"), head.decode(errors="replace"), payload.decode(errors="replace"), h["WARC-Record-ID"]]
-                            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.string()) for k, v in enumerate(row)], names=names)
+                            head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+                            if "WARC-Block-Digest" not in h:
+                                h["WARC-Block-Digest"] = digest_of(block)
+                            row = [None, h.get("WARC-Target-URI"), h.get("WARC-Date"), head.decode("latin-1"), None, h["WARC-Record-ID"], payload, json.dumps(h)]
+                            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-    return files.select("file").mapInArrow(read, "source_id long, url string, date string, headers string, body string, record_id string")
+    return files.select("file").mapInArrow(read, "source_id long, url string, date string, headers string, body string, record_id string, payload binary, warc string")
 
 
-def derive(source_id, url: str, date: str, headers: str, body: str, source_record: str | None, made: str) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
-    """((id, metadata record), (id, conversion record)) of one response."""
-    payload = body.encode()
+def _dechunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; as it is if it isn't one (many crawlers store the body without chunks)."""
+    parts, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at, at + 4096)
+        size = re.fullmatch(rb"([0-9A-Fa-f]{1,16})[ \t]*(?:;.*)?", data[at:end] if end >= 0 else b"")
+        if not size:
+            return data
+        size, at = int(size[1], 16), end + 2
+        if not size:
+            return b"".join(parts)
+        if data[at + size : at + size + 2] != b"\r\n":
+            return data
+        parts.append(data[at : at + size])
+        at += size + 2
+
+
+def _unpacked(data: bytes, coding: str) -> bytes | None:
+    """The data without a content coding; None if it is unknown or the data are damaged."""
+    if coding in ("", "identity"):
+        return data
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return None
+    for bits in (47,) if coding != "deflate" else (47, -15):
+        try:
+            parts, rest = [], data
+            while rest:  # members of a gzip file
+                unpacker = zlib.decompressobj(bits)
+                parts.append(unpacker.decompress(rest) + unpacker.flush())
+                if not unpacker.eof:
+                    raise zlib.error("cut off")
+                rest = unpacker.unused_data if unpacker.unused_data[:2] == b"\x1f\x8b" else b""
+            return b"".join(parts)
+        except zlib.error:
+            continue
+    return None
+
+
+def read_payload(headers: str, payload: bytes) -> tuple[str | None, dict]:
+    """(text, how it was read) of a response's payload.  The text is None if the response is none: of another
+    media type, or in a coding that isn't read; `unread` then says why."""
+    fields: dict[str, list[str]] = {}
+    for line in headers.split("\r\n")[1:]:
+        key, _, value = line.partition(":")
+        fields.setdefault(key.strip().lower(), []).append(value.strip())
+    kind, _, more = "".join(fields.get("content-type", [])[-1:]).partition(";")
+    kind = kind.strip().lower()
+    codings = [c.strip().lower() for name in ("content-encoding", "transfer-encoding") for v in fields.get(name, ()) for c in v.split(",")]
+    for coding in reversed(codings):
+        data = _dechunked(payload) if coding == "chunked" else _unpacked(payload, coding)
+        if data is None:
+            return None, {"type": kind, "unread": f"content coding {coding}"}
+        payload = data
+    if not kind:  # undeclared: a page if it looks like one
+        looks = re.match(rb"(?:\xef\xbb\xbf)?\s*<(?:!doctype|html|head|body|title|p\b|div|!--)", payload[:1024], re.I)
+        kind = "text/html" if looks else "text/plain" if b"\0" not in payload and _is_utf8(payload) else "application/octet-stream"
+    page = kind in ("text/html", "application/xhtml+xml")
+    if not (page or kind.startswith("text/") or kind in ("application/json", "application/xml", "application/javascript") or kind.endswith(("+json", "+xml")) and not kind.startswith("image/")):
+        return None, {"type": kind, "unread": f"media type {kind}"}
+    marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+    declared = re.search(r"""charset\s*=\s*["']?([^\s"';,]+)""", more, re.I)
+    inside = re.search(rb"""<meta\b[^>]{0,1024}?charset\s*=\s*["']?([a-z0-9_:.-]+)""", payload[:4096], re.I) if page else None
+    charset = next((c for m, c in marks if payload.startswith(m)), None) or (declared[1] if declared else inside[1].decode() if inside else "utf-8")
+    charset = "cp1252" if charset.lower() in ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii") else charset  # as browsers read them
+    try:
+        text = payload.decode(charset, "replace")
+    except (LookupError, ValueError):
+        charset, text = "utf-8", payload.decode(errors="replace")
+    return text, {"type": kind, "charset": charset.lower()}
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def derive(source_id, url: str, date: str, headers: str, body: str | None, source_record: str | None, made: str, raw: bytes | None = None, warc: str | None = None) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
+    """((id, metadata record), (id, conversion record)) of one response: its body as text, or the raw payload with
+    the headers of its WARC record (JSON).  A response that isn't text has an empty conversion and no title or links."""
+    payload = body.encode() if raw is None else raw
     source_record = source_record or response_id(source_id, url, payload)
-    text, title, links = convert(body)
-    block, payload_digest = text.encode(), digest_of(payload)
+    source, how = json.loads(warc or "{}"), {}
+    if raw is not None:
+        body, how = read_payload(headers, raw)
+    if body is None or how.get("type", "text/html") not in ("text/html", "application/xhtml+xml"):
+        lines = (" ".join(line.split()) for line in (body or "").split("\n"))
+        text, title, links = "\n".join(line for line in lines if line), "", []
+    else:
+        text, title, links = convert(body)
+    block, payload_digest = text.encode(), source.get("WARC-Payload-Digest") or digest_of(payload)
     metadata_id, conversion_id = record_id("metadata", source_record), record_id("conversion", source_record)
     about = {
         "source_id": source_id, "url": url, "response": {"record_id": source_record, "date": date, "http": headers.split("\r\n"), "payload_digest": payload_digest, "payload_length": len(payload)},
         "conversion": {"record_id": conversion_id, "digest": digest_of(block), "chars": len(text)}, "title": title, "links": links,
     }
+    if raw is not None:
+        about["response"] |= {"warc": source, "block_digest": source.get("WARC-Block-Digest")}
+        about["conversion"] |= how
     refers = {"WARC-Target-URI": url, "WARC-Refers-To": source_record, "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": date}
     metadata = record("metadata", metadata_id, made, "application/json", json.dumps(about, ensure_ascii=False).encode(), refers)
     conversion = record("conversion", conversion_id, made, "text/plain; charset=utf-8", block, {**refers, "WARC-Concurrent-To": metadata_id, "WARC-Source-Payload-Digest": payload_digest})
@@ -250,8 +350,9 @@ def write_derivatives(responses: DataFrame, folder: str, made: str = "2024-01-01
                     about = record("warcinfo", record_id("warcinfo", name), made, "application/warc-fields", b"format: WARC File Format 1.1\r\n", {"WARC-Filename": name})
                     out.write(about)
                     at = len(about)
-                source = row["record_id"] or response_id(row["source_id"], row["url"], row["body"].encode())
-                for kind, (id_, data) in zip(("metadata", "conversion"), derive(row["source_id"], row["url"], row["date"], row["headers"], row["body"], source, made)):
+                raw = row.get("payload")
+                source = row["record_id"] or response_id(row["source_id"], row["url"], row["body"].encode() if raw is None else raw)
+                for kind, (id_, data) in zip(("metadata", "conversion"), derive(row["source_id"], row["url"], row["date"], row["headers"], row["body"], source, made, raw, row.get("warc"))):
                     out.write(data)
                     rows.append((part, f"warc/{name}", at, len(data), kind, id_, source))
                     at += len(data)
@@ -261,7 +362,8 @@ def write_derivatives(responses: DataFrame, folder: str, made: str = "2024-01-01
             out.close()
 
     spec = "part int, file string, offset long, length long, type string, record_id string, refers_to string"
-    responses.select("source_id", "url", "date", "headers", "body", "record_id").mapInArrow(write, spec).write.parquet(f"{folder}/index")
+    more = [c for c in ("payload", "warc") if c in responses.columns]
+    responses.select("source_id", "url", "date", "headers", "body", "record_id", *more).mapInArrow(write, spec).write.parquet(f"{folder}/index")
     return responses.sparkSession.read.schema(spec).parquet(f"{folder}/index")
 
 

@@ -153,3 +153,37 @@ def test_convert_is_linear_for_more(text):
     began = time.process_time()
     warc.convert(text)
     assert time.process_time() - began < 8
+
+
+def test_responses_keep_bytes_and_headers(spark):
+    """Charsets, codings, other media types and the source record's digests."""
+    page = "<title>é</title><p>café</p><a href='/l'>x</a>".encode("latin-1")
+    packed = gzip.compress("<p>größe".encode())
+    chunked = b"5\r\n<p>on\r\n6;x=y\r\ne two \r\n0\r\n\r\n"
+    cases = {
+        "latin": ("Content-Type: text/html; charset=ISO-8859-1", page, "é\ncafé\nx"), "meta": ("Content-Type: text/html", b"<meta charset=windows-1252>" + page, "é\ncafé\nx"),
+        "packed": ("Content-Type: text/html; charset=utf-8\r\ncontent-encoding: gzip", packed, "größe"), "chunked": ("Transfer-Encoding: chunked\r\nContent-Type: text/html", chunked, "one two"),
+        "stored": ("Transfer-Encoding: chunked\r\nContent-Type: text/html", b"<p>no chunks", "no chunks"), "plain": ("Content-Type: text/plain", b"a <b> c\n\n d", "a <b> c\nd"),
+        "image": ("Content-Type: image/png", b"\x89PNG\r\n\x1a\n\0\xff", ""), "br": ("Content-Type: text/html\r\nContent-Encoding: br", b"\x0b\x02\x80", ""),
+    }
+    folder = new_folder(spark, "source")
+    system, path = store(folder)
+    system.create_dir(path, recursive=True)
+    declared = "sha256:declared"
+    with system.open_output_stream(f"{path}/one.warc.gz", compression=None) as out:
+        for name, (head, payload, _) in cases.items():
+            extra = {"WARC-Payload-Digest": declared, "WARC-IP-Address": "192.0.2.1"} if name == "latin" else {}
+            out.write(warc.record("response", f"<urn:x:{name}>", "2020-02-02T00:00:00Z", "application/http; msgtype=response", f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload, {"WARC-Target-URI": f"http://h/{name}", **extra}))
+    derived = new_folder(spark, "derived")
+    index = warc.write_derivatives(warc.responses_from_warc(spark, spark.createDataFrame([(f"{folder}/one.warc.gz",)], "file string")), derived).collect()
+    got = {r["url"].rsplit("/", 1)[1]: r for r in warc.read_derivatives(spark, derived).collect()}
+    assert {n: r["text"] for n, r in got.items()} == {n: c[2] for n, c in cases.items()}
+    assert {n: r["payload_digest"] for n, r in got.items()} == {n: declared if n == "latin" else sha1(c[1]) for n, c in cases.items()}
+    assert got["latin"]["title"] == "é" and got["latin"]["links"] == ["/l"]
+    system, path = store(f"{derived}/{index[0]['file']}")
+    with system.open_input_stream(path, compression=None) as source:
+        about = {a["url"].rsplit("/", 1)[1]: a for h, b in plain_records(source.read()) if h["WARC-Type"] == "metadata" for a in [json.loads(b)]}
+    head, payload, _ = cases["latin"]
+    assert about["latin"]["response"]["warc"]["WARC-IP-Address"] == "192.0.2.1" and about["latin"]["response"]["payload_length"] == len(page)
+    assert about["latin"]["response"]["block_digest"] == sha1(f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload)
+    assert about["image"]["conversion"]["unread"] == "media type image/png" and about["br"]["conversion"]["unread"] == "content coding br"
