@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tarnsieve.storage import new_folder, written  # noqa: F401  the operators take them from here
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows that a Python worker gets at once, unless the session has its own number: Spark's default of
-    10,000 whole texts takes tens of megabytes in the worker and again beside the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def text_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Bytes that a Python worker gets at once, where the session has set no number: Spark's default of 64 MB
+    of whole texts takes that much in the worker and again beside the executor's heap.  The queries of this
+    subpackage call it for their session; the operators themselves change no settings."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, most_bytes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsieve.llm import packing, token_files
+from tarnsieve.llm import packing, token_files, tokens
 from tarnsieve.llm.shared import new_folder
 from tarnsieve.llm.tokens import WordTokenizer, blocks
 
@@ -47,11 +47,43 @@ def test_end_ids(bpe, encode):
 
 
 def test_full_cache_is_cleared(bpe, encode):
-    small = WordTokenizer(bpe, cache_ids=10)
+    small = WordTokenizer(bpe, cache_bytes=10)
     for text in ("one two three four five six seven", "eight nine ten eleven twelve", "one two nine"):
         assert small.encode([text])[0].tolist() == encode(text)[:-1]
 
 
+def test_cache_stays_within_its_bytes(bpe, encode, monkeypatch):
+    monkeypatch.setattr(tokens, "_AT_ONCE", 500)
+    monkeypatch.setattr(tokens, "_SLICE", 3000)
+    text = "  ".join(map(str, range(10_000, 30_000))) + "\n" + "y" * 5000 + " end"
+    small = WordTokenizer(bpe, cache_bytes=300_000)
+    most, look_up = 0, small._look_up
+
+    def watched(*args):
+        nonlocal most
+        found = look_up(*args)
+        most = max(most, small.held)
+        return found
+
+    small._look_up = watched
+    ids, lens = small.encode(["a b", text, ""], 2)
+    assert ids.tolist() == encode("a b") + encode(text) + encode("") and lens.tolist() == [3, len(encode(text)), 1]
+    assert most < 300_000 + 1500 * 300
+
+
+def test_tokenizers_that_keep_white_space_get_whole_texts(encode):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, whole = WordTokenizer(path), Tokenizer.from_file(path)
+    assert not other.by_pieces
+    texts = [" a  b\nc", "", "It's  12 "]
+    ids, lens = other.encode(texts, 7)
+    want = [[*whole.encode(t).ids, 7] for t in texts]
+    assert ids.tolist() == sum(want, []) and lens.tolist() == [len(w) for w in want]
+
+
 def test_first_fit(hyp_seed=3):
     rng = random.Random(hyp_seed)
     tree, free = packing.CapacityTree(100, bins=2), []
@@ -91,6 +123,14 @@ def test_pack_repeated_rows_and_empty_table(spark, docs_of, bpe):
     assert packing.pack(docs_of([]), bpe).count() == 0
 
 
+def test_rows_that_share_an_id_are_dealt_out(spark, docs_of, bpe):
+    rows = [(None, "same text")] * 500 + [(9, "another text")] * 500
+    groups = {p["sequence_id"] >> 32 for p in packing.pack(docs_of(rows), bpe, n_groups=20).collect()}
+    assert len(groups) == 20
+    long = packing.pack(docs_of([(1, "word " * 3000)]), bpe, capacity=64, n_groups=50).collect()
+    assert len({p["sequence_id"] >> 32 for p in long}) == 1  # a document has one group
+
+
 def test_sequences_are_padded_except_at_powers_of_two(spark, docs_of, bpe):
     packed = packing.pack(docs_of([(1, "a b c"), (2, "d e f g")]), bpe, capacity=16, keep_ids=True)
     whole = packing.sequences(packed, 16, pad_id=0).first()
@@ -117,13 +157,26 @@ def test_files_round_trip(spark, docs_of, bpe, real, odd, encode, mode, chunk):
     assert index.agg(F.sum("n_docs")).first()[0] == len(rows)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, folder).collect()))
     want, start = [], 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, crc(encode(r[1])))):
         ids = encode(text)
         want.append((start, doc, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
 
 
+def test_many_shards_and_hot_ids(spark, docs_of, bpe, encode):
+    rows = [(None, f"text {i % 3}") for i in range(300)] + [(5, "hot " * (i % 50)) for i in range(300)] + [(i, "w " * 900) for i in range(6, 20)]
+    folder = new_folder(spark, "test")
+    index = token_files.write_token_files(docs_of(rows), folder, bpe, shard_ids=500, chunk_ids=100)
+    assert index.count() > 10 and index.agg(F.max("n_ids")).first()[0] < 500 + 901
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, folder).collect())
+    want, start = [], 0
+    for doc, ids in sorted(((d, encode(t)) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, crc(r[1]))):
+        want.append((start, doc, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
+
+
 def test_files_of_an_empty_table(spark, docs_of, bpe):
     folder = new_folder(spark, "test")
     assert token_files.write_token_files(docs_of([]), folder, bpe).count() == 0
