@@ -41,7 +41,7 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     # the executors' heaps have grown in the stages before: a small word cache leaves room beside them
-    return packing.pack(docs, word_bpe_path(), cache_ids=500_000)
+    return packing.pack(docs, word_bpe_path(), cache_bytes=32 << 20)
 
 
 STAGES = [
