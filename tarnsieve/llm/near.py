@@ -1,21 +1,28 @@
-"""Near-duplicates by similarity: Jaccard of word shingles, found by MinHash bands and checked exactly.
+"""SimHash near-duplicates at a similarity of word shingles: bit-sliced comparison within shared keys, then an exact check.
+
+Two texts of similarity 0.8 differ in some 10 of 64 SimHash bits, give or take 3: no band of such a fingerprint
+finds them without meeting unlike texts as often.  So the keys are others, the fingerprints are wider, and a pair
+that they leave is checked:
 
 1. A worker makes each document's set of shingle hashes (XXH64) and writes the set's id (the hash of the
    sorted set), its size and a key for each band of its MinHash signature; the hashes are made again later
-   for one document of each candidate set.  28 bands of 5 rows miss a pair of
-   similarity 0.8 with a chance of 0.672^28, some 1.5e-5, and more similar pairs less often.
+   for one document of each candidate set, with a SimHash fingerprint of 64 * `words` bits.  28 bands of
+   5 rows miss a pair of similarity 0.8 with a chance of 0.672^28, some 1.5e-5, and more similar pairs less often.
 2. Keys held by one set only are dropped after a pre-aggregated minimum and maximum.
-3. Sets that share a key are candidates.  A key of up to `all_pairs` sets gives all their pairs.  A
-   larger one first gives the pairs with two leaders, its least and greatest; then those members that are not in the key's
-   largest component so far are paired with all others, so no pair of different components of a key
-   stays unchecked.
-4. A pair is a link if the Jaccard similarity of its sets, by array_intersect, is `least` or more.
+3. Each set of a key meets the key's least and greatest set.  A pair whose fingerprints differ in at most
+   `radius` bits is a link if the Jaccard similarity of its sets, by array_intersect, is `least` or more.
+4. In each key, the sets outside its largest component so far are compared with all sets of other components,
+   bit-sliced (`simhash.pairs_within`), in blocks of `block` sets against `others`, each a task's group
+   of bounded memory; only pairs within the radius leave the worker, and are checked as before.
 5. Components of the links; a document's component is the least doc_id in it.
 
+`radius` (by default 0.2425 of the bits) is over four standard deviations above what sets of similarity 0.8 differ
+in, of 1024 bits: 155 for large sets (arccos(8/9) / pi of them), 192 for a set of 4 in one of 5.
+
 Nulls and ties: texts without words have the empty set and form one group; a text of fewer words than
 a shingle is one shingle; a row with a null id links others and has their component; a component's id
 is the least id that is not null; repeated rows come out as often as they occur; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows.  Of a very long text a worker holds the words and shingle hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import id_and_text, written
+from .shared import written
+from .simhash import pairs_within, wide_fingerprint
 
 BANDS, ROWS = 28, 5
 _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.array([[[1]], [[0]]], np.uint64)
@@ -60,73 +68,146 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
-def sets(documents: DataFrame, shingle: int = 5, hashes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id and n (hashes) of each row, with the keys or the hashes in `listed`."""
+def _columns(documents: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    return documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{row_col or id_col}`").cast("long").alias("row"), F.col(f"`{text_col}`").alias("text"))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _sets(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """words = 0: doc_id, row, set_id, n (hashes of the set) and keys; else set_id, hashes and fp of `words` words."""
 
     def make(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [shingles(t, shingle) for t in part.column(1).to_pylist()]
-                ids = np.array([xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
-                listed = found if hashes else [band_keys(h) for h in found]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, listed)]), pa.int32()), pa.array(np.concatenate(listed).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array([len(h) for h in found], pa.int32()), lists], names=["doc_id", "set_id", "n", "listed"])
-
-    return id_and_text(documents, id_col, text_col).mapInArrow(make, "doc_id long, set_id long, n int, listed array<long>")
-
-
-def _checked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, n_a, b, n_b), those whose similarity is `least` or more: (a, b)."""
-    fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
-    ordered = pairs.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = ordered.join(held.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                found = [shingles(t, shingle) for t in part.column(2).to_pylist()]
+                ids = pa.array(np.array([xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64))
+                if words:
+                    yield pa.RecordBatch.from_arrays([ids, _lists(found), _lists([wide_fingerprint(h, words) for h in found])], names=["set_id", "hashes", "fp"])
+                else:
+                    sizes = pa.array([len(h) for h in found], pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, sizes, _lists([band_keys(h) for h in found])], names=["doc_id", "row", "set_id", "n", "keys"])
+
+    return rows.mapInArrow(make, "set_id long, hashes array<long>, fp array<long>" if words else "doc_id long, row long, set_id long, n int, keys array<long>")
+
+
+def _fits(a, b, least: float):
+    """Sets of these sizes can have the similarity."""
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+
+
+def _checked(pairs: DataFrame, held: DataFrame, least: float, radius: int | None) -> DataFrame:
+    """Of the distinct pairs (a, b), those of similarity `least` or more.  radius: bits that fingerprints may
+    differ in; None if they have been compared."""
+    if radius is not None:
+        fps = [held.select(F.col("set_id").alias(side), F.col("fp").alias(f"fp_{side}")) for side in "ab"]
+        apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        pairs = pairs.join(fps[0], "a").join(fps[1], "b").where(apart <= radius).select("a", "b")
+    both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
     return written(sized.where(F.col("common") >= least * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
 
 
-def links(met: DataFrame, held: DataFrame, least: float = 0.8, all_pairs: int = 8) -> DataFrame:
+def _compare(words: int, least: float, radius: int, step: int = 4096):
+    """mapInArrow function over sorted rows (key, q, o, other, set_id, root, n, apart, fp): the pairs within the
+    radius of each group's queries with its others of another root."""
+    import pyarrow.compute as pc
+
+    def pairs(queries, others):
+        x, y = ({c: np.concatenate([p[c] for p in side]) for c in side[0]} for side in (queries, others))
+        for i, j in pairs_within(x["fp"], y["fp"], radius):
+            a, b, n, m = x["set_id"][i], y["set_id"][j], x["n"][i], y["n"][j]
+            # two sets that are both apart meet twice
+            keep = (x["root"][i] != y["root"][j]) & (~y["apart"][j] | (a < b)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+
+    def compare(batches):
+        group, queries, others, held = None, [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy() for c in ("key", "q", "o")], axis=1)
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("other", "set_id", "root", "n", "apart")}
+            column["fp"] = pc.list_flatten(batch.column("fp")).to_numpy().view(np.uint64).reshape(-1, words)
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1) | (column["other"][1:] != column["other"][:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                part = {c: v[a:b] for c, v in column.items()}
+                if tuple(names[a]) != group:
+                    if queries and others:
+                        yield from pairs(queries, others)
+                    group, queries, others, held = tuple(names[a]), [], [], 0
+                if not part["other"][0]:
+                    queries.append(part)
+                    continue
+                others.append(part)
+                held += b - a
+                if held >= step and queries:
+                    yield from pairs(queries, others)
+                    others, held = [], 0
+        if queries and others:
+            yield from pairs(queries, others)
+
+    return compare
+
+
+def links(met: DataFrame, held: DataFrame, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 4096, others: int = 1 << 16) -> DataFrame:
     """Links (a, b) whose components are those of all links among sets that share a key.
-    met: key, set_id, n (hashes of the set); held: set_id, hashes."""
-    counted = met.join(met.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("first"), F.max("set_id").alias("last")), "key")
-
-    def side(df: DataFrame, name: str, *more) -> DataFrame:
-        return df.select("key", F.col("set_id").alias(name), F.col("n").alias(f"n_{name}"), *more)
-
-    small = counted.where(F.col("members") <= all_pairs)
-    found = _checked(side(small, "a").join(side(small, "b"), "key").where("a < b"), held, least)
-    large = written(counted.where(F.col("members") > all_pairs), "large-keys")
-    if large.isEmpty():
-        return found
-    led = large.where((F.col("set_id") == F.col("first")) | (F.col("set_id") == F.col("last")))
-    found = found.union(_checked(side(led, "a").join(side(large, "b"), "key"), held, least))
+    met: key, set_id, n (hashes of the set); held: set_id, hashes, fp."""
+    radius = round(0.2425 * 64 * words) if radius is None else radius
+    ends = met.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("low"), F.max(F.struct("set_id", "n")).alias("high"), F.count("*").alias("members"))
+    led = met.join(ends, "key").select("set_id", "n", F.explode(F.array("low", "high")).alias("end"))
+    led = led.where((F.col("set_id") != F.col("end.set_id")) & _fits("n", "end.n", least))
+    found = _checked(led.select(F.least("set_id", "end.set_id").alias("a"), F.greatest("set_id", "end.set_id").alias("b")).distinct(), held, least, radius)
+    # a key of up to three sets has had all its pairs
     roots = components(found).select(F.col("node").alias("set_id"), "root")
+    large = met.join(ends.where("members > 3").select("key"), "key")
     rooted = written(large.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
-    most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    apart = rooted.join(most, "key").where(F.col("root") != F.col("most"))
-    pairs = side(apart, "a", F.col("root").alias("root_a")).join(side(rooted, "b", "root"), "key").where(F.col("root_a") != F.col("root"))
-    return found.union(_checked(pairs, held, least))
+    counts = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("sets"), F.max("count").alias("main"))
+    split = counts.where("sets > main").select("key", "most", F.ceil((F.col("sets") - F.col("main")) / block).cast("int").alias("n_q"), F.ceil(F.col("sets") / others).cast("int").alias("n_o"))
+    rows = rooted.join(split, "key").withColumn("apart", F.col("root") != F.col("most")).join(held.select("set_id", "fp"), "set_id")
+
+    def dealt(name: str):
+        return F.pmod(F.xxhash64("set_id", F.lit(name)), F.col(f"n_{name}")).cast("int")
+
+    def all_of(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1))
+
+    columns = ["set_id", "root", "n", "apart", "fp"]
+    asked = rows.where("apart").select("key", dealt("q").alias("q"), all_of("o").alias("o"), F.lit(False).alias("other"), *columns)
+    met_by = rows.select("key", all_of("q").alias("q"), dealt("o").alias("o"), F.lit(True).alias("other"), *columns)
+    sorted_ = asked.union(met_by).repartition("key", "q", "o").sortWithinPartitions("key", "q", "o", "other")
+    pairs = sorted_.mapInArrow(_compare(words, least, radius), "a long, b long").distinct()
+    return found.union(_checked(pairs, held, least, None))
+
 
+def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 4096, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Per document: doc_id, row, component_id, stays (true for the one row of a component with the least doc_id, then row).
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, all_pairs: int = 8, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """Per document: doc_id, component_id."""
-    docs = written(sets(documents, shingle, False, id_col, text_col), "sets")
-    keyed = docs.select("set_id", "n", F.explode("listed").alias("key"))
+    row_col: a number of its own for each row; without it the id serves, and rows that repeat an id stay or go together.
+    """
+    rows = _columns(documents, id_col, text_col, row_col)
+    docs = written(_sets(rows, shingle, 0), "sets")
+    keyed = docs.select("set_id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("key")
     met = written(keyed.join(shared, "key").distinct().select("key", "set_id", "n"), "met")
-    distinct = written(docs.groupBy("set_id").agg(F.min("doc_id").alias("least")), "distinct-sets")
-    # the hashes of each set that shares a key, from the document of least id
-    wanted = written(distinct.join(met.select("set_id").distinct(), "set_id", "left_semi"), "met-ids")
-    ids = wanted.select(F.col("least").alias("id")).distinct()
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = written(docs.groupBy("set_id").agg(F.min(first).alias("least")), "distinct-sets")
+    # the hashes of each set that shares a key, from its first document
+    wanted = written(distinct.join(met.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.col("least.row").alias("at")), "met-ids")
+    at = wanted.select("at").distinct()
     if wanted.count() <= most_broadcast:
-        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
-    again = documents.join(ids, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("id")), "left_semi")
-    found = sets(again, shingle, True, id_col, text_col).join(wanted.select("set_id"), "set_id", "left_semi")
-    held = written(found.groupBy("set_id").agg(F.first("listed").alias("hashes")), "met-sets")
-    joined = components(links(met, held, least, all_pairs))
+        at, wanted = F.broadcast(at), F.broadcast(wanted)
+    again = rows.join(at, F.col("row").eqNullSafe(F.col("at")), "left_semi")
+    found = _sets(again, shingle, words).join(wanted.select("set_id"), "set_id", "left_semi")
+    held = written(found.groupBy("set_id").agg(F.first("hashes").alias("hashes"), F.first("fp").alias("fp")), "met-sets")
+    joined = components(links(met, held, least, words, radius, block))
     classes = distinct.join(joined.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(classes.join(ids, "root").select("set_id", "component_id"), "classes")
-    return docs.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "component_id")
+    named = classes.groupBy("root").agg(F.min("least").alias("first"))
+    classes = written(classes.join(named, "root").select("set_id", "first"), "classes")
+    return docs.select("doc_id", "row", "set_id").join(classes, "set_id").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("row").eqNullSafe(F.col("first.row")).alias("stays"))

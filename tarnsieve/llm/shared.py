@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnsieve.storage import new_folder, written  # noqa: F401  the operators take them from here
@@ -36,13 +36,28 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def without(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1_000_000) -> DataFrame:
-    """documents but for those whose id is in `removed` (a column of the same name); a row without an id stays.
+def with_row_key(documents: DataFrame, name: str, most_broadcast: int = 1_000_000) -> DataFrame:
+    """documents and a long of its own for each row, whatever its id: its file's number and its place there, so
+    that a repeated scan gives the same.  Other than a plain table of files is written first."""
+    if documents._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in map(str.lower, documents.columns):
+        documents = written(documents, "rows")
+    path, index, number = (f"{name}_{part}" for part in ("path", "index", "file"))
+    at = documents.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    # a row for each file
+    files = at.select(path).distinct().select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias(number))
+    files = written(files, "files")
+    if files.count() <= most_broadcast:
+        files = F.broadcast(files)
+    return at.join(files, path).select(*(F.col(f"`{c}`") for c in documents.columns), (F.shiftleft(number, 40) + F.col(index)).alias(name))
 
-    Up to `most_broadcast` ids (8 bytes each) are counted and broadcast, so texts aren't shuffled;
+
+def without(documents: DataFrame, removed: DataFrame, key: str, most_broadcast: int = 1_000_000) -> DataFrame:
+    """documents but for those whose key is in `removed` (a column of the same name); a row without a key stays.
+
+    Up to `most_broadcast` keys (8 bytes each) are counted and broadcast, so texts aren't shuffled;
     more are joined by a shuffle.
     """
-    ids = written(removed.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "removed")
-    if ids.count() <= most_broadcast:
-        ids = F.broadcast(ids)
-    return documents.join(ids, id_col, "left_anti").select(documents.columns)
+    keys = written(removed.select(key).where(F.col(key).isNotNull()).distinct(), "removed")
+    if keys.count() <= most_broadcast:
+        keys = F.broadcast(keys)
+    return documents.join(keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))

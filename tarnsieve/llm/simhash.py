@@ -6,8 +6,7 @@
    is a key.  Keys held by one fingerprint only are dropped after a pre-aggregated count.
 3. Within a key, fingerprints are compared bit-sliced: bit b of 64 fingerprints is one machine word
    of plane b; against a query each plane gives a word of differences, which carry-save counters
-   (ones, twos, over) add up for all 64 at once; words whose lanes all exceed the radius are
-   abandoned.  A key gives the edges of its spanning forest, never its pairs.
+   add up for all 64 at once; words whose lanes all exceed the radius are abandoned.  A key gives the edges of its spanning forest, never its pairs.
 4. A key with more than `most_in_key` fingerprints goes another exact way, without comparing its
    members: two fingerprints within distance 2 have a common point at distance 1 or less from
    both, so each is sent to itself and its 64 neighbours, where at most 65 can meet.
@@ -16,7 +15,8 @@
 Nulls and ties: a null or wordless text has fingerprint zero and links like any other; exact
 copies share a fingerprint, hence a component; a row with a null id keeps its fingerprint, and a
 component's id is the least id that is not null; rows that repeat an id come out as often as they
-occur.  An empty table gives no rows; columns other than id and text are ignored.
+occur.  An empty table gives no rows; columns other than id and text are ignored.  Of a very long
+text a worker holds the words and hashes a bounded number of shingles at once.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from .shared import id_and_text, written
 
 #: 2^b for each bit, to spread a fingerprint over its planes.
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_MIXES = np.random.default_rng(7).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -46,13 +47,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     if len(words) <= shingle:
         return xxh64_intdigest(whole, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.array([xxh64_intdigest(whole[a:b], seed) for a, b in spans], "<u8")
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
+    ends = ends[shingle - 1 :]
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[2 * counts > len(hashes)].sum(dtype=np.uint64))
+    for at in range(0, len(starts), 1 << 14):  # bounded memory for very long texts
+        spans = zip(starts[at : at + (1 << 14)].tolist(), ends[at : at + (1 << 14)].tolist())
+        hashes = np.array([xxh64_intdigest(whole[a:b], seed) for a, b in spans], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[2 * counts > len(starts)].sum(dtype=np.uint64))
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,40 +68,92 @@ def fingerprints(documents: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     return id_and_text(documents, id_col, text_col).mapInArrow(make, "doc_id long, fp long")
 
 
-def near(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Bit-sliced comparison of all fingerprints with each other: row i is a bitset (64 to a word)
-    of those within `radius` (at most 2) of i."""
-    n, words = len(fps), -(-len(fps) // 64)
-    padded = np.zeros(words * 64, np.uint64)
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of 64 * words bits, by as many mixes of each 64-bit hash."""
+    counts, bits = np.zeros(64 * words, np.int64), np.zeros(words, np.uint64)
+    for at in range(0, len(hashes), 128):
+        mixed = hashes[at : at + 128, None] * _MIXES[:words]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        counts += np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    if len(hashes):
+        bits = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+    return bits
+
+
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Plane b, word w: bit b of fingerprints 64w to 64w + 63, of an array (fingerprints, words of 64 bits)."""
+    n, wide = fps.shape
+    padded = np.zeros((-(-n // 64) * 64, wide), "<u8")
     padded[:n] = fps
-    lanes = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    used = np.where(np.arange(words * 64) < n, np.tile(lanes, words), 0).astype(np.uint64).reshape(words, 64).sum(axis=1, dtype=np.uint64)
-    result = np.zeros((n, words), np.uint64)
-    varying = np.bitwise_or.reduce(fps ^ fps[0])
-    planes = [b for b in range(64) if int(varying) >> b & 1]
-    sliced = {b: ((padded >> np.uint64(b) & np.uint64(1)).reshape(words, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for b in planes}
-    rows = max(1, (1 << 18) // words)  # queries at a time, for bounded memory
-    for first in range(0, n, rows):
-        query, word = (x.ravel() for x in np.meshgrid(np.arange(first, min(n, first + rows)), np.arange(words), indexing="ij"))
-        ones = np.zeros(len(query), np.uint64)
-        twos, over = ones.copy(), ones.copy()
-        for k, b in enumerate(planes):
-            differs = sliced[b][word] ^ (np.uint64(0) - (fps[query] >> np.uint64(b) & np.uint64(1)))
-            carry = ones & differs
-            ones ^= differs
-            over |= twos & carry
-            twos ^= carry
-            if k % 8 == 7 and k + 1 < len(planes):
-                alive = (~_exceeds(ones, twos, over, radius) & used[word]) != 0
-                if not alive.all():  # the other blocks are abandoned
-                    query, word, ones, twos, over = (x[alive] for x in (query, word, ones, twos, over))
-        result[query, word] = ~_exceeds(ones, twos, over, radius) & used[word]
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _saved(a, b, c):
+    """Carry-save addition of three bits in each lane: (sum, carry)."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def within(queries: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int):
+    """Bit-sliced comparison: yields (query, word, lanes within the radius) arrays for a block of queries at a time.
+
+    queries: (n, words of 64 bits); planes: of the fingerprints they are compared with; lanes: those in use in
+    each word of a plane.  64 distances are added up at once, eight planes at a time, by carry-save counters that
+    start where a distance over `radius` overflows; blocks all of whose lanes have overflowed are abandoned."""
+    digits = max(3, int(radius).bit_length())
+    offset = (1 << digits) - 1 - radius
+    words = planes.shape[1]
+    rows = max(1, (1 << 16) // max(1, words))
+    for first in range(0, len(queries), rows):
+        query, word = (x.ravel() for x in np.meshgrid(np.arange(first, min(len(queries), first + rows)), np.arange(words), indexing="ij"))
+        full = ~np.uint64(0)
+        count = [np.full(len(query), full if offset >> k & 1 else np.uint64(0)) for k in range(digits)]
+        over = np.zeros(len(query), np.uint64)
+        for b in range(0, len(planes), 8):
+            bits = queries[query, b // 64] >> np.uint64(b % 64)
+            d = [planes[b + k][word] ^ (np.uint64(0) - (bits >> np.uint64(k) & np.uint64(1))) for k in range(8)]
+            count[0], two_a = _saved(count[0], d[0], d[1])
+            count[0], two_b = _saved(count[0], d[2], d[3])
+            count[1], four_a = _saved(count[1], two_a, two_b)
+            count[0], two_a = _saved(count[0], d[4], d[5])
+            count[0], two_b = _saved(count[0], d[6], d[7])
+            count[1], four_b = _saved(count[1], two_a, two_b)
+            count[2], carry = _saved(count[2], four_a, four_b)
+            for k in range(3, digits):
+                count[k], carry = count[k] ^ carry, count[k] & carry
+            over |= carry
+            if b % 64 == 56 or radius < 8:
+                alive = (~over & lanes[word]) != 0
+                if not alive.all():
+                    query, word, over = query[alive], word[alive], over[alive]
+                    count = [c[alive] for c in count]
+                    if not len(query):
+                        break
+        if len(query):
+            yield query, word, ~over & lanes[word]
+
+
+def used_lanes(n: int) -> np.ndarray:
+    """The lanes of n fingerprints in their words."""
+    return np.packbits(np.arange(-(-n // 64) * 64) < n, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def near(fps: np.ndarray, radius: int) -> np.ndarray:
+    """All fingerprints (of 64 bits) compared with each other: row i is a bitset of those within `radius` of i."""
+    queries = fps.reshape(-1, 1)
+    result = np.zeros((len(fps), -(-len(fps) // 64)), np.uint64)
+    for query, word, hit in within(queries, bit_planes(queries), used_lanes(len(fps)), radius):
+        result[query, word] = hit
     return result
 
 
-def _exceeds(ones, twos, over, radius: int):
-    """over counts 4 and more; then twos and ones are the two low digits."""
-    return over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones)
+def pairs_within(queries: np.ndarray, others: np.ndarray, radius: int):
+    """(query, other) index arrays of the pairs within the radius."""
+    for query, word, hit in within(queries, bit_planes(others), used_lanes(len(others)), radius):
+        at, lane = np.nonzero(np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        yield query[at], 64 * word[at] + lane
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +221,10 @@ def links(fps: DataFrame, radius: int = 2, most_in_key: int = 4096) -> DataFrame
     # the exact way for larger keys
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(int(np.int64(np.uint64(1 << k).view(np.int64))))) for k in range(64)))
     points = met.where(F.col("n") > most_in_key).select("fp").distinct().select("fp", F.explode(around).alias("point"))
-    stars = points.join(points.groupBy("point").agg(F.min("fp").alias("a")), "point").select("a", F.col("fp").alias("b")).where("a != b")
-    if radius == 1:
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1)
+    if radius == 1:  # within 1 of each other: one is a point of the other
+        stars = points.join(points.select(F.col("fp").alias("a")).distinct(), F.col("point") == F.col("a")).select("a", F.col("fp").alias("b")).where("a != b")
+    else:
+        stars = points.join(points.groupBy("point").agg(F.min("fp").alias("a")), "point").select("a", F.col("fp").alias("b")).where("a != b")
     return usual.union(stars) if radius else usual
 
 

@@ -101,7 +101,9 @@ def test_no_pages(spark):
 def test_pipeline(spark, sf):
     """Each stage by a plainer way: the operator's verdicts looked up row by row."""
     import corpus_pipeline as pipeline
-    from tarnsieve.llm import decontaminate, secrets, simhash, toxicity
+    from tarnsieve.llm import decontaminate, secrets, toxicity
+
+    from test_near import plain_components
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -114,7 +116,7 @@ def test_pipeline(spark, sf):
     table = model.table()
     kept = {i: t for i, t in kept.items() if model(t, table) < 0.3}
     assert 0 < len(kept) < docs.count()
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(now()).collect()}
+    groups = dict(plain_components(list(kept.items())))
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     dirty = {r["doc_id"] for r in decontaminate.find_contamination(now(), bench).where("n_hit > 0").collect()}
     kept = {i: t for i, t in kept.items() if i not in dirty}
@@ -130,10 +132,31 @@ def test_stages_take_odd_rows(spark, docs_of, odd, sf):
 
     for rows in (odd, []):
         docs = docs_of(rows)
-        for _, stage in pipeline.STAGES:
+        given = sorted(map(tuple, docs.collect()), key=str)
+        for name, stage in pipeline.STAGES:
             out = stage(spark, docs, sf)
-            assert stage is pipeline.pack or out.columns == docs.columns
-            assert out.count() <= len(rows) + 200
+            got = sorted(map(tuple, out.collect()), key=str)
+            if stage is pipeline.pack:
+                assert sum(r["doc_tokens"] for r in out.where("start = 0").collect()) == sum(r["length"] for r in out.collect())
+                assert out.where("start = 0").count() == len(rows)
+                continue
+            assert out.columns == docs.columns
+            if name == "near_duplicates" and rows:
+                texts = [r[1] or "" for r in got]  # one of each text; those without words are one group
+                assert len(set(texts)) == len(texts) and {t for t in texts if t.strip(" \t\n\x0b\x0c\r")} == {t for _, t in odd if (t or "").strip(" \t\n\x0b\x0c\r")}
+            elif name != "toxicity":
+                assert got == given
+
+
+def test_rows_without_an_id_are_judged(spark, docs_of, sf):
+    import corpus_pipeline as pipeline
+
+    passage = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if r["text"] and len(r["text"].split()) > 12)
+    rows = [(None, "clean one"), (None, f"see {passage} here"), (None, "password: hunter2hunter2x"), (None, "clean one"), (5, "clean two"), (5, f"also {passage}"), (5, "token = abcdefghij1234567")]
+    docs = docs_of(rows)
+    for _, stage in pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == [(0, "clean one"), (5, "clean two")]
 
 
 def test_convert_of_long_constructs():
