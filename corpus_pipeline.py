@@ -5,8 +5,10 @@ Jaccard similarity 0.8 or more) stays, the one of least id, documents with bench
 documents with secrets go, and the rest is packed into sequences.
 Every stage's result is written as Parquet to the shared folder and read again.
 
-A row without an id is judged by the toxicity stage and otherwise kept; rows that repeat an id share
-its fate.
+Each stage judges rows, not ids: a row without an id, or one of several with the same id, stays or goes by its own
+text, and of equal rows one stays.  A null text is an empty one (all of those are one near-duplicate group).  An
+empty table gives no rows.  Columns of any other name pass through unchanged.  Very long texts are judged whole, as
+each operator says.
 """
 
 from __future__ import annotations
@@ -16,26 +18,34 @@ from pyspark.sql import functions as F
 
 from tarnsieve.llm import decontaminate, near, packing, secrets, toxicity
 from tarnsieve.llm.queries import word_bpe_path
-from tarnsieve.llm.shared import new_folder, table, text_batches, without
+from tarnsieve.llm.shared import new_folder, table, text_batches, with_row_key, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _without(docs: DataFrame, found) -> DataFrame:
+    """docs without the rows whose keys found(rows, name of the key) gives in its column `row`."""
+    key = "_row"
+    while any(c.lower().startswith(key) for c in docs.columns):
+        key += "_"
+    rows = with_row_key(docs, key)
+    return without(rows, found(rows, key).select(F.col("row").alias(key)), key).drop(key)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    classes = near.near_duplicates(docs)
-    return without(docs, classes.where(F.col("doc_id") != F.col("component_id")))
+    return _without(docs, lambda rows, key: near.near_duplicates(rows, row_col=key).where(~F.col("stays")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.col("n_hit") > 0))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _without(docs, lambda rows, key: decontaminate.find_contamination(rows, benchmark, id_col=key).where("n_hit > 0").withColumnRenamed("doc_id", "row"))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, secrets.find_secrets(docs).where(F.size("spans") > 0))
+    return _without(docs, lambda rows, key: secrets.find_secrets(rows, id_col=key).where(F.size("spans") > 0).withColumnRenamed("doc_id", "row"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
