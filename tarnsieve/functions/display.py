@@ -11,6 +11,7 @@ _FIRST, _LAST = -62135596800, 253402300799
 
 def size_text(size: Column) -> Column:
     """Bytes in steps of 1024: whole bytes, else one decimal, ties to even; the unit is chosen before rounding."""
+    # The names of the units.
     text = None
     scaled = size.cast("double")
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
@@ -28,6 +29,7 @@ def time_text(seconds: Column) -> Column:
 
 
 def group_header(n: Column, size: Column) -> Column:
+    # The words of the header.
     return F.concat(F.lit("Exact duplicates — "), n.cast("string"), F.lit(" files, "), size_text(size), F.lit(" each"))
 
 
@@ -37,6 +39,7 @@ def thousands(n: Column) -> Column:
 
 def detail_text(row: dict[str, Column]) -> Column:
     """The record of one file, a labelled line for each field; a warning follows if it has an error."""
+    # The labels and what stands for a missing hash.
     missing = F.lit("(not computed)")
     shown = [
         ("Name:          ", row["name"]),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsieve.functions.names import ancestors, natural_key, normalized
+from tarnsieve.storage import written
 
 #: Above so many rules they are joined by a shuffle rather than broadcast.
 MOST_BROADCAST_RULES = 50_000
@@ -63,7 +64,8 @@ def suggest(dups: DataFrame, rules: DataFrame, actions: DataFrame | None = None,
     if keep not in ("code", "one"):
         raise ValueError("keep: code or one")
     left = live(dups, actions)
-    ranked = left.join(folder_ranks(left, rules), "dir")
+    # used by every aggregate below: written once
+    ranked = written(left.select("full_hash", "path", "dir", "name", "size").join(folder_ranks(left, rules), "dir"), "ranked")
     # the last of each (group, rank): names first, so that the least path among equals is an aggregate too
     named = ranked.groupBy("full_hash", "rank", F.length("name").alias("length"), natural_key(F.col("name")).alias("natural")).agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count("*").alias("n"))
     tiers = named.groupBy("full_hash", "rank").agg(F.max(F.struct("length", "natural", "first")).alias("goes"), F.min(F.struct("length", "natural", "last")).alias("stays"), F.sum("n").alias("n"))
@@ -87,6 +89,7 @@ def plan_order(plan: DataFrame, dups: DataFrame) -> DataFrame:
 
 def preview(plan: DataFrame, dups: DataFrame, n: int = 20) -> DataFrame:
     """The first n paths of a plan in the order shown, each with how many more there are."""
+    plan = written(plan, "plan")
     first = plan_order(plan, dups).orderBy(F.desc("total"), "full_hash", "why", "path").limit(n)
     more = plan.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("n_more")).withColumn("_one", F.lit(1))
     return first.select("path", F.lit(1).alias("_one")).join(F.broadcast(more), "_one").select("path", "n_more")  # one row

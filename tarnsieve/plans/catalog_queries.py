@@ -5,14 +5,19 @@ Each has a DuckDB counterpart in catalog_sql.py under the same key.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnsieve.functions import display
+from tarnsieve.functions.hashing import hash_files
 from tarnsieve.functions.names import matches, natural_key
 from tarnsieve.operators import candidates, groups, merge, ordering, policy
 from tarnsieve.operators.positions import numbered, numbered_within
-from tarnsieve.sources.documents import document_files
+from tarnsieve.sources.documents import copy_candidates, document_files
+from tarnsieve.sources.files import walk
+from tarnsieve.storage import new_folder, written
 
 from .catalog_sql import SQL
 
@@ -28,8 +33,13 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(spark, sf_dir, hashes=True).withColumnsRenamed({"ph": "partial_hash", "fh": "full_hash"})
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_candidates(spark, sf_dir).withColumnsRenamed({"ph": "partial_hash", "fh": "full_hash"})
+
+
 def _dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.duplicates(_hashed(spark, sf_dir))
+    """The files of all groups, written once: what follows reads these rows alone, some of them several times."""
+    return written(groups.duplicates(_candidates(spark, sf_dir)), "dups")
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -43,7 +53,7 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, then partial, then full hash: the groups of exact copies, largest first."""
-    staged = candidates.partial_candidates(candidates.size_candidates(_hashed(spark, sf_dir)))
+    staged = candidates.partial_candidates(_candidates(spark, sf_dir))
     return groups.group_totals(staged).orderBy(F.desc("total"), "full_hash")
 
 
@@ -56,7 +66,7 @@ def size_candidates(spark, sf_dir):
 
 
 def partial_candidates(spark, sf_dir):
-    return candidates.partial_candidates(_hashed(spark, sf_dir).select("path", "size", "partial_hash")).withColumnRenamed("partial_hash", "ph")
+    return candidates.partial_candidates(_candidates(spark, sf_dir).select("path", "size", "partial_hash")).withColumnRenamed("partial_hash", "ph")
 
 
 def exact_groups(spark, sf_dir):
@@ -128,7 +138,12 @@ def plan_totals(spark, sf_dir):
 
 
 def plan_preview(spark, sf_dir):
-    return policy.preview(_plan(spark, sf_dir), _dups(spark, sf_dir))
+    dups = _dups(spark, sf_dir)
+    return policy.preview(policy.suggest(dups, _rules(spark)), dups)
+
+
+def sorted_folders(spark, sf_dir):
+    return numbered(policy.live_folders(_dups(spark, sf_dir), _actions(spark, sf_dir)), [F.col("dir")]).select("dir", "pos")
 
 
 def prefill(spark, sf_dir):
@@ -224,6 +239,30 @@ def details(spark, sf_dir):
     return rows.select("path", display.detail_text({c: F.col(c) for c in rows.columns}).alias("detail"))
 
 
+def file_tree(spark, sf_dir):
+    """The documents as files on disk, found by the walker and hashed by blake2b; how many files share each hash.
+    The tree is made in the shared folder, which every executor has to see as a local path."""
+    root = new_folder(spark, "tree").removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("the walker reads mounted folders: set spark.checkpoint.dir to one")
+
+    def put(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+                with open(f"{root}/{name}", "wb") as out:
+                    out.write((text or "").encode())
+            yield batch.select(["path"])
+
+    document_files(spark, sf_dir, content=True).select("path", "text").mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
+    found = written(walk(spark, root), "walked")
+    for kind in ("partial", "full"):
+        hashed = written(hash_files(found.select("path", "size"), kind, spark.sparkContext.defaultParallelism), kind)
+        same = hashed.groupBy("hash").agg(F.count("*").alias(f"same_{kind}"))
+        found = found.join(hashed.join(same, "hash").select("path", F.length("hash").alias(f"{kind}_digits"), f"same_{kind}"), "path")
+    return found.select(F.expr(f"substring(path, {len(os.path.realpath(root)) + 1})").alias("path"), "name", "category", "size", "partial_digits", "full_digits", "same_partial", "same_full")
+
+
 _QUERIES = {
     "S1_catalog_scan": catalog_scan,
     "J1_size_candidates": size_candidates,
@@ -245,6 +284,7 @@ _QUERIES = {
     "F7_suggest_live": suggest_live,
     "A12_plan_totals": plan_totals,
     "O6_plan_preview": plan_preview,
+    "O3_sorted_folders": sorted_folders,
     "J6_O4_prefill": prefill,
     "W4_W5_rank_numbers": rank_numbers,
     "M4_incremental_merge": incremental_merge,
@@ -261,6 +301,7 @@ _QUERIES = {
     "X13_group_headers": group_headers,
     "X14_thousands": thousands,
     "X15_details": details,
+    "S1_X1_X2_file_tree": file_tree,
 }
 
 

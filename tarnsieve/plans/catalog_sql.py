@@ -72,6 +72,8 @@ _BODIES = {
     "A12_plan_totals": _ALL + "SELECT COUNT(*) AS n_files, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS total_size FROM plan",
     "O6_plan_preview": _ALL + f"""SELECT path, (SELECT greatest(COUNT(*) - 20, 0) FROM plan) AS n_more
         FROM (SELECT p.path, p.fh, p.why, g.tot FROM plan p JOIN ({_GROUPS}) g ON g.fh = p.fh ORDER BY tot DESC, fh, why, path LIMIT 20) t""",
+    "O3_sorted_folders": """SELECT dir, ROW_NUMBER() OVER (ORDER BY dir) AS pos
+        FROM (SELECT DISTINCT dir FROM (SELECT dir, COUNT(*) OVER (PARTITION BY fh) AS c FROM live WHERE deleted = 0) t WHERE c >= 2) f""",
     "J6_O4_prefill": """SELECT dir, COALESCE(recursive, false) AS recursive, ROW_NUMBER() OVER (ORDER BY CASE WHEN rnk IS NULL THEN 1 ELSE 0 END, rnk, lower(dir), dir) AS pos
         FROM (SELECT DISTINCT dir FROM dups) f LEFT JOIN rules r ON r.rpath = f.dir""",
     "W4_W5_rank_numbers": """SELECT path, recursive, CAST(rank AS INTEGER) AS rank, CAST(rank + 1 AS INTEGER) AS shown
@@ -99,6 +101,10 @@ _BODIES = {
         'Created (fs):  ', CASE WHEN doc_id % 2 = 0 THEN {_TIME.format('mtime')} ELSE '-' END, chr(10), chr(10),
         'Full hash:     ', CASE WHEN doc_id % 3 = 0 THEN fh ELSE '(not computed)' END, chr(10), 'Partial hash:  ', ph,
         CASE WHEN doc_id % 9 = 0 THEN concat(chr(10), chr(10), 'Warning: unreadable') ELSE '' END) AS detail FROM lib""",
+    "S1_X1_X2_file_tree": """SELECT path, name, category, size, 32 AS partial_digits, 64 AS full_digits,
+        COUNT(*) OVER (PARTITION BY ends) AS same_partial, COUNT(*) OVER (PARTITION BY text) AS same_full
+        FROM (SELECT *, CASE WHEN strlen(text) > 65536 THEN md5(array_slice(encode(text), 1, 65536)
+          || array_slice(encode(text), greatest(1, strlen(text) - 65535), strlen(text))) ELSE md5(text) END AS ends FROM lib) t""",
 }
 
 SQL = {name: _LIB + body for name, body in _BODIES.items()}

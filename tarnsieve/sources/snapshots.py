@@ -1,8 +1,9 @@
 """The catalog as immutable Parquet snapshots and a pointer to the newest.
 
 A writer makes a new folder and then moves the pointer, so readers see the old snapshot or the new
-one.  Pointer files are numbered and created without overwriting: of two writers that started from
-the same snapshot one fails instead of losing the other's rows.  Works on any store of Hadoop.
+one.  Pointer files are numbered; each is written whole under another name and then named without
+overwriting: of two writers that started from the same snapshot one fails instead of losing the other's
+rows, and a pointer is never seen before it is whole.  Works on any store of Hadoop whose renames are atomic.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ class SnapshotTable:
         files, at = hadoop_path(self.spark, f"{self.location}/_versions")
         if not files.exists(at):
             return 0
-        return max((int(s.getPath().getName()) for s in files.listStatus(at)), default=0)
+        names = [s.getPath().getName() for s in files.listStatus(at)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def _folder(self, version: int) -> str:
         files, at = hadoop_path(self.spark, f"{self.location}/_versions/{version}")
@@ -53,8 +55,22 @@ class SnapshotTable:
         version = (self.version() if after is None else after) + 1
         folder = f"snapshot-{version:09d}-{uuid.uuid4().hex}"
         df.select(*[f.name for f in self.schema]).write.parquet(f"{self.location}/{folder}")
+        self._point(version, folder)
+        return version
+
+    def _point(self, version: int, folder: str) -> None:
+        """Makes the pointer file; fails if another writer was first."""
         files, at = hadoop_path(self.spark, f"{self.location}/_versions/{version}")
-        stream = files.create(at, False)  # fails if another writer was first
+        _, draft = hadoop_path(self.spark, f"{self.location}/_versions/draft-{uuid.uuid4().hex}")
+        stream = files.create(draft, False)
         stream.write(folder.encode())
         stream.close()
-        return version
+        try:
+            if files.getUri().getScheme() == "file":  # Java's rename would overwrite
+                os.link(draft.toUri().getPath(), at.toUri().getPath())
+            else:
+                sc = self.spark.sparkContext
+                context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), sc._jsc.hadoopConfiguration())
+                context.rename(draft, at, sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        finally:
+            files.delete(draft, False)

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnsieve import schema
-from tarnsieve.operators.merge import merge_scan
+from tarnsieve.operators.merge import last_wins, merge_scan
 from tarnsieve.sources.snapshots import SnapshotTable
+from tarnsieve.storage import written
 
 
 def merge_batches(spark: SparkSession, arrivals: str, catalog: SnapshotTable, root: str, checkpoint: str) -> StreamingQuery:
     """Merges every batch of observed rows that lands in `arrivals` into the catalog's rows of `root`.
 
-    Batches add and update rows; only a whole scan can tell that files are gone.  A batch that is tried
-    again after a failure gives the same rows, so it does no harm.
+    Batches add and update rows; only a whole scan can tell that files are gone.  Of rows of a batch that share
+    a path the one of latest mtime counts, of equal ones the last.  A batch that is tried again after a failure
+    gives the same rows, so it does no harm.
     """
 
     def merge(batch, _):
         if batch.isEmpty():
             return
+        order = F.struct("mtime", F.monotonically_increasing_id().alias("at"))
+        batch = written(last_wins(batch.withColumn("seq", order)).drop("seq"), "observed")
         now, version = catalog.read(), catalog.version()
         kept = now.join(batch.select("path"), "path", "left_anti")
         merged = merge_scan(now.join(batch.select("path"), "path", "left_semi"), batch, root)
