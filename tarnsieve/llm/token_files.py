@@ -9,8 +9,8 @@ A shard file holds a run of documents in ascending id order:
     footer: JSON {mode, ids, docs, null_docs, table, chunks: [[offset, ids, [plane sizes]]...]}
     uint64 length of the footer, magic
 
-1. Texts are tokenized where they are read; each gives a row for every `run_ids` of its ids, at two bytes
-   an id where that suffices.  This table is written, so texts are neither tokenized twice nor shuffled.
+1. Texts are tokenized where they are read; each gives a row for every `run_ids` of its ids, as compressed
+   byte planes.  This table is written, so texts are neither tokenized twice nor shuffled.
 2. Its rows are dealt out by ranges of (document, row) - not of the id alone, so an id that very many rows
    share, or none, is no hot key - and sorted; about `shard_ids` ids make a range.
 3. A task writes its range, run by run, and begins a new shard after `shard_ids` ids or `shard_docs`
@@ -168,13 +168,28 @@ class ShardReader:
             yield length, crc
 
 
+def pack_run(ids: np.ndarray) -> bytes:
+    """The low bytes of all ids, then the next ones, as many planes as the largest id needs."""
+    planes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T
+    return planes[: max(1, -(-int(ids.max()).bit_length() // 8))].tobytes()
+
+
+def unpack_run(planes: bytes, n: int) -> np.ndarray:
+    ids = np.zeros((n, 4), np.uint8)
+    found = np.frombuffer(planes, np.uint8).reshape(-1, n)
+    ids[:, : len(found)] = found.T
+    return ids.reshape(-1).view("<u4")
+
+
 def token_runs(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, run_ids: int = 1 << 16, cache_bytes: int = CACHE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of each document in runs: doc_id, ids_crc32, doc_row (a number of the row), run, n_ids, last, ids
-    (little-endian, of two or four bytes)."""
+    (see `pack_run`)."""
     fields = {"doc_id": pa.int64(), "ids_crc32": pa.int64(), "doc_row": pa.int64(), "run": pa.int32(), "n_ids": pa.int32(), "last": pa.bool_(), "ids": pa.binary()}
 
     def encode(batches):
-        encode = tokenizer(tokenizer_path, cache_bytes).encode
+        import zstandard
+
+        encode, compress = tokenizer(tokenizer_path, cache_bytes).encode, zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             names = batch.column(0)
@@ -185,8 +200,7 @@ def token_runs(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID,
                 at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 size = np.minimum(lens[doc] - at * run_ids, run_ids)
                 ends = np.cumsum(size)
-                cut = [ids[b - k : b] for k, b in zip(size.tolist(), ends.tolist())]
-                blobs = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in cut]
+                blobs = [compress(pack_run(ids[b - k : b])) for k, b in zip(size.tolist(), ends.tolist())]
                 bounds = np.concatenate([[0], np.cumsum(lens)]).tolist()
                 crcs = np.array([crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:])], np.int64)
                 columns = [names.slice(first, len(run)).take(pa.array(doc)), pa.array(crcs[doc]), pa.array(row + doc), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(at == n[doc] - 1), pa.array(blobs, pa.binary())]
@@ -196,7 +210,7 @@ def token_runs(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID,
     return id_and_text(documents, id_col, text_col).mapInArrow(encode, "doc_id long, ids_crc32 long, doc_row long, run int, n_ids int, last boolean, ids binary")
 
 
-def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, mode: str = "byte", chunk_ids: int = 1 << 20, level: int = 1, shard_ids: int = 1 << 26, shard_docs: int = 1 << 20, cache_bytes: int = CACHE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, mode: str = "byte", chunk_ids: int = 1 << 20, level: int = 1, shard_ids: int = 1 << 25, shard_docs: int = 1 << 20, cache_bytes: int = CACHE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards of all documents to `folder` and returns their index, read from there."""
     if mode not in ("bit", "byte"):
         raise ValueError("mode: bit or byte")
@@ -204,6 +218,9 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
     columns = {"part": pa.int32(), "shard": pa.int32(), "file": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64(), "n_bytes": pa.int64(), "n_chunks": pa.int32()}
 
     def write(batches):
+        import zstandard
+
+        decompress = zstandard.ZstdDecompressor().decompress
         part, shard, writer, out, name = TaskContext.get().partitionId(), 0, None, None, None
 
         def done():
@@ -220,8 +237,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(f"{path}/{name}")
                     writer = ShardWriter(out, mode, chunk_ids, level)
-                data = blob.as_buffer()
-                writer.add(doc.as_py(), np.frombuffer(data, f"<u{data.size // n.as_py()}"), last.as_py())
+                writer.add(doc.as_py(), unpack_run(decompress(blob.as_py()), n.as_py()), last.as_py())
                 if last.as_py() and (writer.ids >= shard_ids or writer.n_docs >= shard_docs):
                     yield done()
                     shard, writer = shard + 1, None

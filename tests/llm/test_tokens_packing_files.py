@@ -149,6 +149,13 @@ def test_planes(mode):
         assert not any(planes[16 if mode == "bit" else 2 :])  # ids below 2^16 leave the others empty
 
 
+def test_runs_of_ids():
+    for top in (1, 255, 256, 65535, 65536, 2**32 - 1):
+        ids = np.array([0, top, top // 2, 1], np.uint32)
+        assert np.array_equal(token_files.unpack_run(token_files.pack_run(ids), 4), ids)
+        assert len(token_files.pack_run(ids)) == 4 * max(1, (top.bit_length() + 7) // 8)
+
+
 @pytest.mark.parametrize("mode,chunk", [("bit", 1000), ("byte", 64), ("byte", 1 << 20)])
 def test_files_round_trip(spark, docs_of, bpe, real, odd, encode, mode, chunk):
     rows = real + odd
