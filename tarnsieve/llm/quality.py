@@ -2,17 +2,18 @@
 
 One pass over the texts gives each document's counts: the base figures, a histogram of character
 classes and one of its language's most common words.  It is written once.  The histograms summed
-over all documents of a language are that language's references (a few numbers a language), and a
-document whose Jensen-Shannon distance from them is too large is not kept.  Guards: a histogram of
-fewer than `min_chars` characters or `min_words` words is not judged, and the allowed distance
-widens with the sampling error of short documents.
+over a clean set (documents labelled as good, or references fitted elsewhere) are a language's references,
+a few numbers, and a document whose Jensen-Shannon distance from them is too large is not kept.  Guards:
+a histogram of fewer than `min_chars` characters or `min_words` words is not judged, nor is one of a
+language without references, and the allowed distance widens with the sampling error of short documents.
 
-All expressions are native.  The repeated windows of a text are found by sorting its 3-gram hashes,
-each with its position in the low bits of one long, so neighbours in that order are compared.
+All expressions are native.  The repeated windows of a text are found by sorting its 3-gram hashes, each with its
+position; those whose hash stands next to an equal one are then sorted by their words, which decide.
 
 Nulls and ties: a null text has no words and fails the base rule; a null or unlisted language has no
 word histogram, and null is a language of its own for the character references; repeated rows are
-judged as often as they occur; other columns are ignored; an empty table gives no rows.
+judged as often as they occur; other columns are ignored; an empty table gives no rows.  Very long texts are
+judged whole: a row's arrays hold its words, hashes and candidate windows.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ _LONGS = "array<bigint>"
 
 def repeated_words(df: DataFrame, gram: str, n: int, size: str, name: str) -> DataFrame:
     """df with `name`: the words inside n-grams that stand twice or more.  gram: a column with their
-    hashes in order; size: words of the text.  Arrays that a lambda looks into are columns of their
-    own, since an expression there would be evaluated for every element."""
+    hashes in order; size: words of the text, which are in `words`.  Arrays that a lambda looks into are columns
+    of their own, since an expression there would be evaluated for every element."""
     mask = (1 << _POSITION_BITS) - 1
     short = F.col(size) <= mask
     none, no_pairs = F.array().cast(_LONGS), F.array().cast("array<struct<h:bigint,i:bigint>>")
@@ -51,7 +52,11 @@ def repeated_words(df: DataFrame, gram: str, n: int, size: str, name: str) -> Da
 
     packed_places = F.transform(neighbours("_packed", lambda x: F.shiftright(x, _POSITION_BITS)), lambda x: x.bitwiseAND(F.lit(mask)))
     pair_places = F.transform(neighbours("_pairs", lambda x: x["h"]), lambda x: x["i"])
-    placed = staged.withColumn("_places", F.sort_array(F.concat(packed_places, pair_places))).drop("_packed", "_pairs")
+    # equal hashes stand together whatever else shares them, so these hold every repeated window; words have no spaces
+    likely = staged.withColumn("_likely", F.concat(packed_places, pair_places)).drop("_packed", "_pairs")
+    said = F.transform("_likely", lambda p: F.struct(F.array_join(F.slice("words", p.cast("int") + 1, n), " ").alias("w"), p.alias("i")))
+    worded = likely.withColumn("_worded", F.sort_array(said)).drop("_likely")
+    placed = worded.withColumn("_places", F.sort_array(F.transform(neighbours("_worded", lambda x: x["w"]), lambda x: x["i"]))).drop("_worded")
     whole = F.lit(n).cast("long")
     steps = F.transform("_places", lambda p, i: F.least(whole, F.coalesce(F.get("_places", i + 1) - p, whole)))
     return placed.withColumn(name, F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_places")
@@ -68,7 +73,7 @@ def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hits = F.transform(F.filter("words", lambda w: F.lower(w).isin(*listed)), F.lower)
         common = (F if common is None else common).when(F.col("lang") == lang, hits)
     counted = worded.select(
-        "doc_id", "lang", "n_words",
+        "doc_id", "lang", "n_words", "words",
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("n_symbols"),
         lines.alias("lines"), grams(F.col("words"), 3, n).alias("gram"), common.alias("hits"),
@@ -81,7 +86,7 @@ def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = F.array(rest, "upper", "digits", "marks", "n_symbols", F.col("chars") - F.col("word_chars")).cast(_LONGS)
     bins = None
     for lang, listed in COMMON.items():
-        each = [F.size(F.filter("hits", _equals(w))) for w in listed]
+        each = [F.size("hits") - F.size(F.array_remove("hits", w)) for w in listed]
         counts = F.array(*each, n - F.size("hits")).cast(_LONGS)
         bins = (F if bins is None else bins).when(F.col("lang") == lang, counts)
     return repeated_words(counted, "gram", 3, "n_words", "repeats").select(
@@ -92,10 +97,6 @@ def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _equals(word: str):
-    return lambda h: h == word
-
-
 def jensen_shannon(p: Column, q: Column) -> Column:
     """Distance (0 to 1, base 2) of two histograms of counts of equal length; null if either is empty."""
 
@@ -123,18 +124,28 @@ def references(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(summed("classes", 6), summed("bins", longest)).select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.col("lang").isNull().alias("ref_null"), "ref_classes", "ref_bins")
 
 
-def judge(documents: DataFrame, max_class_distance: float = 0.22, max_word_distance: float = 0.2, min_chars: int = 200, min_words: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The counts of each document, its distances and whether it is kept."""
+def judge(documents: DataFrame, clean: DataFrame | None = None, refs: DataFrame | None = None, max_class_distance: float = 0.22, max_word_distance: float = 0.2, min_chars: int = 200, min_words: int = 100, most_broadcast: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The counts of each document, its distances and whether it is kept.
+
+    refs: what `references` gave elsewhere.  clean: the ids (`doc_id`) of documents whose histograms are the
+    references.  Without either, those are all documents that pass the base rule.
+    """
     counts = written(features(documents, id_col, text_col, lang_col), "quality")
-    refs = written(references(counts), "quality-references")
+    n = F.col("n_words")
+    base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+    if refs is None:
+        if clean is None:
+            good = counts.where(~base)
+        else:
+            ids = written(clean.select(F.col("doc_id")).distinct(), "clean-ids")
+            good = counts.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_semi")
+        refs = written(references(good), "quality-references")
     if refs.count() <= 10_000:  # a row of some 20 numbers for each language: else a shuffled join
         refs = F.broadcast(refs)
-    joined = counts.join(refs, (F.coalesce("lang", F.lit("")) == F.col("ref_lang")) & (F.col("lang").isNull() == F.col("ref_null")))
-    n = F.col("n_words")
+    joined = counts.join(refs, (F.coalesce("lang", F.lit("")) == F.col("ref_lang")) & (F.col("lang").isNull() == F.col("ref_null")), "left")
     classes, words = jensen_shannon(F.col("classes"), F.col("ref_classes")), jensen_shannon(F.col("bins"), F.col("ref_bins"))
-    measured = joined.withColumns({"class_distance": F.when(F.aggregate("classes", F.lit(0).cast("long"), lambda a, v: a + v) >= min_chars, classes), "word_distance": F.when(n >= min_words, words)})
-    base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    # a sample's distance from its own source falls as one over the root of its length
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, v: a + v)
+    measured = joined.withColumns({"class_distance": F.when(chars >= min_chars, classes), "word_distance": F.when(n >= min_words, words)})
+    # a sample's distance from its own source falls as one over the root of its length
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance + 0.6 / F.sqrt(F.greatest(chars, F.lit(1)))) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance + 0.5 / F.sqrt(F.greatest(n, F.lit(1))))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~far).alias("kept"), "class_distance", "word_distance")

@@ -75,7 +75,8 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(table(spark, sf_dir, "documents"))
+    clean = table(spark, sf_dir, "labels").where("quality = 1")
+    found = quality.judge(table(spark, sf_dir, "documents"), clean)
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
@@ -101,7 +102,9 @@ bins AS (SELECT doc_id, lang, 'w' AS kind, bin, v FROM hits
   UNION ALL SELECT doc_id, lang, 'c', 0, word_chars - n_symbols - upper - digits - marks FROM c UNION ALL SELECT doc_id, lang, 'c', 1, upper FROM c
   UNION ALL SELECT doc_id, lang, 'c', 2, digits FROM c UNION ALL SELECT doc_id, lang, 'c', 3, marks FROM c
   UNION ALL SELECT doc_id, lang, 'c', 4, n_symbols FROM c UNION ALL SELECT doc_id, lang, 'c', 5, chars - word_chars FROM c),
-refs AS (SELECT lang, kind, bin, SUM(v) AS v FROM bins GROUP BY ALL),
+clean AS (SELECT doc_id FROM labels WHERE quality = 1),
+refs AS (SELECT lang, kind, bin, SUM(CASE WHEN doc_id IN (SELECT doc_id FROM clean) THEN v ELSE 0 END) AS v FROM bins
+  WHERE lang IN (SELECT lang FROM d WHERE doc_id IN (SELECT doc_id FROM clean)) GROUP BY ALL),
 shares AS (SELECT lang, kind, bin, CAST(v AS DOUBLE) / SUM(v) OVER (PARTITION BY lang, kind) AS q FROM refs),
 own AS (SELECT doc_id, lang, kind, bin, CAST(v AS DOUBLE) / SUM(v) OVER (PARTITION BY doc_id, kind) AS p FROM bins),
 ids AS (SELECT DISTINCT doc_id, lang, kind FROM own),

@@ -213,8 +213,12 @@ def test_quality_base(spark, docs_of, real, odd):
     assert quality.judge(docs_of([])).count() == 0
 
 
-def test_quality_more_words_than_position_bits(spark, docs_of, monkeypatch, real):
-    monkeypatch.setattr(quality, "_POSITION_BITS", 5)
+@pytest.mark.parametrize("bits,hashes", [(5, 64), (20, 2), (20, 40), (5, 3)])
+def test_quality_compares_words(spark, docs_of, monkeypatch, real, bits, hashes):
+    """Texts with more words than the position bits count, and hashes of few bits, so that very many are equal by chance."""
+    monkeypatch.setattr(quality, "_POSITION_BITS", bits)
+    of = quality.grams
+    monkeypatch.setattr(quality, "grams", lambda *a: F.transform(of(*a), lambda h: F.shiftleft(F.shiftrightunsigned(h, 64 - hashes), 64 - hashes)))
     got = quality.judge(docs_of(real[:40])).collect()
     assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {i: plain_quality(t)[4] for i, t in real[:40]}
 
@@ -230,6 +234,18 @@ def test_quality_divergence(spark):
     assert all(got[i] for i in range(60)) and got[103] and not any(got[i] for i in (100, 101, 102))
 
 
+def test_quality_references(spark):
+    """Junk in a language is not its reference; a language without clean documents is not judged."""
+    rows = [(i, "%%% ### " * 150 + f" {i} ".join(map(str, range(60))), "en") for i in range(30)] + [(100 + i, " ".join(f"the word{100 * k + i} of" for k in range(90)), "en") for i in range(5)] + [(200, "%%% ### " * 10 + " ".join(f"x{i}" for i in range(150)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clean = spark.createDataFrame([(100,), (101,), (100,), (None,)], "doc_id long")
+    got = {r["doc_id"]: r for r in quality.judge(docs, clean).collect()}
+    assert len(got) == len(rows) and all(got[i]["kept"] for i in range(100, 105)) and not any(got[i]["kept"] for i in range(30))
+    assert got[200]["kept"] and got[200]["class_distance"] is None
+    refs = quality.references(quality.features(docs.where("doc_id in (100, 101)")))
+    assert {r["doc_id"]: tuple(r) for r in quality.judge(docs, refs=refs).collect()} == {i: tuple(r) for i, r in got.items()}
+
+
 def test_jensen_shannon(spark):
     from math import log2, sqrt
 
