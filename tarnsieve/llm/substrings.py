@@ -1,22 +1,25 @@
 """Substring dedup: every word that a repeated window of words covers goes, but for its first occurrence.
 
-1. Workers hash each window of `window` words with a Rabin-Karp rolling hash (64 bits; words are
-   hashed the same way over their bytes).  Of equal windows in a worker's batch only the first
-   stands for the batch; the others are known to be repeats already.
-2. The hash's leading bits name a bucket.  A batch sends each bucket one packed row: 7 bytes a
-   window plus its place (document and position), gap-coded.  A window in a third of all documents
-   thus reaches its bucket once a batch.
+1. Workers hash each window of `window` words with two Rabin-Karp rolling hashes of independent bases (64
+   bits each; words are hashed the same way over their bytes).  Of equal windows in a worker's batch
+   only the first stands for the batch; the others are known to be repeats already.
+2. The second hash's leading bits name a bucket; there are so many buckets that each takes about
+   `bucket_bytes` of text.  A batch sends each bucket one packed row: 8 bytes a window, the first hash, plus its
+   place (document and position), gap-coded.  A window in a third of all documents thus reaches its
+   bucket once a batch.
 3. A bucket's worker counts equal hashes and marks all but the earliest place of each, by document
    id, then position; the marks go, packed again, to buckets of documents.
 4. There they meet the texts, and marked windows merge into maximal intervals, which are removed.
 
-A batch or bucket, not a key, is what a task holds; nothing is collected.  Windows count as equal if
-the 56 sent bits and the bucket's own are; there is no comparison of the words behind them.
+A batch or bucket, not a key, is what a task holds; nothing is collected but the table's size.  Windows count as
+equal if 64 bits and the bucket's own b are; the words behind them are not compared.  Of n different windows
+n^2 / 2^(65 + b) pairs are expected to be taken for equal though they are not: 3e-5 of a pair for
+a billion windows in 2^10 buckets, 6 for 3e13 windows (100 TB) in 2^22 of 64 times the default size.
 
 Nulls and ties: a null text has no words; texts shorter than a window lose nothing; a null id comes
 before all others.  An id names one document: rows that repeat it share their marks, and windows at
 the same position of it are not earlier than one another.  Empty tables give no rows; columns other
-than id and text are ignored.
+than id and text are ignored.  Of a very long text a worker holds the words and some 40 bytes a window.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from .shared import id_and_text
 
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so each has an inverse mod 2^64
+# odd, so each has an inverse mod 2^64
+_BYTE_BASE, _WORD_BASE, _BUCKET_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407
 #: Stands for a null id: less than any other.
 NULL_ID = -(1 << 63)
 
@@ -50,7 +54,7 @@ class _Powers:
         return self.arrays[0][:n], self.arrays[1][:n]
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_byte_powers, _word_powers, _bucket_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_BUCKET_BASE)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,8 +71,8 @@ def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _P
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and word position of every window of the texts, in order."""
+def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, text number and word position of every window of the texts, in order."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
@@ -77,7 +81,7 @@ def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     text_of = np.searchsorted(text_ends, starts, "right")
     n = len(starts) - window + 1
     if n <= 0:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int32)
     words = np.empty(len(starts), _U)
     # a megabyte of whole words at a time: the sums take several times a text's memory
     cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)))
@@ -86,11 +90,11 @@ def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
             low, high = starts[a], ends[b - 1]
             words[a:b] = _rolled(data[low:high].astype(_U) + _U(1), starts[a:b] - low, ends[a:b] - low, _byte_powers)
     at = np.arange(n)
-    hashes = _rolled(words, at, at + window, _word_powers)
+    hashes, keys = (_rolled(words, at, at + window, powers) for powers in (_word_powers, _bucket_powers))
     first_word = np.searchsorted(text_of, np.arange(len(texts)))
     whole = text_of[:n] == text_of[window - 1 :]
     of = text_of[:n][whole]
-    return hashes[whole], of, (at[whole] - first_word[of]).astype(np.int32)
+    return hashes[whole], keys[whole], of, (at[whole] - first_word[of]).astype(np.int32)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -153,32 +157,28 @@ def _by_bucket(buckets: np.ndarray):
             yield int(buckets[part[0]]), part
 
 
-def _send(hashes, docs, positions, bits: int):
+def _send(hashes, keys, docs, positions, bits: int):
     """(bucket, payload) rows of one batch of windows."""
     if (docs[1:] < docs[:-1]).any():  # texts come in any order of ids
         order = np.lexsort((positions, docs))
-        hashes, docs, positions = hashes[order], docs[order], positions[order]
+        hashes, keys, docs, positions = hashes[order], keys[order], docs[order], positions[order]
     by_hash = np.argsort(hashes, kind="stable")
-    same = np.concatenate([[False], hashes[by_hash][1:] == hashes[by_hash][:-1]])
+    same = np.concatenate([[False], (hashes[by_hash][1:] == hashes[by_hash][:-1]) & (keys[by_hash][1:] == keys[by_hash][:-1])])
     first_of = by_hash[np.maximum.accumulate(np.where(same, 0, np.arange(len(by_hash))))]
     later = np.zeros(len(hashes), bool)
     later[by_hash] = same
     known = np.zeros(len(hashes), bool)  # a repeated row of the same id and position is no later one
     known[by_hash] = same & ((docs[by_hash] != docs[first_of]) | (positions[by_hash] != positions[first_of]))
-    buckets = (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    rest = hashes << _U(bits) >> _U(8)  # the 56 bits below the bucket's
+    buckets = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     for bucket, part in _by_bucket(buckets):
         sent, marked = part[~later[part]], part[known[part]]
-        planes = np.ascontiguousarray(rest[sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-        yield bucket, pack_places(docs[sent], positions[sent]) + pack_places(docs[marked], positions[marked]) + planes
+        yield bucket, pack_places(docs[sent], positions[sent]) + pack_places(docs[marked], positions[marked]) + hashes[sent].astype("<u8").tobytes()
 
 
 def _received(payload: bytes):
     docs, positions, at = unpack_places(payload)
     marked_docs, marked_positions, at = unpack_places(payload, at)
-    raw = np.zeros((len(docs), 8), np.uint8)
-    raw[:, :7] = np.frombuffer(payload, np.uint8, 7 * len(docs), at).reshape(-1, 7)
-    return raw.reshape(-1).view("<u8"), docs, positions, marked_docs, marked_positions
+    return np.frombuffer(payload, "<u8", len(docs), at), docs, positions, marked_docs, marked_positions
 
 
 def _later(hashes, docs, positions) -> np.ndarray:
@@ -206,15 +206,19 @@ def intervals(positions: np.ndarray, window: int) -> np.ndarray:
     return np.stack([positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [-1]])] + window], axis=1)
 
 
-def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int = 1_000_000, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, the removed word intervals and the kept text
-    (its words joined by single spaces)."""
-    spark = documents.sparkSession
-    # about as many buckets of documents as the session has shuffle partitions, and twice as many of
-    # hashes; a bucket of hashes sends each bucket of documents at most one row
-    doc_bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length()
-    doc_buckets, bits = 1 << doc_bits, doc_bits + 1
+    (its words joined by single spaces).
+
+    A worker holds `batch_windows` windows, or a bucket: some 50 bytes for each of its windows, of which
+    12 MB of text have two million.  A larger table with the same buckets has more of them; larger buckets and
+    batches keep a batch's rows from becoming small.
+    """
     docs = id_and_text(documents, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, -(-size // bucket_bytes) - 1).bit_length()
+    # a bucket of hashes sends each bucket of documents at most one row
+    doc_buckets = 1 << max(1, bits - 1)
     rows = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
     def batch_of(found):
@@ -235,8 +239,8 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
                 texts.append((column[i].as_py() or "").encode())
                 size += len(texts[-1])
                 if size > 2_000_000 or i + 1 == len(ids):
-                    hashes, of, positions = windows(texts, window)
-                    held.append((hashes, ids[first + of], positions))
+                    hashes, keys, of, positions = windows(texts, window)
+                    held.append((hashes, keys, ids[first + of], positions))
                     count += len(hashes)
                     texts, first, size = [], i + 1, 0
                     if count >= batch_windows:

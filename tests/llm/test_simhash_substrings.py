@@ -134,12 +134,12 @@ def plain_removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,batch", [(20, 1_000_000), (3, 50), (1, 10)])
-def test_remove_repeats(spark, docs_of, real, odd, window, batch):
+@pytest.mark.parametrize("window,batch,bucket", [(20, 1_000_000, 12 << 20), (3, 50, 12 << 20), (1, 10, 12 << 20), (20, 5000, 20_000)])
+def test_remove_repeats(spark, docs_of, real, odd, window, batch, bucket):
     rows = real[:120] + odd
     if window < 20:
         rows = [(i, t[:3000] if t else t) for i, t in rows]
-    got = substrings.remove_repeats(docs_of(rows), window, batch).collect()
+    got = substrings.remove_repeats(docs_of(rows), window, batch, bucket).collect()
     want = plain_removed(rows, window)
     assert len(got) == len(rows)
     for r in got:
