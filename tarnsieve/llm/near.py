@@ -12,8 +12,10 @@ that they leave is checked:
 3. Each set of a key meets the key's least and greatest set.  A pair whose fingerprints differ in at most
    `radius` bits is a link if the Jaccard similarity of its sets, by array_intersect, is `least` or more.
 4. In each key, the sets outside its largest component so far are compared with all sets of other components,
-   bit-sliced (`simhash.pairs_within`), in blocks of `block` sets against `others`, each a task's group
-   of bounded memory; only pairs within the radius leave the worker, and are checked as before.
+   bit-sliced (`simhash.pairs_within`), in blocks of about `block` numbers (hashes and fingerprints) against
+   `others`, each a group of its own that a worker streams in bounded memory.  A worker checks the pairs within
+   the radius by the sets themselves, unless earlier ones join their components, and gives the edges of a
+   spanning forest, so no list of pairs exists anywhere.
 5. Components of the links; a document's component is the least doc_id in it.
 
 `radius` (by default 0.2425 of the bits) is over four standard deviations above what sets of similarity 0.8 differ
@@ -101,62 +103,110 @@ def _fits(a, b, least: float):
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
-def _checked(pairs: DataFrame, held: DataFrame, least: float, radius: int | None) -> DataFrame:
-    """Of the distinct pairs (a, b), those of similarity `least` or more.  radius: bits that fingerprints may
-    differ in; None if they have been compared."""
-    if radius is not None:
-        fps = [held.select(F.col("set_id").alias(side), F.col("fp").alias(f"fp_{side}")) for side in "ab"]
-        apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        pairs = pairs.join(fps[0], "a").join(fps[1], "b").where(apart <= radius).select("a", "b")
+def _checked(pairs: DataFrame, held: DataFrame, least: float, radius: int) -> DataFrame:
+    """Of the distinct pairs (a, b), those of similarity `least` or more.  radius: bits that fingerprints may differ in."""
+    fps = [held.select(F.col("set_id").alias(side), F.col("fp").alias(f"fp_{side}")) for side in "ab"]
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(fps[0], "a").join(fps[1], "b").where(apart <= radius).select("a", "b")
     both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
     return written(sized.where(F.col("common") >= least * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
 
 
-def _compare(words: int, least: float, radius: int, step: int = 4096):
-    """mapInArrow function over sorted rows (key, q, o, other, set_id, root, n, apart, fp): the pairs within the
-    radius of each group's queries with its others of another root."""
+class _Forest:
+    """Components that a group's links join."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[a] = b
+        return a != b
+
+
+def similar(one: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the sets of sorted hashes are similar to `one`."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets)
+    at = np.searchsorted(one, every)
+    hit = one[np.minimum(at, len(one) - 1)] == every
+    common = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])])
+    return common >= least * (len(one) + sizes - common) - 1e-9
+
+
+def _compare(words: int, least: float, radius: int, step: int = 1 << 20, at_once: int = 256):
+    """mapInArrow function over sorted rows (key, q, o, other, set_id, root, apart, fp, hashes): forest edges of the links
+    of each group's queries with its others of another root."""
     import pyarrow.compute as pc
 
-    def pairs(queries, others):
-        x, y = ({c: np.concatenate([p[c] for p in side]) for c in side[0]} for side in (queries, others))
+    def numbers(column):
+        """The lists of an Arrow column as arrays."""
+        flat, ends = pc.list_flatten(column).to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(column).to_numpy())
+        return np.split(flat, ends[:-1])
+
+    def edges(queries, others, forest):
+        x, y = ({c: np.concatenate([p[c] for p in side]) for c in ("set_id", "root", "apart", "fp")} | {"hashes": [h for p in side for h in p["hashes"]]} for side in (queries, others))
+        n, m = (np.fromiter(map(len, z["hashes"]), np.int64, len(z["hashes"])) for z in (x, y))
+        found = []
         for i, j in pairs_within(x["fp"], y["fp"], radius):
-            a, b, n, m = x["set_id"][i], y["set_id"][j], x["n"][i], y["n"][j]
             # two sets that are both apart meet twice
-            keep = (x["root"][i] != y["root"][j]) & (~y["apart"][j] | (a < b)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+            keep = (x["root"][i] != y["root"][j]) & (~y["apart"][j] | (x["set_id"][i] < y["set_id"][j])) & (np.minimum(n[i], m[j]) >= least * np.maximum(n[i], m[j]) - 1e-9)
+            i, j = i[keep], j[keep]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+                q = int(i[part[0]])
+                root = int(x["root"][q])
+                for at in range(0, len(part), at_once):
+                    rest = [o for o in j[part[at : at + at_once]].tolist() if forest.find(int(y["root"][o])) != forest.find(root)]
+                    if not rest:
+                        continue
+                    alike = similar(x["hashes"][q], [y["hashes"][o] for o in rest], least)
+                    for o in np.array(rest)[alike].tolist():
+                        if forest.join(root, int(y["root"][o])):
+                            found.append((int(x["set_id"][q]), int(y["set_id"][o])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], names=["a", "b"])
 
     def compare(batches):
-        group, queries, others, held = None, [], [], 0
+        group, queries, others, held, forest = None, [], [], 0, _Forest()
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = np.stack([batch.column(c).to_numpy() for c in ("key", "q", "o")], axis=1)
-            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("other", "set_id", "root", "n", "apart")}
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("other", "set_id", "root", "apart")}
             column["fp"] = pc.list_flatten(batch.column("fp")).to_numpy().view(np.uint64).reshape(-1, words)
+            hashes = numbers(batch.column("hashes"))
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1) | (column["other"][1:] != column["other"][:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
-                part = {c: v[a:b] for c, v in column.items()}
+                part = {c: v[a:b].copy() for c, v in column.items()} | {"hashes": [h.copy() for h in hashes[a:b]]}
                 if tuple(names[a]) != group:
                     if queries and others:
-                        yield from pairs(queries, others)
-                    group, queries, others, held = tuple(names[a]), [], [], 0
+                        yield from edges(queries, others, forest)
+                    group, queries, others, held, forest = tuple(names[a]), [], [], 0, _Forest()
                 if not part["other"][0]:
                     queries.append(part)
                     continue
                 others.append(part)
-                held += b - a
+                held += sum(map(len, part["hashes"]))
                 if held >= step and queries:
-                    yield from pairs(queries, others)
+                    yield from edges(queries, others, forest)
                     others, held = [], 0
         if queries and others:
-            yield from pairs(queries, others)
+            yield from edges(queries, others, forest)
 
     return compare
 
 
-def links(met: DataFrame, held: DataFrame, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 4096, others: int = 1 << 16) -> DataFrame:
+def links(met: DataFrame, held: DataFrame, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 1 << 19, others: int = 1 << 25) -> DataFrame:
     """Links (a, b) whose components are those of all links among sets that share a key.
     met: key, set_id, n (hashes of the set); held: set_id, hashes, fp."""
     radius = round(0.2425 * 64 * words) if radius is None else radius
@@ -168,9 +218,12 @@ def links(met: DataFrame, held: DataFrame, least: float = 0.8, words: int = 16,
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     large = met.join(ends.where("members > 3").select("key"), "key")
     rooted = written(large.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
-    counts = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("sets"), F.max("count").alias("main"))
-    split = counts.where("sets > main").select("key", "most", F.ceil((F.col("sets") - F.col("main")) / block).cast("int").alias("n_q"), F.ceil(F.col("sets") / others).cast("int").alias("n_o"))
-    rows = rooted.join(split, "key").withColumn("apart", F.col("root") != F.col("most")).join(held.select("set_id", "fp"), "set_id")
+    # what a set takes: its hashes and fingerprint, and 500 more, so a block's sets are bounded too
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("sets"), F.sum(F.col("n") + words + 500).alias("size"))
+    most = F.struct("sets", "root")
+    counts = parts.groupBy("key").agg(F.max_by("root", most).alias("most"), F.max_by("size", most).alias("main"), F.sum("size").alias("size"))
+    split = counts.where("size > main").select("key", "most", F.ceil((F.col("size") - F.col("main")) / block).cast("int").alias("n_q"), F.ceil(F.col("size") / others).cast("int").alias("n_o"))
+    rows = rooted.join(split, "key").withColumn("apart", F.col("root") != F.col("most")).join(held, "set_id")
 
     def dealt(name: str):
         return F.pmod(F.xxhash64("set_id", F.lit(name)), F.col(f"n_{name}")).cast("int")
@@ -178,15 +231,14 @@ def links(met: DataFrame, held: DataFrame, least: float = 0.8, words: int = 16,
     def all_of(name: str):
         return F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1))
 
-    columns = ["set_id", "root", "n", "apart", "fp"]
+    columns = ["set_id", "root", "apart", "fp", "hashes"]
     asked = rows.where("apart").select("key", dealt("q").alias("q"), all_of("o").alias("o"), F.lit(False).alias("other"), *columns)
     met_by = rows.select("key", all_of("q").alias("q"), dealt("o").alias("o"), F.lit(True).alias("other"), *columns)
     sorted_ = asked.union(met_by).repartition("key", "q", "o").sortWithinPartitions("key", "q", "o", "other")
-    pairs = sorted_.mapInArrow(_compare(words, least, radius), "a long, b long").distinct()
-    return found.union(_checked(pairs, held, least, None))
+    return found.union(sorted_.mapInArrow(_compare(words, least, radius), "a long, b long"))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 4096, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 16, radius: int | None = None, block: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, most_broadcast: int = 1_000_000) -> DataFrame:
     """Per document: doc_id, row, component_id, stays (true for the one row of a component with the least doc_id, then row).
 
     row_col: a number of its own for each row; without it the id serves, and rows that repeat an id stay or go together.

@@ -57,7 +57,7 @@ def short():
     return [(40_000 + 20 * k + n, " ".join([f"k{k}", *words[: n % 10 + rng.randrange(4)]])) for k in range(8) for n in range(12)]
 
 
-@pytest.mark.parametrize("block,others", [(4096, 1 << 16), (3, 10)])
+@pytest.mark.parametrize("block,others", [(1 << 19, 1 << 25), (3000, 20_000)])
 def test_recall_against_brute_force(spark, docs_of, real, odd, block, others, monkeypatch):
     """Small blocks deal the groups of keys out to many tasks' groups."""
     monkeypatch.setattr(near.links, "__defaults__", (*near.links.__defaults__[:-1], others))
