@@ -13,7 +13,9 @@ texts' side is written once: ids and word counts, and the words of texts with hi
 
 Nulls and ties: a null text or item has no words; items without words match nothing; a null item id
 is not reported, though its windows count; repeated items are reported once, repeated rows of a
-document each; other columns are ignored; empty tables give no rows, or rows without hits.
+document each; other columns are ignored; empty tables give no rows, or rows without hits.  Very long texts are
+taken whole: a row's arrays hold its words and hashes.  A document lists every item that it shares a window with,
+so a passage that stands in all items makes lists as long as the benchmark.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from .shared import written
 from .words import grams, letter_words, lower_ascii
 
-_LONGS = "array<bigint>"
 
 
 def _worded(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -32,12 +33,12 @@ def _worded(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias(name), letter_words(text).alias("words")).withColumn("n_words", F.size("words"))
 
 
-def _kept(df: DataFrame, window: int, k: int) -> DataFrame:
-    """Adds `hashes` (k-grams in order) and `kept` (the least of each run of window - k + 1 of them)."""
+def _winnowed(df: DataFrame, window: int, k: int) -> DataFrame:
+    """Adds `least`: of each run of window - k + 1 neighbouring k-gram hashes the least."""
     span = window - k + 1
     hashed = df.withColumn("hashes", grams(F.col("words"), k, F.col("n_words")))
     least = F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - (span - 1), F.lit(0))), lambda h, i: F.least(h, *(F.get("hashes", i + j) for j in range(1, span))) if span > 1 else h)
-    return hashed.withColumn("kept", F.array_distinct(least))
+    return hashed.withColumn("least", least)
 
 
 def _runs(words: str, size: int):
@@ -45,7 +46,7 @@ def _runs(words: str, size: int):
     return lambda p: F.struct(p.alias("pos"), F.array_join(F.slice(words, p + 1, size), " ").alias("run"))
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 100_000, most_literals: int = 4096, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, the items found (sorted as strings) and the hit spans."""
     items = written(_worded(benchmark, item_col, item_text_col, "item_id"), "items")
     long_items, short_items = items.where(F.col("n_words") >= window), items.where(F.col("n_words").between(1, window - 1))
@@ -55,51 +56,46 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.array_join("words", " ").alias("run")))
     named = long_items.select("item_id", F.lit(window).alias("size"), F.explode(all_runs).alias("w")).union(short_items.select("item_id", F.col("n_words").alias("size"), F.explode(whole).alias("w")))
     windows = written(named.groupBy(F.col("w.run").alias("run"), "size").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "item-windows")
-    prints = written(_kept(long_items, window, k).select(F.explode("kept").alias("print")).distinct(), "item-prints")
+    prints = written(_winnowed(long_items, window, k).select(F.explode("least").alias("print")).distinct(), "item-prints")
     lengths = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # at most window - 1 values
     n_prints, n_windows = prints.count(), windows.count()
     some = F.broadcast(windows) if n_windows <= most_broadcast else windows
-
-    docs = _kept(_worded(documents, id_col, text_col, "doc_id"), window, k).drop("hashes").withColumn("row", F.monotonically_increasing_id())
-    if n_prints <= 4096:
-        # so few that they are best held beside each task: a hash set of them is made for each text
-        known = sorted(r["print"] for r in prints.collect())
-        common = F.array_intersect("kept", F.array(*map(F.lit, known)).cast(_LONGS)) if known else F.array().cast(_LONGS)
-        docs = docs.withColumn("common", common)
-        docs = written(docs.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), "common", F.when((F.size("common") > 0) | F.lit(bool(lengths)), F.col("words")).alias("words")), "texts")
+    shared = F.broadcast(prints) if n_prints <= most_broadcast else prints
+    # so few that they are best held beside each task, as the set of a membership test
+    known = sorted(r["print"] for r in prints.collect()) if n_prints <= most_literals else None
+
+    docs = _winnowed(_worded(documents, id_col, text_col, "doc_id"), window, k).drop("hashes").withColumn("row", F.monotonically_increasing_id())
+    columns = ["row", "doc_id", F.col("n_words").cast("long").alias("n_words")]
+    if known is not None:
+        hit = F.exists("least", lambda h: h.isin(known)) if known else F.lit(False)
+        docs = docs.withColumn("hit", hit)
+        docs = written(docs.select(*columns, "hit", F.when(F.col("hit") | F.lit(bool(lengths)), F.col("words")).alias("words")), "texts")
     else:
         docs = written(docs, "texts")
-        met = docs.select("row", F.explode("kept").alias("print")).join(F.broadcast(prints) if n_prints <= most_broadcast else prints, "print")
-        met = met.groupBy("row").agg(F.collect_set("print").alias("common"))
-        docs = docs.join(met, "row", "left").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("common", F.array().cast(_LONGS)).alias("common"), "words")
+        met = docs.select("row", F.explode(F.array_distinct("least")).alias("print")).join(shared, "print", "left_semi").select("row").distinct()
+        docs = docs.join(met.withColumn("hit", F.lit(True)), "row", "left").select(*columns, F.coalesce("hit", F.lit(False)).alias("hit"), "words")
 
     # extend: the windows around the positions of common hashes
-    hit = docs.where(F.size("common") > 0).select("row", "words", "common", F.size("words").alias("n"))
-    placed = hit.withColumn("hashes", grams(F.col("words"), k, F.col("n")))
-    at = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("common", h), i)), lambda i: i.isNotNull())
-    around = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - (window - k), F.lit(0)), F.least(p, F.col("n") - window)))))
-    tried = placed.where("n >= " + str(window)).withColumn("around", F.filter(around, lambda p: p >= 0)).select("row", F.lit(window).alias("size"), F.explode(F.transform("around", _runs("words", window))).alias("w"))
+    hit = docs.where("hit").select("row", "words", F.size("words").alias("n"))
+    placed = hit.select("row", "n", F.posexplode(grams(F.col("words"), k, F.col("n"))).alias("p", "print"))
+    placed = placed.where(F.col("print").isin(known)) if known else placed.join(shared, "print", "left_semi")
+    around = F.sequence(F.greatest(F.col("p") - (window - k), F.lit(0)), F.least(F.col("p"), F.col("n") - window))
+    starts = placed.where(F.col("n") >= window).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(around))).alias("starts"))
+    tried = hit.join(starts, "row").select("row", F.lit(window).alias("size"), F.explode(F.transform("starts", _runs("words", window))).alias("w"))
     for size in lengths:
         every = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - size), _runs("words", size))
         tried = tried.union(docs.where(F.col("n_words") >= size).select("row", F.lit(size).alias("size"), F.explode(every).alias("w")))
     equal = tried.select("row", "size", F.col("w.pos").alias("pos"), F.col("w.run").alias("run")).join(some, ["run", "size"])
-    found = equal.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sort_array(F.collect_set(F.struct("pos", F.col("size").alias("len")))).alias("places"))
-    # union of the places, in order: (spans, start and end of the one under way)
-    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
-
-    def closed(s):
-        return F.when(s["a"] >= 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("start"), s["b"].alias("end"))))).otherwise(s["done"])
-
-    def step(s, x):
-        end = x["pos"] + x["len"]
-        joins = (s["a"] >= 0) & (x["pos"] <= s["b"])
-        return F.struct(F.when(joins, s["done"]).otherwise(closed(s)).alias("done"), F.when(joins, s["a"]).otherwise(x["pos"]).alias("a"), F.when(joins, F.greatest(s["b"], end)).otherwise(end).alias("b"))
-
-    merged = found.select("row", F.sort_array("items").alias("items"), F.aggregate("places", start, step, closed).alias("spans"))
+    found = equal.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("pos", F.col("size").alias("len"))).alias("places"))
+    # the words inside any place, in order; a span begins where the word before is none of them
+    covered = found.withColumn("covered", F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))))
+    first = F.filter("covered", lambda p, i: ~F.get("covered", i - 1).eqNullSafe(p - 1))
+    last = F.filter("covered", lambda p, i: ~F.get("covered", i + 1).eqNullSafe(p + 1))
+    spans = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    merged = covered.select("row", F.sort_array("items").alias("items"), F.size("covered").cast("long").alias("n_hit"), spans.alias("spans"))
     none = F.array().cast("array<string>")
     result = docs.select("row", "doc_id", "n_words").join(merged, "row", "left")
-    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return result.select("doc_id", "n_words", F.coalesce(hits, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return result.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
