@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Fitting takes labelled rows, at most about `max_rows` of them (a hash of the id decides; the bound
-is what keeps the fit's tables of a fixed size).  Executors count in how many texts of either class
-each hashed n-gram occurs and keep the `max_features` that tell the classes apart best (chi-squared);
-their log-count ratios r scale the binary features of a logistic regression, fitted on the driver
-from the kept features' ids alone.  Scoring looks every n-gram of a whole text up in one table.
+Fitting takes labelled documents, one text for each id, at most about `max_rows` of them (a hash of the id
+decides; the bound is what keeps the fit's tables of a fixed size).  Executors count in how many texts of
+either class each hashed n-gram occurs; the `max_features` that tell the classes apart best (chi-squared) are
+the model's, a setting of its size that doesn't depend on the data's.  Their log-count ratios r scale the binary
+features of a logistic regression, fitted on the driver from the kept features' ids alone.  Scoring looks every n-gram of a whole text up in one table.
 
 Nulls and ties: a null text is an empty one and gets the classifier's bias as score; labels that are
 null are no labels, and several labels of an id count as their maximum; labels without a document
-are ignored; repeated documents are scored as often as they occur.  Without labels of both classes
+are ignored; of documents that repeat a labelled id the least text is learned from, and all are scored.  Very long
+texts are read whole, a million characters at a time.  Without labels of both classes
 every score is the share of label 1 (0.0 without labels).  Columns other than those named are ignored.
 """
 
@@ -180,8 +181,9 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_r
     total = known.count()
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < (1 << 30) * max_rows // total)
-    # about max_rows rows of 12 bytes: the bound of this broadcast
-    train = written(id_and_text(documents, id_col, text_col).join(F.broadcast(known), "doc_id").select("text", "label"), "toxicity-train")
+    # about max_rows rows of 12 bytes: the bound of this broadcast; an id has one text, however many rows repeat it
+    joined = id_and_text(documents, id_col, text_col).join(F.broadcast(known), "doc_id")
+    train = written(joined.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label"), "toxicity-train")
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
     if not n_neg or not n_pos:
