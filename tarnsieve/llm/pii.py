@@ -2,17 +2,18 @@
 
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches of their patterns which
 pass their check (parts of an address, Luhn, number of digits); they are always reported.  Added
-kinds are reported when their score reaches `threshold`: iban (country's length and mod-97, so the
-checksum alone suffices) and id_number (three groups of digits, only with a word such as "ssn"
-nearby).  A score starts at the kind's own, rises if a checksum confirmed it or a context word of
-the kind stands within `window` characters, and falls next to words such as "example" or "test".
+kinds are reported when their score reaches `threshold`: iban (country's length and mod-97), routing (nine
+digits weighted 3, 7, 1, mod 10), sin (nine digits, Luhn), dni (eight digits and their letter, mod 23) and
+id_number (three groups of digits).  A score starts at the kind's own, rises if a checksum confirmed it or a
+context word of the kind, as a whole word or its plural, stands within `window` characters, and falls next to
+words such as "example" or "test".  An iban suffices without context, but not in doubt; the others need it.
 
 All searches are linear in the text: patterns are tried only where an at sign, a plus sign or a run
 of digits stands.
 
 Nulls and ties: a null text is an empty one; a null id is kept; repeated rows are scanned as often
 as they occur; columns other than id and text are ignored; an empty table gives no rows.  Positions
-are code points, ends exclusive.
+are code points, ends exclusive.  Very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import id_and_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "id_number")
+ADDED_KINDS = ("iban", "id_number", "routing", "sin", "dni")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _LOCAL_SET = frozenset(_LOCAL)
@@ -36,6 +37,8 @@ _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_GROUPED = re.compile(r"[0-9]{3}([ -])[0-9]{3}\1[0-9]{3}(?![0-9A-Za-z-])")
+_WORDS = re.compile(r"[^\W_]+")
 _ID_NUMBER = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Lengths of account numbers by country.
@@ -47,7 +50,7 @@ IBAN_LENGTHS = {
 }
 
 # A kind's own score, and the words that raise it.
-SCORES = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.6, "iban": 0.6, "id_number": 0.3}
+SCORES = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.6, "iban": 0.4, "id_number": 0.3, "routing": 0.2, "sin": 0.2, "dni": 0.2}
 CONTEXT = {
     "email": ("mail", "contact", "write to"),
     "ip": ("ip", "address", "host", "server"),
@@ -55,7 +58,14 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "id_number": ("ssn", "social security", "id number", "national id"),
+    "routing": ("routing", "aba", "transit number"),
+    "sin": ("sin", "social insurance"),
+    "dni": ("dni", "nif", "documento nacional"),
 }
+#: Kinds that a checksum has confirmed.
+_CONFIRMED = frozenset(("card", "iban", "routing", "sin", "dni"))
+# Fixed value: the letter of an eight-digit number, by its rest mod 23.
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 DOUBT = ("example", "test", "dummy", "sample", "placeholder")
 
 
@@ -113,8 +123,20 @@ def _numbers(text: str):
             if len(kept) == n and not text[at - 2 + length : at - 1 + length].isalnum() and mod97(kept):
                 iban = at - 2 + length
                 yield "iban", at - 2, iban
-        if run.end() - at == 3 and (m := _ID_NUMBER.match(text, at)):
+        end = run.end()
+        if text[at - 1 : at].isalnum() or text[at - 1 : at] in ("-", "."):
+            continue
+        if end - at == 3 and (m := _ID_NUMBER.match(text, at)):
             yield "id_number", at, m.end()
+        if end - at == 9 and not text[end : end + 1].isalnum():
+            if sum(int(c) * w for c, w in zip(run[0], (3, 7, 1) * 3)) % 10 == 0:
+                yield "routing", at, end
+            if luhn(run[0]):
+                yield "sin", at, end
+        if end - at == 3 and (m := _GROUPED.match(text, at)) and luhn(m[0][:3] + m[0][4:7] + m[0][8:]):
+            yield "sin", at, m.end()
+        if end - at == 8 and text[end : end + 1] == _DNI_LETTERS[int(run[0]) % 23] and not text[end + 1 : end + 2].isalnum():
+            yield "dni", at, end + 1
 
 
 def _phones(text: str):
@@ -129,10 +151,17 @@ def _phones(text: str):
 
 
 def score(text: str, kind: str, start: int, end: int, window: int) -> float:
-    around = f"{text[max(0, start - window) : start]} {text[end : end + window]}".lower()
-    value = SCORES[kind] + 0.2 * (kind in ("card", "iban"))
-    value += 0.2 * any(w in around for w in CONTEXT[kind])
-    value -= 0.2 * any(w in around for w in DOUBT)
+    # whole words, also where the window cuts one off
+    left = max(0, start - window)
+    while left and text[left - 1].isalnum() and text[left].isalnum() and start - left < 2 * window:
+        left -= 1
+    right = min(len(text), end + window)
+    while right < len(text) and text[right - 1].isalnum() and text[right].isalnum() and right - end < 2 * window:
+        right += 1
+    around = f" {' '.join(_WORDS.findall(text[left:start].lower()))} | {' '.join(_WORDS.findall(text[end:right].lower()))} "
+    value = SCORES[kind] + 0.2 * (kind in _CONFIRMED)
+    value += 0.2 * any(f" {w} " in around or f" {w}s " in around for w in CONTEXT[kind])
+    value -= 0.2 * any(f" {w} " in around or f" {w}s " in around for w in DOUBT)
     return round(min(1.0, max(0.0, value)), 2)
 
 

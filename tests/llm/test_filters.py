@@ -1,6 +1,8 @@
 """PII (3), decontamination (4), toxicity (5), quality (8), secrets (10) against plain versions."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -47,6 +49,22 @@ def test_pii_context_moves_the_score():
     assert doubt < far < near
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("our latest ssn 123-45-6789", ["id_number"]), ("the hotel 123-45-6789", []), ("example ssn 123-45-6789", []), ("GB82 WEST 1234 5698 7654 32 is an example", []), ("an example iban GB82WEST12345698765432", ["iban"]),
+    ("routing number 021000021 of the bank", ["routing"]), ("routing number 021000022", []), ("order 021000021", []), ("rerouting 021000021", []),
+    ("SIN: 046 454 286", ["sin"]), ("SIN 046-454-286", ["sin"]), ("since 046454286", []), ("SIN 046454287", []), ("su DNI es 12345678Z", ["dni"]), ("DNI 12345678A", []), ("ref 12345678Z", []),
+])
+def test_pii_words_of_context(text, kinds):
+    assert [s[0] for s in pii.spans(text) if s[0] in pii.ADDED_KINDS] == kinds
+
+
+def test_pii_context_is_whole_words():
+    plain = pii.spans("zz +1 (564) 555-4526")[0][3]
+    for word in ("hotel", "basically", "latest", "contest"):
+        assert pii.spans(f"{word} +1 (564) 555-4526")[0][3] == plain
+    assert pii.spans("phones: +1 (564) 555-4526")[0][3] > plain
+
+
 def test_pii_long_texts_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "@" * 300_000, "a@" * 100_000, "+1" * 100_000, "1." * 100_000, "1 " * 100_000):
         pii.spans(text)
@@ -60,7 +78,9 @@ def test_pii_query(spark, docs_of, real, odd):
     for r in got:
         want = plain_pii(texts[r["doc_id"]] or "")
         assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in want) for k in pii.BASE_KINDS]
-        assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(r["spans"].split(","))
+        said = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE_KINDS] == said
     assert pii.find_pii(docs_of([])).count() == 0
 
 
@@ -95,12 +115,12 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"),
 PASSAGES = [(20, "before ONE, two three-four five six seven eight nine ten. after"), (21, "one two three four five six seven eight nine"), (22, "a Tiny, item and a tiny item"), (23, "x one two three four five six seven eight nine ten eleven twelve one two three four five six seven eight nine ten"), (24, "no name for this one but words enough to make a whole window")]
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_contamination(spark, docs_of, sf, real, odd, broadcast):
+@pytest.mark.parametrize("broadcast,literals", [(100_000, 4096), (0, 4096), (100_000, 0), (0, 0)])
+def test_contamination(spark, docs_of, sf, real, odd, broadcast, literals):
     rows = [(i, t[:20_000] if t else t) for i, t in real + odd + PASSAGES]
     items = ITEMS + [(r["item_id"] + 100, r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
-    got = decontaminate.find_contamination(docs_of(rows), bench, most_broadcast=broadcast).collect()
+    got = decontaminate.find_contamination(docs_of(rows), bench, most_broadcast=broadcast, most_literals=literals).collect()
     assert len(got) == len(rows)
     want = plain_contamination(rows, items, 10)
     for r in got:
@@ -140,8 +160,6 @@ def test_toxicity_learns_and_generalises(spark, docs_of):
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if got[r[0]]["held_out"]]
     assert len(held) > 30 and all(got[i]["predicted"] == y for i, _, y in held)
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     again = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert {r["doc_id"]: round(r["score"], 9) for r in again} == {i: round(r["score"], 9) for i, r in got.items()}
@@ -179,6 +197,51 @@ def test_toxicity_odd_rows(spark, docs_of, odd):
     assert toxicity.score(docs_of([]), model).count() == 0
 
 
+def test_toxicity_of_repeated_documents(spark, docs_of):
+    """Rows that repeat a labelled id don't multiply what is learned from."""
+    rows = labelled()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    texts = [r[:2] for r in rows]
+    a, b = toxicity.fit(docs_of(texts), labels), toxicity.fit(docs_of(texts + texts[3:4] * 500), labels)
+    assert a.bias == b.bias and (a.features == b.features).all() and (a.weights == b.weights).all()
+
+
+def test_toxicity_against_plain_fit(spark, docs_of):
+    """Counts, ratios and the fitted weights by their definitions."""
+    import math
+
+    import numpy as np
+
+    rows = [r for r in labelled() if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs, labels = docs_of([r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_features=160)
+    sets = [set(np.concatenate(list(toxicity._grams(t))).tolist()) for _, t, _ in rows]
+    n_pos = sum(y for _, _, y in rows)
+    n_neg = len(rows) - n_pos
+    ratio = {}
+    for f in set.union(*sets):
+        pos = sum(f in s and y for s, (_, _, y) in zip(sets, rows))
+        neg = sum(f in s and not y for s, (_, _, y) in zip(sets, rows))
+        both, n = pos + neg, len(rows)
+        expected = [(both * n_pos / n, pos), (both * n_neg / n, neg), ((n - both) * n_pos / n, n_pos - pos), ((n - both) * n_neg / n, n_neg - neg)]
+        chi = sum((o - e) ** 2 / e for e, o in expected) if all(e for e, _ in expected) else 0
+        if chi > 6.6 and both >= 3:
+            ratio[f] = chi, math.log((pos + 1) / (n_pos + 2)) - math.log((neg + 1) / (n_neg + 2))
+    # ten of each sixteenth of the hash range, the best by chi-squared
+    assert set(model.features.tolist()) <= set(ratio) and len(model.features) > 30
+    for part in range(16):
+        inside = sorted((c for f, (c, _) in ratio.items() if f >> 16 == part), reverse=True)
+        kept = sorted((ratio[f][0] for f in model.features.tolist() if f >> 16 == part), reverse=True)
+        assert np.allclose(kept, inside[:10])
+    # the gradient of log loss + w^2 / 2 vanishes at the fitted weights
+    x = np.array([[ratio[f][1] * (f in s) for f in model.features.tolist()] for s in sets])
+    y = np.array([y for _, _, y in rows], float)
+    w = model.weights / np.array([ratio[f][1] for f in model.features.tolist()])
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.02 and abs((p - y).sum()) < 0.02
+    assert np.allclose([model(t, model.table()) for _, t, _ in rows], p, atol=1e-4)
+
+
 def test_grams_of_long_texts_are_the_same():
     import numpy as np
 
@@ -280,8 +343,6 @@ def test_secrets(spark, docs_of, real, odd):
     rows = real + odd + SECRETS
     got = secrets.digest(secrets.find_secrets(docs_of(rows))).collect()
     assert len(got) == len(rows)
-    import hashlib
-
     texts = dict(rows)
     for r in got:
         want = plain_secrets(texts[r["doc_id"]] or "")
