@@ -3,8 +3,8 @@
 Every round replaces each node's edges by edges to the least node known to it; the number of
 rounds grows with the logarithm of the longest chain.  A round is two joins on a node and two
 minima (pre-aggregated where the edges are), so a node with very many edges is dealt out by the
-adaptive skew join.  Each round's edges are written to the shared folder; nothing is collected
-but a count and a checksum.
+adaptive skew join.  Each round's edges are written to the shared folder in place of the last ones; nothing is
+collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _starred(edges: DataFrame, keep) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: the lower neighbours and u itself go to the least of them
         small = _starred(large, F.lit(True))
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        now = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        last, now = now, written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(last)
         after = _state(now)
         if after == before:
             break

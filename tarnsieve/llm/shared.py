@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnsieve.storage import new_folder, written  # noqa: F401  the operators take them from here
+from tarnsieve.storage import discard, new_folder, scratch, written  # noqa: F401  the operators take them from here
 
 
 def text_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:

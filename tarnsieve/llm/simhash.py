@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import id_and_text, written
+from .shared import id_and_text, scratch, written
 
 #: 2^b for each bit, to spread a fingerprint over its planes.
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -230,12 +230,14 @@ def links(fps: DataFrame, radius: int = 2, most_in_key: int = 4096) -> DataFrame
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 2, most_in_key: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
-    docs = written(fingerprints(documents, shingle, id_col, text_col), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = components(links(fps.select("fp"), radius, most_in_key))
-    named = joined.select(F.col("node").alias("fp"), "root").union(joined.select(F.col("root").alias("fp"), "root").distinct())
-    with_ids = named.join(fps, "fp")
-    least = with_ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = with_ids.join(least, "root").select("fp", "component_id")
-    classes = written(fps.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    with scratch(documents.sparkSession) as keep:
+        docs = written(fingerprints(documents, shingle, id_col, text_col), "fingerprints")
+        fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+        joined = components(links(fps.select("fp"), radius, most_in_key))
+        named = joined.select(F.col("node").alias("fp"), "root").union(joined.select(F.col("root").alias("fp"), "root").distinct())
+        with_ids = named.join(fps, "fp")
+        least = with_ids.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = with_ids.join(least, "root").select("fp", "component_id")
+        classes = written(fps.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+        keep(docs, classes)
     return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
