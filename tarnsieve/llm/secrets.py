@@ -26,7 +26,8 @@ themselves; texts without a literal that a pattern needs are not searched.
 
 Nulls and ties: a null text is an empty one; a null id is kept; repeated rows are scanned as often as
 they occur; other columns are ignored; an empty table gives no rows.  Positions are code points,
-ends exclusive.
+ends exclusive.  Very long texts are searched whole; running sums in blocks keep the work for their many
+matches near linear.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ _HEX = r"[0-9a-f]{16,}"
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
+#: Numbers that are summed one by one, from the start of their block.
+_BLOCK = 128
+
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -97,16 +101,49 @@ def _normal_below(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def _running(df: DataFrame, numbers: str, name: str) -> DataFrame:
+    """df with `name`: the sums of the array `numbers` up to and with each element.  Blocks are summed, then the
+    elements of each block from its block's start, since an array that grows by one is copied each time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda k: F.slice(numbers, k * _BLOCK + 1, _BLOCK))
+    cut = df.withColumn("_blocks", F.when(F.size(numbers) > 0, blocks).otherwise(F.array().cast("array<array<int>>")))
+
+    def sums(array, start, add):
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(array, state, lambda s, x: F.struct((s["at"] + add(x)).alias("at"), F.array_append(s["sums"], s["at"] + add(x)).alias("sums")), lambda s: s["sums"])
+
+    whole = cut.withColumn("_ends", sums("_blocks", F.lit(0), lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
+    starts = whole.withColumn("_starts", F.concat(F.array(F.lit(0)), "_ends"))
+    return starts.withColumn(name, F.flatten(F.zip_with("_blocks", F.slice("_starts", 1, F.size("_blocks")), lambda b, at: sums(b, at, lambda x: x)))).drop("_blocks", "_ends", "_starts")
+
+
 def _places(df: DataFrame, wanted: Column, pattern: str, name: str) -> DataFrame:
     """Adds the matches of a pattern: `name`, an array of (m, start, end).  Not searched unless wanted."""
     none = F.array().cast("array<string>")
     found = df.withColumns({"_m": F.when(wanted, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none), "_gaps": F.when(wanted, F.split("text", pattern)).otherwise(none)})
-    lengths = found.withColumn("_both", F.zip_with(F.transform("_gaps", F.length), F.transform("_m", F.length), lambda g, m: F.struct(F.coalesce(g, F.lit(0)).alias("g"), m.alias("m"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    summed = F.aggregate("_both", first, lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(x["m"].isNull(), s["starts"]).otherwise(F.array_append(s["starts"], s["at"] + x["g"])).alias("starts")), lambda s: s["starts"])
-    placed = lengths.withColumn("_starts", summed)
-    joined = F.zip_with("_m", "_starts", lambda m, a: F.struct(m.alias("m"), a.alias("start"), (a + F.length(m)).alias("end")))
-    return placed.withColumn(name, joined).drop("_m", "_gaps", "_both", "_starts")
+    lengths = F.zip_with(F.slice("_gaps", 1, F.size("_m")), "_m", lambda g, m: F.length(g) + F.length(m))
+    placed = _running(found.withColumn("_lengths", lengths), "_lengths", "_at")
+    joined = F.zip_with("_m", "_at", lambda m, at: F.struct(m.alias("m"), (at - F.length(m)).alias("start"), at.alias("end")))
+    return placed.withColumn(name, joined).drop("_m", "_gaps", "_lengths", "_at")
+
+
+def _apart(df: DataFrame, tokens: str, kind: str, name: str) -> DataFrame:
+    """df with `name`: for each token (in order, none overlapping another) whether it overlaps no span of `kind` (likewise).
+    A token overlaps one if more spans begin before its end than end before or at its start; both are running
+    counts over the ends of all, sorted."""
+    # at equal positions: a span's end counts before a token's start, a token's end before a span's start
+    def events(column, at, order, more):
+        return F.transform(column, lambda x: F.struct(x[at].alias("at"), F.lit(order).alias("order"), F.lit(more).alias("more")))
+
+    both = (F.size(tokens) > 0) & (F.size(kind) > 0)
+    sorted_ = F.sort_array(F.concat(events(kind, "end", 0, 0), events(tokens, "start", 1, 0), events(tokens, "end", 2, 0), events(kind, "start", 3, 1)))
+    counted = df.withColumn("_events", F.when(both, sorted_).otherwise(F.array().cast("array<struct<at:int,order:int,more:int>>")))
+    begun = _running(counted.withColumn("_n", F.transform("_events", lambda e: e["more"])), "_n", "_begun")
+    ended = _running(begun.withColumn("_n", F.transform("_events", lambda e: (e["order"] == 0).cast("int"))), "_n", "_ended")
+    paired = ended.withColumn("_events", F.zip_with("_events", F.arrays_zip("_begun", "_ended"), lambda e, c: F.struct(e["order"].alias("order"), c["_begun"].alias("begun"), c["_ended"].alias("ended"))))
+    at_start = F.transform(F.filter("_events", lambda e: e["order"] == 1), lambda e: e["ended"])
+    at_end = F.transform(F.filter("_events", lambda e: e["order"] == 2), lambda e: e["begun"])
+    apart = F.when(both, F.zip_with(at_start, at_end, lambda ended, begun: begun <= ended)).otherwise(F.transform(tokens, lambda _: F.lit(True)))
+    return paired.withColumn(name, apart).drop("_events", "_n", "_begun", "_ended")
 
 
 def _spans(column: str, kind: int) -> Column:
@@ -204,7 +241,11 @@ def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col
     found = _places(found, F.col("_hexed"), _HEX, "hex")
     found = _places(found, F.col("_long"), _TOKEN, "tokens")
     base = found.withColumn("base", F.sort_array(F.concat(*(_spans(k, i) for i, k in enumerate(BASE_KINDS)))))
-    mixed = F.filter("tokens", lambda x: ~x["m"].rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & x["m"].rlike("[0-9A-Z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    for kind in BASE_KINDS:
+        base = _apart(base, "tokens", kind, f"_apart_{kind}")
+    told = F.arrays_zip("tokens", *(f"_apart_{k}" for k in BASE_KINDS))
+    free = F.filter(told, lambda x: x["_apart_assign"] & x["_apart_access"] & x["_apart_hex"])
+    mixed = F.filter(F.transform(free, lambda x: x["tokens"]), lambda x: ~x["m"].rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & x["m"].rlike("[0-9A-Z]"))
     scanned = written(base.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", mixed.alias("tokens")), "secrets")
     tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", _judged(F.col("t.m")).alias("m"), "t.start", "t.end")
     tested = written(_battery(tokens), "battery")
