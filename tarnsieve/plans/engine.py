@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import threading
@@ -119,24 +120,30 @@ class Engine:
             return self.spark.createDataFrame([(path, False, why)], "path string, removed boolean, error string")
         return self.apply(dups.where(F.col("path") == path), root, trash, actions, confirm)
 
-    def apply(self, plan: DataFrame, root: str, trash: str, actions: DataFrame | None = None, confirm: bool = False) -> DataFrame:
+    def apply(self, plan: DataFrame, root: str, trash: str, actions: DataFrame | None = None, confirm: bool = False, progress: Callable[[str, int, int], None] | None = None) -> DataFrame:
         """Moves the planned files to the folder `trash` and returns (path, removed, error).
 
         Without confirm nothing is touched.  Groups are looked at again first, so that each keeps a file.
-        Files are moved one by one by the driver: a plan is what a person has looked through.
+        Files are moved one by one by the driver: a plan is what a person has looked through.  Each outcome is
+        added to the file `<trash>.jsonl` as it happens, and said to progress("remove", done, total).
         """
         spec = "path string, removed boolean, error string"
         if not confirm:
             return self.spark.createDataFrame([], spec)
-        safe = policy.safe_to_apply(plan, groups.duplicates(self.files(root)), actions)
-        done = []
+        safe = written(policy.safe_to_apply(plan, groups.duplicates(self.files(root)), actions).select("path"), "removals")
+        total, done = safe.count(), []
         os.makedirs(trash, exist_ok=True)
-        for row in safe.select("path").orderBy("path").toLocalIterator():
-            try:
-                shutil.move(row["path"], _free_name(trash, os.path.basename(row["path"])))
-                done.append((row["path"], True, None))
-            except OSError as error:
-                done.append((row["path"], False, f"{row['path']}: {error}"))
+        with open(trash.rstrip("/") + ".jsonl", "a", encoding="utf-8") as log:
+            for row in safe.orderBy("path").toLocalIterator():
+                try:
+                    shutil.move(row["path"], _free_name(trash, os.path.basename(row["path"])))
+                    done.append((row["path"], True, None))
+                except OSError as error:
+                    done.append((row["path"], False, f"{row['path']}: {error}"))
+                log.write(json.dumps(dict(zip(("path", "removed", "error"), done[-1]))) + "\n")
+                log.flush()
+                if progress:
+                    progress("remove", len(done), total)
         return self.spark.createDataFrame(done, spec)
 
 

@@ -1,3 +1,4 @@
+import json
 import os
 import threading
 from pathlib import Path
@@ -113,7 +114,10 @@ def test_suggest_and_apply(spark, library, tmp_path):
     assert engine.apply(plan, str(library), str(tmp_path / "trash")).count() == 0 and (library / "a" / "one.txt").exists()
     # the keeper of one group is removed meanwhile: its last copy stays
     actions = spark.createDataFrame([(str(library / "b" / "c" / "empty.csv"),)], "path string")
-    done = engine.apply(plan, str(library), str(tmp_path / "trash"), actions, confirm=True).collect()
+    told = []
+    done = engine.apply(plan, str(library), str(tmp_path / "trash"), actions, confirm=True, progress=lambda *x: told.append(x)).collect()
+    assert told == [("remove", k + 1, len(done)) for k in range(len(done))]
+    assert [json.loads(line) for line in open(tmp_path / "trash.jsonl")] == [r.asDict() for r in done]
     assert {os.path.relpath(r["path"], library) for r in done if r["removed"]} == {"a/one.txt", ".hidden/_u.PDF"}
     assert (library / "a" / "empty.pdf").exists() and sorted(os.listdir(tmp_path / "trash")) == ["_u.PDF", "one.txt"]
     # one file at a time: never the last, never one without copies
