@@ -19,7 +19,9 @@ from tarnsieve.storage import hadoop_path
 
 def default_location() -> str:
     """Where a catalog is kept unless told otherwise."""
-    return os.path.join(os.path.expanduser("~"), ".local", "share", "tarnsieve", "catalog")
+    # Windows names the folder of a user's own data
+    base = os.environ.get("LOCALAPPDATA") or os.path.join(os.path.expanduser("~"), ".local", "share")
+    return os.path.join(base, "tarnsieve", "catalog")
 
 
 class SnapshotTable:

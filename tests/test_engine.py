@@ -324,3 +324,12 @@ def test_plans_read_the_groups_not_the_documents(spark, sf, name):
 
     plan = catalog_queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [doc_id") <= (name == "F7_suggest_live") and plan.count("Relation [") <= 4
+
+
+def test_default_location(monkeypatch):
+    from tarnsieve.sources.snapshots import default_location
+
+    monkeypatch.delenv("LOCALAPPDATA", raising=False)
+    assert default_location() == os.path.expanduser("~/.local/share/tarnsieve/catalog")
+    monkeypatch.setenv("LOCALAPPDATA", "/data/of/user")
+    assert default_location() == "/data/of/user/tarnsieve/catalog"
