@@ -25,7 +25,7 @@ import numpy as np
 END_ID = 2
 
 #: Bytes that a worker's cache of words and their ids may hold.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 256 << 20
 
 #: Pieces that are looked up at once, and characters of a text that are cut into pieces at once.
 _AT_ONCE, _SLICE = 50_000, 250_000
