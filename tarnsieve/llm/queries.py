@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity, warc
+from . import conversations, decontaminate, packing, phrases, pii, quality, quality_model, secrets, simhash, substrings, token_files, toxicity, warc
 from .shared import new_folder, table
 
 
@@ -137,6 +137,38 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+sizes AS (SELECT lang, CAST(SUM(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+places AS (SELECT lang, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM (SELECT lang, k, array_to_string(list_slice(ws, i + 1, i + k), ' ') AS phrase FROM places) t GROUP BY ALL HAVING COUNT(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(list_slice(ws, 1, c), ' ') AS lp, array_to_string(list_slice(ws, c + 1, k), ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS c FROM c) t),
+scored AS (SELECT x.lang, x.k, x.phrase, x.a, x.c, l.f AS l, r.f AS r, s.n, (CAST(1000 AS HUGEINT) * x.a * s.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.lp JOIN f r ON r.lang = x.lang AND r.phrase = x.rp JOIN sizes s ON s.lang = x.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored) t WHERE o = 1),
+parts AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(k - m + 1), lambda i: array_to_string(list_slice(ws, i + 1, i + m), ' '))))) AS phrase FROM c),
+gone AS (SELECT DISTINCT p.lang, p.phrase FROM parts p JOIN c s ON s.lang = p.lang AND s.phrase = p.phrase WHERE 100 * p.a >= 100 * s.a),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b LEFT JOIN gone g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.phrase IS NULL)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.score(documents, quality_model.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -149,6 +181,9 @@ def queries():
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_secrets": op10_secrets,
+        "op11_phrases": op11_phrases,
+        "op12_conversations": op12_conversations,
+        "op13_quality_model": op13_quality_model,
     }
 
 
@@ -157,4 +192,5 @@ def oracle_sql():
         "op4_decontamination": OP4_SQL,
         "op6_substrings": OP6_SQL,
         "op8_quality": _op8_sql(),
+        "op11_phrases": OP11_SQL,
     }
