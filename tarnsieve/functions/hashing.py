@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnsieve.operators.positions import numbered
+
 WINDOW = 64 * 1024
 STEP = 1024 * 1024
 
@@ -42,15 +44,20 @@ def full_of(path: str) -> str:
     return digest.hexdigest()
 
 
-def hash_files(files: DataFrame, kind: str, tasks: int | None = None) -> DataFrame:
+def dealt(files: DataFrame, tasks: int) -> DataFrame:
+    """(path, size) dealt over `tasks` tasks by size: the largest first, one to each task in turn.  Numbers of files
+    differ by one at most, and bytes by at most the largest file's, so no task has over twice the mean unless one file
+    alone has more than the mean."""
+    placed = numbered(files.select("path", "size"), [F.desc("size"), F.col("path")], "_place")
+    return placed.withColumn("_task", F.pmod(F.col("_place") - 1, F.lit(tasks)).cast("int")).repartitionById(tasks, "_task").select("path", "size")
+
+
+def hash_files(files: DataFrame, kind: str, tasks: int | None = None, done=None) -> DataFrame:
     """(path, hash, error) of each file in `path`; an unreadable one has its error instead.
 
-    tasks: deal the rows out anew, at random, over so many partitions.
+    tasks: deal the files out anew by size, over so many tasks.  done: an accumulator that counts files.
     """
     of = {"partial": partial_of, "full": full_of}[kind]
-    dealt = files.select("path", "size")
-    if tasks:
-        dealt = dealt.repartition(tasks, F.xxhash64("path"))
 
     def run(batches):
         for batch in batches:
@@ -62,9 +69,12 @@ def hash_files(files: DataFrame, kind: str, tasks: int | None = None) -> DataFra
                 except OSError as error:
                     hashes.append(None)
                     errors.append(str(error))
+            if done is not None:
+                done.add(len(paths))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.string()), pa.array(errors, pa.string())], names=["path", "hash", "error"])
 
-    return dealt.mapInArrow(run, "path string, hash string, error string")
+    shared = dealt(files, tasks) if tasks else files.select("path", "size")
+    return shared.mapInArrow(run, "path string, hash string, error string")
 
 
 def partial_bytes(text: Column, window: int) -> Column:

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(1)
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding makes of single characters: those of one character, and those of several."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        if (folded := c.casefold()) != c:
+            (one if len(folded) == 1 else several)[c] = folded
+    return one, several
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding (ß: ss, either small sigma: σ, ligatures: their letters), in the JVM."""
+    one, several = _foldings()
+    pairs = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(pairs, c), c))
+    longer = F.when(text.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(text)
+    folded = F.translate(longer, "".join(one), "".join(one.values()))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(folded)
+
+
 def extension(name: Column) -> Column:
     """Lower-case suffix with its dot; leading dots belong to the stem, so `.jpg` has none."""
     return F.lower(F.regexp_extract(name, r"^\.*[^.](?:[\s\S]*?)(\.[^.]*)$", 1))
@@ -21,7 +43,7 @@ def natural_key(name: Column) -> Column:
     def entry(text: Column, i: Column) -> Column:
         number = F.regexp_replace(text, r"^0+(?=[0-9])", "")
         odd = i % 2 == 1
-        return F.struct(F.when(odd, F.length(number)).otherwise(F.lit(0)).alias("l"), F.when(odd, number).otherwise(F.lower(text)).alias("s"))
+        return F.struct(F.when(odd, F.length(number)).otherwise(F.lit(0)).alias("l"), F.when(odd, number).otherwise(casefold(text)).alias("s"))
 
     return F.transform(padded, entry)
 

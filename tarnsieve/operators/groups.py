@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tarnsieve.functions.display import group_header
 from tarnsieve.functions.names import matches
 
+from tarnsieve.storage import written
+
 from .candidates import repeated
+from .positions import numbered_within
 
 
 def duplicates(catalog: DataFrame) -> DataFrame:
@@ -28,14 +31,19 @@ def reclaimable(catalog: DataFrame) -> DataFrame:
     return group_totals(catalog).agg(F.coalesce(F.sum("wasted"), F.lit(0)).cast("long").alias("reclaimable"))
 
 
-def members(catalog: DataFrame) -> DataFrame:
-    """One row for each group with its files, ordered by path, largest group first.  For display: an
-    array holds a whole group, so `duplicates` is the form to compute with."""
+def pages(catalog: DataFrame, size: int = 1000) -> DataFrame:
+    """Groups page by page: a row for each `size` files of a group, with full_hash, page (from 0), the group's n files,
+    total bytes and header, and files, an array of the page's files by path.  Largest group first.
+
+    Places come from a range exchange, so a group of any size is spread over tasks and no row holds more than a page.
+    """
+    dups = written(duplicates(catalog), "members")
     columns = [c for c in catalog.columns if c not in ("path", "full_hash")]
-    files = F.array_sort(F.collect_list(F.struct("path", *columns))).alias("files")
-    rows = duplicates(catalog).groupBy("full_hash").agg(files, F.sum("size").alias("total"))
-    headed = rows.withColumn("header", group_header(F.size("files"), F.get("files", 0)["size"]))
-    return headed.orderBy(F.desc("total"), "full_hash")
+    placed = numbered_within(dups, "full_hash", [F.col("path")], "_place").withColumn("page", F.floor((F.col("_place") - 1) / size).cast("long"))
+    held = placed.groupBy("full_hash", "page").agg(F.array_sort(F.collect_list(F.struct("path", *columns))).alias("files"))
+    totals = dups.groupBy("full_hash").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min_by("size", "path").alias("_rep"))
+    headed = totals.select("full_hash", "n", "total", group_header(F.col("n"), F.col("_rep")).alias("header"))
+    return held.join(headed, "full_hash").select("full_hash", "page", "n", "total", "header", "files").orderBy(F.desc("total"), "full_hash", "page")
 
 
 def summary(catalog: DataFrame, root: str, removed: int = 0) -> DataFrame:

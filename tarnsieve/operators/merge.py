@@ -48,6 +48,28 @@ def merge_scan(previous: DataFrame, seen: DataFrame, root: str) -> DataFrame:
     return now.select(*names).unionByName(others.select(*names))
 
 
+def changes(previous: DataFrame, seen: DataFrame, root: str) -> DataFrame:
+    """The rows of merge_scan's result for `seen` that aren't in `previous` as they are, with `was_root`, the root that
+    had the path before (null: none)."""
+    names = [f.name for f in schema.CATALOG]
+    old = previous.select("path", *[F.col(c).alias(f"_{c}") for c in names if c != "path"], F.lit(True).alias("_known"))
+    joined = seen.join(old, "path", "left").withColumn("root", F.lit(root))
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
+    kept = ("partial_hash", "full_hash", "error")
+    row = joined.withColumns({c: F.when(same, F.col(f"_{c}")) for c in kept})
+    alike = F.col("_known").isNotNull()
+    for c in names:
+        if c not in ("path", *kept):
+            alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return row.where(~alike).select(*names, F.col("_root").alias("was_root"))
+
+
+def leaving(previous: DataFrame, seen: DataFrame, changed: DataFrame, root: str) -> DataFrame:
+    """path and root of the rows that leave their root: swept ones, and those which this root takes over."""
+    moved = changed.where(F.col("was_root").isNotNull() & (F.col("was_root") != root)).select("path", F.col("was_root").alias("root"))
+    return swept(previous, seen, root).select("path", "root").unionByName(moved)
+
+
 def with_hashes(catalog: DataFrame, hashed: DataFrame, column: str) -> DataFrame:
     """The catalog with the results (path, hash, error) written to `column`.  A new error replaces the
     old one, but a success leaves it: it goes when size or mtime change."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsieve.functions.names import ancestors, natural_key, normalized
+from tarnsieve.functions.names import ancestors, casefold, natural_key, normalized
 from tarnsieve.storage import written
 
 #: Above so many rules they are joined by a shuffle rather than broadcast.
@@ -104,7 +104,7 @@ def prefill(folders: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def prefill_order():
-    return [F.col("rank").isNull(), F.col("rank"), F.lower("dir"), F.col("dir")]
+    return [F.col("rank").isNull(), F.col("rank"), casefold(F.col("dir")), F.col("dir")]
 
 
 def safe_to_apply(plan: DataFrame, dups: DataFrame, actions: DataFrame | None = None) -> DataFrame:
@@ -116,3 +116,11 @@ def safe_to_apply(plan: DataFrame, dups: DataFrame, actions: DataFrame | None =
     groups = marked.groupBy("full_hash").agg(F.count("*").alias("_n"), F.count_if("_planned").alias("_goes"), F.max("path").alias("_last"))
     met = marked.where("_planned").join(groups, "full_hash")
     return plan.join(met.where((F.col("_goes") < F.col("_n")) | (F.col("path") != F.col("_last"))).select("path"), "path", "left_semi")
+
+
+def with_keepers(planned: DataFrame, dups: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """(path, keeper) of planned removals that leave a file of their group (safe_to_apply): keeper is the first of
+    its group, by path, that stays."""
+    left = live(dups, actions).select("full_hash", "path")
+    keepers = left.join(planned.select("path"), "path", "left_anti").groupBy("full_hash").agg(F.min("path").alias("keeper"))
+    return left.join(planned.select("path"), "path", "left_semi").join(keepers, "full_hash").select("path", "keeper")

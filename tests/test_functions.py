@@ -97,3 +97,23 @@ def test_file_hashes(spark, tmp_path):
         got = {r["path"]: (r["hash"], r["error"]) for r in hashing.hash_files(frame, kind, 3).collect()}
         assert {p: got[p] for p, *_ in rows} == {r[0]: (r[at], None) for r in rows}
         assert got[str(tmp_path / "gone")][0] is None and "No such file" in got[str(tmp_path / "gone")][1]
+
+
+def test_case_folding_of_every_character(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    given_ = ["".join(every[i : i + 997]) for i in range(0, len(every), 997)] + ["Straße", "ΣΊΣΥΦΟΣ ς", "ﬁ İ", "plain ASCII", ""]
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(given_)], "k int, v string")
+    got = [r[0] for r in frame.orderBy("k").select(names.casefold(F.col("v"))).collect()]
+    assert got == [v.casefold() for v in given_]
+
+
+def test_lists_that_are_tables_move_as_short_ones_do(spark):
+    from tarnsieve.operators import ordering
+
+    for picked in [(0, 1, 1, 0, 1), (1, 1, 0, 0, 1), (0, 0, 0, 0, 0), (1, 1, 1, 1, 1), (0, 1, 0, 1, 1)]:
+        rows = spark.createDataFrame([(k + 1, "abcde"[k], bool(c)) for k, c in enumerate(picked)], "place long, item string, chosen boolean")
+        moved = "".join(r["item"] for r in ordering.nudged(rows, "place", "chosen").orderBy("place").collect())
+        assert moved == "".join(ordering.nudge("abcde", {k for k, c in enumerate(picked) if c}, -1))
+        for top in (True, False):
+            edge = ordering.with_places(rows, ordering.edge_order(F.col("chosen"), F.col("place"), top)).orderBy("rank")
+            assert "".join(r["item"] for r in edge.collect()) == "".join(ordering.to_edge("abcde", {k for k, c in enumerate(picked) if c}, top))
