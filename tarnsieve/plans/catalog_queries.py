@@ -10,6 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsieve import schema
 from tarnsieve.functions import display
 from tarnsieve.functions.hashing import hash_files
 from tarnsieve.functions.names import matches, natural_key
@@ -17,6 +18,7 @@ from tarnsieve.operators import candidates, groups, merge, ordering, policy
 from tarnsieve.operators.positions import numbered, numbered_within
 from tarnsieve.sources.documents import copy_candidates, document_files
 from tarnsieve.sources.files import walk
+from tarnsieve.sources.snapshots import CatalogTable
 from tarnsieve.storage import new_folder, written
 
 from .catalog_sql import SQL
@@ -159,10 +161,12 @@ def highlight(spark, sf_dir):
 
 
 def rank_numbers(spark, sf_dir):
-    """W4, W5: the list after moving a block, with shown numbers and ranks."""
-    listed = ordering.to_edge(ordering.nudge([(p, r) for p, r, _ in RULES], {1, 2}, 1), {4}, top=True)
-    rows = spark.createDataFrame([(listed,)], "rules array<struct<path: string, recursive: boolean>>")
-    return rows.select(F.posexplode("rules").alias("rank", "rule")).select("rule.path", "rule.recursive", F.col("rank").cast("int").alias("rank"), (F.col("rank") + 1).cast("int").alias("shown"))
+    """W4, W5: ranks and shown numbers of the list of folders, after French ones went up by one and those of src1 to the top."""
+    folders = _files(spark, sf_dir).select("dir").distinct()
+    listed = written(numbered(folders, [F.col("dir")], "place").withColumn("chosen", F.col("dir").endswith("/fr")), "folders")
+    moved = written(ordering.nudged(listed, "place", "chosen"), "nudged")
+    order = ordering.edge_order(F.col("dir").startswith("/lib/src1/"), F.col("place"), top=True)
+    return ordering.with_places(moved.select("dir", "place"), order).select(F.col("dir").alias("path"), F.col("dir").startswith("/lib/src1/").alias("recursive"), "rank", "shown")
 
 
 def _previous(spark, sf_dir):
@@ -204,8 +208,44 @@ def last_wins(spark, sf_dir):
 
 
 def rules_upsert(spark, sf_dir):
-    entries = spark.createDataFrame([("/lib/src1", False, 1), ("/lib/src9", True, 0)], "path string, recursive boolean, rank int")
-    return merge.upsert_rules(_rules(spark), entries).select(F.col("path").alias("rpath"), "recursive", F.col("rank").alias("rnk"))
+    """M7: rules of all sources, into which those of French folders and of the sources that end in 1 are put."""
+    dirs = written(_files(spark, sf_dir).select("dir", F.regexp_extract("dir", "^(/lib/[^/]*)/", 1).alias("source")).distinct(), "folders")
+    old = ordering.with_places(dirs.select(F.col("source").alias("path")).distinct().withColumn("recursive", F.lit(True)), [F.col("path")]).drop("shown")
+    named = dirs.where(F.col("dir").endswith("/fr")).select(F.col("dir").alias("path")).union(dirs.where(F.col("source").endswith("1")).select("source")).distinct()
+    entries = ordering.with_places(named.withColumn("recursive", F.lit(False)), [F.col("path")]).drop("shown")
+    return merge.upsert_rules(old, entries).select(F.col("path").alias("rpath"), "recursive", F.col("rank").alias("rnk"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> CatalogTable:
+    """A catalog of all files with hashes, its rows under two roots."""
+    rows = _hashed(spark, sf_dir).withColumns({"root": F.when(F.col("doc_id") % 2 == 0, "/lib").otherwise("/other"), "ctime": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
+    table = CatalogTable(spark, new_folder(spark, "catalog"), buckets=8)
+    table.publish(rows)
+    return table
+
+
+def catalog_lookup(spark, sf_dir):
+    """F1, F3, S4: rows of one root, and of one path, from the catalog's leaves."""
+    table = _catalog(spark, sf_dir)
+    path = _files(spark, sf_dir).agg(F.max("path")).first()[0] or ""
+    return table.read(root="/lib").unionByName(table.lookup(path)).select("path", "root", "size", "full_hash").withColumnRenamed("full_hash", "fh")
+
+
+def catalog_update(spark, sf_dir):
+    """M2, M4, M5, J4: the catalog after a scan of /lib that sees two thirds of all files, a fifth of them changed."""
+    table = _catalog(spark, sf_dir)
+    mtime = F.when(F.col("doc_id") % 5 == 0, F.col("mtime") - 1).otherwise(F.col("mtime"))
+    seen = written(_files(spark, sf_dir).where("doc_id % 3 <> 0").withColumns({"mtime": mtime, "ctime": F.lit(None).cast("double")}).select(*schema.SEEN.names), "seen")
+    before = table.read()
+    changed = written(merge.changes(before, seen, "/lib"), "changed")
+    table.replace(changed, merge.leaving(before, seen, changed, "/lib"))
+    return table.read().select("path", "root", "mtime", "partial_hash", "full_hash").withColumnsRenamed({"partial_hash": "ph", "full_hash": "fh"})
+
+
+def member_pages(spark, sf_dir):
+    """A5, J7: groups in pages of two files."""
+    found = groups.pages(_dups(spark, sf_dir).select("path", "full_hash", "size"), 2)
+    return found.select(F.col("full_hash").alias("fh"), "page", "n", "total", F.array_join(F.transform("files", lambda f: f["path"]), "|").alias("paths"))
 
 
 def summary(spark, sf_dir):
@@ -259,7 +299,8 @@ def file_tree(spark, sf_dir):
     for kind in ("partial", "full"):
         hashed = written(hash_files(found.select("path", "size"), kind, spark.sparkContext.defaultParallelism), kind)
         same = hashed.groupBy("hash").agg(F.count("*").alias(f"same_{kind}"))
-        found = found.join(hashed.join(same, "hash").select("path", F.length("hash").alias(f"{kind}_digits"), f"same_{kind}"), "path")
+        # a file that couldn't be read stays, without a hash
+        found = found.join(hashed.join(same, "hash", "left").select("path", F.length("hash").alias(f"{kind}_digits"), f"same_{kind}"), "path", "left")
     return found.select(F.expr(f"substring(path, {len(os.path.realpath(root)) + 1})").alias("path"), "name", "category", "size", "partial_digits", "full_digits", "same_partial", "same_full")
 
 
@@ -294,6 +335,9 @@ _QUERIES = {
     "M6_error_merge": error_merge,
     "M3_last_wins": last_wins,
     "M7_rules_upsert": rules_upsert,
+    "F1_F3_catalog_lookup": catalog_lookup,
+    "M2_M4_catalog_update": catalog_update,
+    "A5_J7_member_pages": member_pages,
     "A14_summary": summary,
     "O5_natural_order": natural_order,
     "X5_format_size": format_size,

@@ -76,8 +76,13 @@ _BODIES = {
         FROM (SELECT DISTINCT dir FROM (SELECT dir, COUNT(*) OVER (PARTITION BY fh) AS c FROM live WHERE deleted = 0) t WHERE c >= 2) f""",
     "J6_O4_prefill": """SELECT dir, COALESCE(recursive, false) AS recursive, ROW_NUMBER() OVER (ORDER BY CASE WHEN rnk IS NULL THEN 1 ELSE 0 END, rnk, lower(dir), dir) AS pos
         FROM (SELECT DISTINCT dir FROM dups) f LEFT JOIN rules r ON r.rpath = f.dir""",
-    "W4_W5_rank_numbers": """SELECT path, recursive, CAST(rank AS INTEGER) AS rank, CAST(rank + 1 AS INTEGER) AS shown
-        FROM (VALUES ('/lib/src2', true, 0), ('/lib/src1', true, 1), ('/lib/src3', false, 2), ('/lib/src2/en', false, 3), ('/lib/src1/fr', false, 4)) t(path, recursive, rank)""",
+    "W4_W5_rank_numbers": """SELECT dir AS path, starts_with(dir, '/lib/src1/') AS recursive,
+          CAST(ROW_NUMBER() OVER (ORDER BY NOT starts_with(dir, '/lib/src1/'), place) - 1 AS INTEGER) AS rank,
+          CAST(ROW_NUMBER() OVER (ORDER BY NOT starts_with(dir, '/lib/src1/'), place) AS INTEGER) AS shown
+        FROM (SELECT dir, CASE WHEN fr AND before > 0 THEN p - 1 WHEN fr THEN p
+            ELSE COALESCE(MIN(CASE WHEN NOT fr THEN p END) OVER (ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), total + 1) - 1 END AS place
+          FROM (SELECT dir, fr, p, COUNT(*) OVER () AS total, SUM(CASE WHEN fr THEN 0 ELSE 1 END) OVER (ORDER BY p) AS before
+            FROM (SELECT dir, ends_with(dir, '/fr') AS fr, ROW_NUMBER() OVER (ORDER BY dir) AS p FROM (SELECT DISTINCT dir FROM lib) d) x) y) z""",
     "M4_incremental_merge": """SELECT s.path, s.size, s.mtime, CASE WHEN p.size = s.size AND p.mtime = s.mtime THEN p.ph END AS ph,
         CASE WHEN p.size = s.size AND p.mtime = s.mtime THEN p.fh END AS fh, p.path IS NULL AS is_new FROM seen s LEFT JOIN prev p ON p.path = s.path""",
     "M2_swept_rows": "SELECT path FROM lib WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.path = lib.path)",
@@ -87,8 +92,17 @@ _BODIES = {
         LEFT JOIN (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'new' END AS error FROM lib WHERE doc_id % 2 = 0) h ON h.path = f.path""",
     "M3_last_wins": """SELECT path, size FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY path ORDER BY seq DESC) AS k
         FROM (SELECT path, size, doc_id AS seq FROM lib UNION ALL SELECT path, size + 1, doc_id + 100000 FROM lib WHERE doc_id % 6 = 0) b) t WHERE k = 1""",
-    "M7_rules_upsert": """SELECT COALESCE(nw.rpath, rules.rpath) AS rpath, COALESCE(nw.recursive, rules.recursive) AS recursive, COALESCE(nw.rnk, rules.rnk) AS rnk
-        FROM rules FULL OUTER JOIN (VALUES ('/lib/src1', false, 1), ('/lib/src9', true, 0)) nw(rpath, recursive, rnk) ON nw.rpath = rules.rpath""",
+    "M7_rules_upsert": """SELECT COALESCE(nw.rpath, old.rpath) AS rpath, COALESCE(nw.recursive, old.recursive) AS recursive, CAST(COALESCE(nw.rnk, old.rnk) AS INTEGER) AS rnk
+        FROM (SELECT rpath, true AS recursive, ROW_NUMBER() OVER (ORDER BY rpath) - 1 AS rnk FROM (SELECT DISTINCT regexp_extract(dir, '^(/lib/[^/]*)/', 1) AS rpath FROM lib) s) old
+        FULL OUTER JOIN (SELECT rpath, false AS recursive, ROW_NUMBER() OVER (ORDER BY rpath) - 1 AS rnk FROM (SELECT DISTINCT dir AS rpath FROM lib WHERE ends_with(dir, '/fr')
+          UNION SELECT DISTINCT regexp_extract(dir, '^(/lib/[^/]*)/', 1) FROM lib WHERE ends_with(regexp_extract(dir, '^(/lib/[^/]*)/', 1), '1')) e) nw ON nw.rpath = old.rpath""",
+    "F1_F3_catalog_lookup": """SELECT path, '/lib' AS root, size, fh FROM lib WHERE doc_id % 2 = 0
+        UNION ALL SELECT path, CASE WHEN doc_id % 2 = 0 THEN '/lib' ELSE '/other' END, size, fh FROM lib WHERE path = (SELECT MAX(path) FROM lib)""",
+    "M2_M4_catalog_update": """SELECT path, '/lib' AS root, CASE WHEN doc_id % 5 = 0 THEN mtime - 1 ELSE mtime END AS mtime,
+          CASE WHEN doc_id % 5 <> 0 THEN ph END AS ph, CASE WHEN doc_id % 5 <> 0 THEN fh END AS fh FROM lib WHERE doc_id % 3 <> 0
+        UNION ALL SELECT path, '/other', mtime, ph, fh FROM lib WHERE doc_id % 3 = 0 AND doc_id % 2 = 1""",
+    "A5_J7_member_pages": """SELECT fh, (pos - 1) // 2 AS page, n, total, string_agg(path, '|' ORDER BY path) AS paths
+        FROM (SELECT fh, path, n, CAST(SUM(size) OVER (PARTITION BY fh) AS BIGINT) AS total, ROW_NUMBER() OVER (PARTITION BY fh ORDER BY path) AS pos FROM dups) t GROUP BY ALL""",
     "A14_summary": f"""SELECT '/lib' AS root, (SELECT COUNT(*) FROM lib) AS total_files, CAST(3 AS BIGINT) AS removed,
         (SELECT COUNT(*) FROM ({_GROUPS}) g) AS exact_group_count, false AS cancelled""",
     "O5_natural_order": f"SELECT path, ROW_NUMBER() OVER (ORDER BY {_NATURAL}, path) AS pos FROM lib",

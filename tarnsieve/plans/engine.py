@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 import threading
 from collections.abc import Callable
 
@@ -15,7 +12,8 @@ from tarnsieve import schema
 from tarnsieve.functions.hashing import hash_files
 from tarnsieve.operators import candidates, groups, merge, ordering, policy
 from tarnsieve.sources import files as tree
-from tarnsieve.sources.snapshots import SnapshotTable, default_location
+from tarnsieve.sources import removals
+from tarnsieve.sources.snapshots import CatalogTable, SnapshotTable, default_location
 from tarnsieve.storage import written
 from tarnsieve.streaming.control import Cancelled, Scan, task_count
 
@@ -26,7 +24,7 @@ class Engine:
     def __init__(self, spark: SparkSession, location: str | None = None):
         location = location or default_location()
         self.spark = spark
-        self.catalog = SnapshotTable(spark, f"{location}/files", schema.CATALOG)
+        self.catalog = CatalogTable(spark, f"{location}/files")
         self.rules_table = SnapshotTable(spark, f"{location}/rules", schema.RULES)
         self.plan_table = SnapshotTable(spark, f"{location}/plan", schema.PLAN)
 
@@ -43,39 +41,52 @@ class Engine:
             return {"cancelled": True}
 
     def _scan(self, root: str, control: Scan, seen: DataFrame | None) -> dict:
-        version, previous = self.catalog.version(), self.catalog.read()
-        found = control.stage("walk", lambda: written(tree.walk(self.spark, root) if seen is None else merge.last_wins(seen.withColumn("seq", F.monotonically_increasing_id())).drop("seq"), "seen"))
-        removed = merge.swept(previous, found, root).count()
-        now = control.stage("merge", lambda: written(merge.merge_scan(previous, found, root), "merged"))
+        """Rows that didn't change are neither written nor hashed again: `changed` holds those that did, by path."""
+        version = self.catalog.version()
+        previous = self.catalog.read(version)
+        files = self.spark.sparkContext.accumulator(0)
+        found = control.stage("walk", lambda: written(tree.walk(self.spark, root, done=files) if seen is None else merge.last_wins(seen.withColumn("seq", F.monotonically_increasing_id())).drop("seq"), "seen"), count=lambda: files.value)
+        control.progress("walk", n := found.count(), n)
+        with_old = control.stage("merge", lambda: written(merge.changes(previous, found, root), "changed"))
+        gone = written(merge.leaving(previous, found, with_old, root), "gone")
+        removed = gone.where(F.col("root") == root).count()
+        changed = with_old.drop("was_root")
         for stage, missing, column in (("partial_hash", candidates.missing_partial, "partial_hash"), ("full_hash", candidates.missing_full, "full_hash")):
-            wanted = missing(now.where(F.col("root") == root))
-            now = control.stage(stage, lambda: self._hashed(now, wanted, column))
+            now = self._now(version, root, changed, gone)
+            changed = self._hashed(control, stage, now, missing(now), changed, column)
         control.check()
-        self.catalog.publish(now, version)
+        self.catalog.replace(changed, gone, version)
         control.progress("done", 1, 1)
-        return groups.summary(now, root, removed).first().asDict()
+        return groups.summary(self.files(root), root, removed).first().asDict()
 
-    def _hashed(self, now: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-        """The catalog with the missing hashes put in.  The results are written, so that no later stage
-        reads a file a second time."""
+    def _now(self, version: int, root: str, changed: DataFrame, gone: DataFrame) -> DataFrame:
+        """The root's rows as they will be."""
+        before = self.catalog.read(version, root)
+        return before.join(changed.select("path").union(gone.select("path")), "path", "left_anti").select(*changed.columns).unionByName(changed)
+
+    def _hashed(self, control: Scan, stage: str, now: DataFrame, wanted: DataFrame, changed: DataFrame, column: str) -> DataFrame:
+        """The changed rows with the missing hashes put in, and the rows that get a hash without having changed
+        otherwise.  The results are written, so that no later stage reads a file a second time."""
         wanted = written(wanted, "wanted")
         total = wanted.count()
         if not total:
-            return now
-        tasks = task_count(total, self.spark.sparkContext.defaultParallelism)
-        results = written(hash_files(wanted, column.removesuffix("_hash"), tasks), column)
-        return written(merge.with_hashes(now, results, column), "hashed")
+            return changed
+        tasks, done = task_count(total, self.spark.sparkContext.defaultParallelism), self.spark.sparkContext.accumulator(0)
+        results = control.stage(stage, lambda: written(hash_files(wanted, column.removesuffix("_hash"), tasks, done), column), total, lambda: done.value)
+        fresh = merge.with_hashes(now.join(results.select("path"), "path", "left_semi").select(*changed.columns), results, column)
+        return written(changed.join(results.select("path"), "path", "left_anti").select(*changed.columns).unionByName(fresh), "changed")
 
     # -- results
 
     def files(self, root: str) -> DataFrame:
-        return self.catalog.read().where(F.col("root") == root)
+        return self.catalog.read(root=root)
 
-    def results(self, root: str) -> DataFrame:
-        return groups.members(self.files(root))
+    def results(self, root: str, page: int = 1000) -> DataFrame:
+        """Groups, largest first, in pages of at most `page` files."""
+        return groups.pages(self.files(root), page)
 
     def lookup(self, path: str) -> DataFrame:
-        return self.catalog.read().where(F.col("path") == path)
+        return self.catalog.lookup(path)
 
     # -- rules
 
@@ -123,33 +134,22 @@ class Engine:
     def apply(self, plan: DataFrame, root: str, trash: str, actions: DataFrame | None = None, confirm: bool = False, progress: Callable[[str, int, int], None] | None = None) -> DataFrame:
         """Moves the planned files to the folder `trash` and returns (path, removed, error).
 
-        Without confirm nothing is touched.  Groups are looked at again first, so that each keeps a file.
-        Files are moved one by one by the driver: a plan is what a person has looked through.  Each outcome is
-        added to the file `<trash>.jsonl` as it happens, and said to progress("remove", done, total).
+        Without confirm nothing is touched.  Groups are looked at again first, so that each keeps a file.  What is to be
+        moved is written to a journal beside the trash (`<trash>.journal`), then the tasks move it and note
+        each outcome as it happens; progress("remove", done, total) is told meanwhile.  A run that was stopped
+        is ended by `resume`.
         """
-        spec = "path string, removed boolean, error string"
         if not confirm:
-            return self.spark.createDataFrame([], spec)
-        safe = written(policy.safe_to_apply(plan, groups.duplicates(self.files(root)), actions).select("path"), "removals")
-        total, done = safe.count(), []
-        os.makedirs(trash, exist_ok=True)
-        with open(trash.rstrip("/") + ".jsonl", "a", encoding="utf-8") as log:
-            for row in safe.orderBy("path").toLocalIterator():
-                try:
-                    shutil.move(row["path"], _free_name(trash, os.path.basename(row["path"])))
-                    done.append((row["path"], True, None))
-                except OSError as error:
-                    done.append((row["path"], False, f"{row['path']}: {error}"))
-                log.write(json.dumps(dict(zip(("path", "removed", "error"), done[-1]))) + "\n")
-                log.flush()
-                if progress:
-                    progress("remove", len(done), total)
-        return self.spark.createDataFrame(done, spec)
-
-
-def _free_name(folder: str, name: str) -> str:
-    stem, ext = os.path.splitext(name)
-    target, k = os.path.join(folder, name), 1
-    while os.path.lexists(target):
-        target, k = os.path.join(folder, f"{stem}.{k}{ext}"), k + 1
-    return target
+            return self.spark.createDataFrame([], "path string, removed boolean, error string")
+        dups = groups.duplicates(self.files(root))
+        journal = removals.open_journal(written(policy.with_keepers(policy.safe_to_apply(plan, dups, actions), dups, actions), "removals"), trash)
+        return self._replayed(journal, progress)
+
+    def resume(self, trash: str, progress: Callable[[str, int, int], None] | None = None) -> list[DataFrame]:
+        """Ends the removals to this trash that were stopped half-way; the outcomes of each."""
+        return [self._replayed(journal, progress) for journal in removals.open_journals(trash)]
+
+    def _replayed(self, journal: str, progress: Callable[[str, int, int], None] | None) -> DataFrame:
+        total = removals.outcomes(self.spark, journal).count()
+        Scan(self.spark, progress).stage("remove", lambda: removals.replay(self.spark, journal), total, lambda: removals.noted(journal))
+        return removals.outcomes(self.spark, journal)

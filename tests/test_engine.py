@@ -1,5 +1,5 @@
-import json
 import os
+import re
 import threading
 from pathlib import Path
 
@@ -9,13 +9,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnsieve import schema
+from tarnsieve.functions.hashing import dealt
 from tarnsieve.operators import candidates, groups, merge, ordering, policy
 from tarnsieve.operators.positions import numbered, numbered_within
 from tarnsieve.plans.engine import Engine
 from tarnsieve.sources import files as tree
-from tarnsieve.sources.snapshots import SnapshotTable
+from tarnsieve.sources import removals
+from tarnsieve.sources.snapshots import CatalogTable, SnapshotTable
 from tarnsieve.streaming.control import Scan, in_background, task_count
-from tarnsieve.streaming.observations import merge_batches
+from tarnsieve.streaming.observations import EPOCH_ROWS, merge_batches, merge_epochs
 
 
 def make(root: Path, **content: str) -> None:
@@ -36,9 +38,9 @@ def library(tmp_path):
     return root
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 7])
-def test_walk(spark, library, partitions):
-    got = {r["path"]: (r["ext"], r["category"], r["size"], r["dir"]) for r in tree.walk(spark, str(library), partitions).collect()}
+@pytest.mark.parametrize("tasks,small", [(1, 1), (2, 64), (7, 1)])
+def test_walk(spark, library, tasks, small):
+    got = {r["path"]: (r["ext"], r["category"], r["size"], r["dir"]) for r in tree.walk(spark, str(library), tasks, small).collect()}
     want = {}
     for folder, _, found in os.walk(library):
         for name in found:
@@ -49,6 +51,21 @@ def test_walk(spark, library, partitions):
     assert got == want and len(got) == 6
 
 
+def test_an_uneven_tree_is_dealt_out_anew(spark, tmp_path):
+    """A chain, a folder with half of all files and many small ones: no task lists over twice the mean of its round."""
+    deep = tmp_path / "lib"
+    for k in range(150):
+        deep = deep / f"d{k % 10}"
+    deep.mkdir(parents=True)
+    make(tmp_path / "lib", **{f"flat__{k}_dot_txt": "x" for k in range(400)}, **{f"wide__{k // 20}__{k}__f_dot_txt": "y" for k in range(400)})
+    (deep / "end.txt").write_text("z")
+    rounds = []
+    got = {(r["path"], r["size"]) for r in tree.walk(spark, str(tmp_path / "lib"), 8, 16, rounds.append).collect()}
+    assert got == {(os.path.join(d, f), 1) for d, _, names in os.walk(tmp_path / "lib") for f in names} and len(got) == 801
+    assert all(max(r) <= max(16, 2 * sum(r) / len(r) + 2) for r in rounds) and any(len(r) == 8 for r in rounds)
+    assert sum(map(sum, rounds)) == sum(1 for _ in os.walk(tmp_path / "lib"))
+
+
 def test_root_is_checked(spark, tmp_path):
     for bad in ("", "  ", str(tmp_path / "none")):
         with pytest.raises(ValueError):
@@ -60,6 +77,9 @@ def test_scan_results_rescan(spark, library, tmp_path):
     first = engine.scan(str(library), progress=lambda *x: said.append(x))
     assert first == {"root": str(library), "total_files": 6, "removed": 0, "exact_group_count": 2, "cancelled": False}
     assert said[-1] == ("done", 1, 1)
+    # files done of files known, up to the total
+    assert [max(x[1:] for x in said if x[0] == stage) for stage in ("walk", "partial_hash", "full_hash")] == [(6, 6), (5, 5), (5, 5)]
+    assert all([x[1] for x in said if x[0] == stage] == sorted(x[1] for x in said if x[0] == stage) for stage in ("partial_hash", "full_hash"))
     shown = engine.results(str(library)).collect()
     assert [sorted(os.path.basename(f["path"]) for f in g["files"]) for g in shown] == [["_u.PDF", "one.txt", "one_copy.txt"], ["empty.csv", "empty.pdf"]]
     assert shown[0]["header"] == "Exact duplicates — 3 files, 9 B each"
@@ -116,8 +136,7 @@ def test_suggest_and_apply(spark, library, tmp_path):
     actions = spark.createDataFrame([(str(library / "b" / "c" / "empty.csv"),)], "path string")
     told = []
     done = engine.apply(plan, str(library), str(tmp_path / "trash"), actions, confirm=True, progress=lambda *x: told.append(x)).collect()
-    assert told == [("remove", k + 1, len(done)) for k in range(len(done))]
-    assert [json.loads(line) for line in open(tmp_path / "trash.jsonl")] == [r.asDict() for r in done]
+    assert told[-1] == ("remove", 2, 2) and len(done) == 2 and engine.resume(str(tmp_path / "trash")) == []
     assert {os.path.relpath(r["path"], library) for r in done if r["removed"]} == {"a/one.txt", ".hidden/_u.PDF"}
     assert (library / "a" / "empty.pdf").exists() and sorted(os.listdir(tmp_path / "trash")) == ["_u.PDF", "one.txt"]
     # one file at a time: never the last, never one without copies
@@ -256,6 +275,14 @@ def test_edges_and_numbers():
 
 def test_task_count():
     assert task_count(0, 8) == 1 and task_count(10, 8) == 10 and task_count(100_000, 8) == 1563
+    assert task_count(10**9, 8) == 16_384 and task_count(10**9, 8, most=500) == 500
+
+
+def test_files_are_dealt_out_by_bytes(spark):
+    files = spark.range(20_000).selectExpr("concat('/f', id) AS path", "IF(id = 77, 40000L, 1 + id % 50) AS size")
+    found = dealt(files, 12).groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    mean = sum(r["bytes"] for r in found) / 12
+    assert len(found) == 12 and max(r["n"] for r in found) - min(r["n"] for r in found) <= 1 and max(r["bytes"] for r in found) <= 2 * mean
 
 
 def test_background_error():
@@ -281,7 +308,7 @@ def test_stage_progress(spark):
 
 
 def test_batches_of_observations(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "catalog"), schema.CATALOG)
+    table = CatalogTable(spark, str(tmp_path / "catalog"), buckets=4)
     arrivals = str(tmp_path / "arrivals")
     for k in (1, 2):
         rows = [("/r/a", "/r", "a", ".txt", "doc", k, 1.0, None), (f"/r/{k}", "/r", str(k), ".txt", "doc", 1, 1.0, None)]
@@ -292,7 +319,7 @@ def test_batches_of_observations(spark, tmp_path):
 
 def test_batch_with_a_path_twice(spark, tmp_path):
     """One batch of two files that both name a path: the later observation counts."""
-    table = SnapshotTable(spark, str(tmp_path / "catalog"), schema.CATALOG)
+    table = CatalogTable(spark, str(tmp_path / "catalog"), buckets=4)
     names = [f.name for f in schema.SEEN]
     for size, mtime in ((1, 5.0), (2, 9.0), (3, 7.0)):
         row = {"path": "/r/a.txt", "dir": "/r", "name": "a.txt", "ext": ".txt", "category": "doc", "size": size, "mtime": mtime, "ctime": 0.0}
@@ -333,3 +360,125 @@ def test_default_location(monkeypatch):
     assert default_location() == os.path.expanduser("~/.local/share/tarnsieve/catalog")
     monkeypatch.setenv("LOCALAPPDATA", "/data/of/user")
     assert default_location() == "/data/of/user/tarnsieve/catalog"
+
+
+# -- the catalog's leaves
+
+
+def rows_of(spark, root, paths, size=1):
+    return spark.createDataFrame([(p, root, os.path.dirname(p), os.path.basename(p), ".txt", "doc", size + k, 1.0, None, None, None, None) for k, p in enumerate(paths)], schema.CATALOG)
+
+
+def test_a_change_writes_the_leaves_it_touches(spark, tmp_path):
+    table = CatalogTable(spark, str(tmp_path / "c"), buckets=16)
+    table.publish(rows_of(spark, "/r", [f"/r/{k}" for k in range(4000)]).union(rows_of(spark, "/s", [f"/s/{k}" for k in range(4000)])))
+    def written_bytes():
+        return {str(f): f.stat().st_size for f in (tmp_path / "c" / "data").rglob("*.parquet")}
+    before = written_bytes()
+    changed = rows_of(spark, "/r", ["/r/5", "/s/7", "/r/new"], size=99)
+    gone = spark.createDataFrame([("/r/9", "/r"), ("/s/7", "/s")], "path string, root string")
+    table.replace(changed, gone)
+    fresh = {f: n for f, n in written_bytes().items() if f not in before}
+    assert 0 < len(fresh) <= 5 and sum(fresh.values()) < 6 / 32 * sum(before.values())
+    now = {r["path"]: (r["root"], r["size"]) for r in table.read().collect()}
+    assert len(now) == 8000 and "/r/9" not in now and now["/s/7"] == ("/r", 100) and now["/r/5"] == ("/r", 99) and now["/r/new"] == ("/r", 101)
+    assert table.read(1).count() == 8000 and table.read(root="/s").count() == 3999
+    # old snapshots go when they are told to
+    assert table.expire(keep=1, older_than=3600) == 0 and 0 < table.expire(keep=1, older_than=-60) <= 5 and table.read().count() == 8000
+    with pytest.raises(Exception, match="exist"):
+        table.replace(changed, gone, after=1)
+
+
+def scanned(frame):
+    """(files read, rows that the scan gave) of a plan that has run."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    scans = plan.collectLeaves()
+    found = [scans.apply(i).metrics() for i in range(scans.size())]
+    return [(m.apply("numFiles").value(), m.apply("numOutputRows").value()) for m in found if m.contains("numFiles")]
+
+
+def test_reads_are_pruned(spark, tmp_path):
+    table = CatalogTable(spark, str(tmp_path / "c"), buckets=4, options={"parquet.block.size": "4096", "parquet.page.size": "1024", "parquet.block.row.check.min": "10"})
+    table.publish(rows_of(spark, "/r", [f"/r/{k:06d}" for k in range(20_000)]).union(rows_of(spark, "/s", [f"/s/{k}" for k in range(300)])))
+    of_root = table.read(root="/s")
+    assert "PartitionFilters: [isnotnull(root_id" in re.sub(r"#\d+", "", of_root._jdf.queryExecution().toString())
+    assert scanned(of_root)[0][1] == 300
+    some = table.read(root="/r").where("size BETWEEN 5000 AND 5009")
+    assert some.count() == 10 and scanned(some)[0][1] < 4000  # row groups of other sizes are skipped
+    found = table.lookup("/r/000123")
+    assert [r["size"] for r in found.collect()] == [124]
+    files, rows = scanned(found)[0]
+    assert files <= 2 and rows < 3000  # one bucket's files, and of them the row groups whose bloom filter knows the path
+    missing = table.lookup("/r/none")
+    assert missing.count() == 0 and scanned(missing)[0][1] < 3000
+
+
+def test_a_large_group_page_by_page(spark):
+    rows = spark.range(50_000).selectExpr("concat('/r/', lpad(id, 6, '0')) AS path", "IF(id < 49000, 'big', concat('h', id DIV 2)) AS full_hash", "7L AS size")
+    shown = groups.pages(rows, 1000)
+    got = shown.select("full_hash", "page", "n", "total", "header", F.size("files").alias("k"), F.col("files")[0]["path"].alias("first")).collect()
+    assert [(r["page"], r["k"], r["first"]) for r in got[:49]] == [(p, 1000, f"/r/{1000 * p:06d}") for p in range(49)]
+    assert got[0]["n"] == 49_000 and got[0]["total"] == 343_000 and got[0]["header"] == "Exact duplicates — 49000 files, 7 B each"
+    assert len(got) == 49 + 500 and all(r["k"] == 2 for r in got[49:])
+
+
+# -- removals that are stopped
+
+
+def test_a_removal_that_is_stopped_is_ended(spark, library, tmp_path, monkeypatch):
+    engine, trash = Engine(spark, str(tmp_path / "catalog")), str(tmp_path / "trash")
+    make(library, **{f"copies__{k}__same_dot_txt": "many" for k in range(6)})
+    engine.scan(str(library))
+    plan = engine.suggest(str(library), keep="one")
+    total = plan.count()
+    with monkeypatch.context() as patched:  # intents are written, and a few files moved, then the run dies
+        def half(spark_, journal, tasks=None):
+            for r in spark_.read.parquet(f"{journal}/intents").orderBy("path").limit(3).collect():
+                assert removals.move(r["path"], r["target"], r["keeper"]) is None
+            raise RuntimeError("lost")
+        patched.setattr(removals, "replay", half)
+        with pytest.raises(RuntimeError):
+            engine.apply(plan, str(library), trash, confirm=True)
+    assert len(os.listdir(trash)) == 3
+    (ended,) = engine.resume(trash)
+    rows = ended.collect()
+    assert len(rows) == total and all(r["removed"] for r in rows) and len(os.listdir(trash)) == total
+    assert engine.resume(trash) == []
+    left = [p for p in library.rglob("*") if p.is_file() and not p.is_symlink() and p.suffix != ".log"]
+    assert sorted(p.read_text() for p in left) == ["", "else", "many", "same text"]
+
+
+def test_the_last_copy_stays_whatever_a_journal_says(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("x")
+    a, b, t = str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "t")
+    os.unlink(b)
+    assert "was to stay" in removals.move(a, t, b) and os.path.exists(a)
+    assert "was to stay" in removals.move(a, t, a) and os.path.exists(a)
+    (tmp_path / "b").write_text("x")
+    assert removals.move(a, t, b) is None and removals.move(a, t, b) is None and not os.path.exists(a)
+    assert "no such file" in removals.move(str(tmp_path / "c"), str(tmp_path / "u"), b)
+
+
+# -- epochs
+
+
+def test_epochs_sweep_when_they_close(spark, tmp_path):
+    table = CatalogTable(spark, str(tmp_path / "c"), buckets=4)
+    arrivals, state = str(tmp_path / "in"), str(tmp_path / "state")
+
+    def arrive(epoch, names, n=None, root="/r"):
+        rows = [(f"{root}/{x}", root, x, ".txt", "doc", 1, float(epoch), None, root, epoch, None) for x in names]
+        rows += [(None,) * 8 + (root, epoch, n)] if n is not None else []
+        spark.createDataFrame(rows, EPOCH_ROWS).coalesce(1).write.mode("append").parquet(arrivals)
+        merge_epochs(spark, arrivals, table, state, str(tmp_path / "ck")).awaitTermination()
+        return sorted(r["path"] for r in table.read().collect())
+
+    assert arrive(1, "abc", 3) == ["/r/a", "/r/b", "/r/c"]
+    assert arrive(1, "x", 1, "/s") == ["/r/a", "/r/b", "/r/c", "/s/x"]
+    assert arrive(2, "a") == ["/r/a", "/r/b", "/r/c", "/s/x"]  # open
+    assert arrive(2, "", 2) == ["/r/a", "/r/b", "/r/c", "/s/x"]  # the marker is here before the rows
+    assert arrive(3, "d") == ["/r/a", "/r/b", "/r/c", "/r/d", "/s/x"]
+    assert arrive(2, "b") == ["/r/a", "/r/b", "/r/d", "/s/x"]  # closed: c is gone, and d, seen later, stays
+    assert arrive(3, "", 1) == ["/r/d", "/s/x"]
