@@ -2,19 +2,24 @@
 
 1. Workers hash each window of `window` words with two Rabin-Karp rolling hashes of independent bases (64
    bits each; words are hashed the same way over their bytes).  Of equal windows in a worker's batch
-   only the first stands for the batch; the others are known to be repeats already.
-2. The second hash's leading bits name a bucket; there are so many buckets that each takes about
-   `bucket_bytes` of text.  A batch sends each bucket one packed row: 8 bytes a window, the first hash, plus its
-   place (document and position), gap-coded.  A window in a third of all documents thus reaches its
-   bucket once a batch.
+   only the first stands for the batch; the others are known to be repeats already, and go straight to the buckets of
+   their documents.
+2. The second hash's leading bits name a bucket.  A batch sends each bucket one packed row: 8 bytes a window, the first
+   hash, plus its place (document and position), gap-coded.  A window in a third of all documents thus reaches its
+   bucket once a batch, in one place.
 3. A bucket's worker counts equal hashes and marks all but the earliest place of each, by document
    id, then position; the marks go, packed again, to buckets of documents.
 4. There they meet the texts, and marked windows merge into maximal intervals, which are removed.
 
+Sizes follow the table (`sizes_for`): buckets of 12 MB of text and batches of a million windows up to some 50 GB, then both grow to 64 MB
+and eight million; beyond 2 TB windows go in two hops, first to 2^(bits - 12) coarse buckets (with 12 bits more each) and from there,
+gathered into batches again, to their own.  So a row never holds fewer than some 250 windows of distinct texts, and a
+hop costs 9 to 11.6 bytes a window at any size (ids in the files' order; up to 15 for ids at random).  There are at most 65,536 partitions, whose buckets are taken one after another.
+
 A batch or bucket, not a key, is what a task holds; nothing is collected but the table's size.  Windows count as
 equal if 64 bits and the bucket's own b are; the words behind them are not compared.  Of n different windows
 n^2 / 2^(65 + b) pairs are expected to be taken for equal though they are not: 3e-5 of a pair for
-a billion windows in 2^10 buckets, 6 for 3e13 windows (100 TB) in 2^22 of 64 times the default size.
+a billion windows in 2^10 buckets, 12 for 3e13 windows (100 TB) in 2^21.
 
 Nulls and ties: a null text has no words; texts shorter than a window lose nothing; a null id comes
 before all others.  An id names one document: rows that repeat it share their marks, and windows at
@@ -157,8 +162,19 @@ def _by_bucket(buckets: np.ndarray):
             yield int(buckets[part[0]]), part
 
 
-def _send(hashes, keys, docs, positions, bits: int):
-    """(bucket, payload) rows of one batch of windows."""
+def sizes_for(size: int, bucket_bytes: int | None = None, batch_windows: int | None = None, single: int = 15) -> tuple[int, int, int]:
+    """(bits of buckets, bits of coarse ones, windows of a batch) for so many bytes of text.  single: bits up to which
+    batches go to the buckets in one hop."""
+    bucket = bucket_bytes or min(max(size >> 12, 12 << 20), 64 << 20)
+    bits = max(1, -(-size // bucket) - 1).bit_length()
+    coarse = bits if bits <= single else max(1, bits - 12)
+    return bits, coarse, batch_windows or min(max(250 << coarse, 1_000_000), 8_000_000)
+
+
+def _send(hashes, keys, docs, positions, bits: int, doc_buckets: int, finer: int = 0):
+    """(bucket, to, payload) rows of one batch of windows.  to = -1: places and hashes for the bucket, with `finer` bits
+    more of each window's bucket; else places already known as repeats, on their way to the bucket `to` of documents,
+    so to hash buckets drawn from those."""
     if (docs[1:] < docs[:-1]).any():  # texts come in any order of ids
         order = np.lexsort((positions, docs))
         hashes, keys, docs, positions = hashes[order], keys[order], docs[order], positions[order]
@@ -169,16 +185,32 @@ def _send(hashes, keys, docs, positions, bits: int):
     later[by_hash] = same
     known = np.zeros(len(hashes), bool)  # a repeated row of the same id and position is no later one
     known[by_hash] = same & ((docs[by_hash] != docs[first_of]) | (positions[by_hash] != positions[first_of]))
-    buckets = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    sent = np.flatnonzero(~later)
+    buckets = (keys[sent] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sent), np.int64)
     for bucket, part in _by_bucket(buckets):
-        sent, marked = part[~later[part]], part[known[part]]
-        yield bucket, pack_places(docs[sent], positions[sent]) + pack_places(docs[marked], positions[marked]) + hashes[sent].astype("<u8").tobytes()
+        part = sent[part]
+        more = _pack(((keys[part] >> _U(64 - bits - finer)) & _U((1 << finer) - 1)).astype(np.uint16)) if finer else b""
+        yield bucket, -1, pack_places(docs[part], positions[part]) + more + hashes[part].astype("<u8").tobytes()
+    marked = np.flatnonzero(known)
+    for to, payload in _marks(docs[marked], positions[marked], doc_buckets):
+        yield to & ((1 << bits) - 1), to, payload
+
+
+def _marks(docs, positions, doc_buckets: int):
+    """(bucket of documents, payload) of marked places, which are sorted."""
+    to = (xxhash64_of_long(docs) & _U(doc_buckets - 1)).astype(np.int64)
+    for bucket, part in _by_bucket(to):
+        yield bucket, pack_places(docs[part], positions[part])
 
 
-def _received(payload: bytes):
+def _received(payload: bytes, bucket: int, bits: int, finer: int = 0):
+    """(hashes, keys as far as they are known, docs, positions) of a row."""
     docs, positions, at = unpack_places(payload)
-    marked_docs, marked_positions, at = unpack_places(payload, at)
-    return np.frombuffer(payload, "<u8", len(docs), at), docs, positions, marked_docs, marked_positions
+    keys = np.full(len(docs), bucket << (64 - bits) if bits else 0, _U)
+    if finer:
+        more, at = _unpack(payload, at, np.uint16)
+        keys |= more.astype(_U) << _U(64 - bits - finer)
+    return np.frombuffer(payload, "<u8", len(docs), at), keys, docs, positions
 
 
 def _later(hashes, docs, positions) -> np.ndarray:
@@ -206,30 +238,30 @@ def intervals(positions: np.ndarray, window: int) -> np.ndarray:
     return np.stack([positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [-1]])] + window], axis=1)
 
 
-def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int = 1_000_000, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int | None = None, bucket_bytes: int | None = None, single: int = 15, most_partitions: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, the removed word intervals and the kept text
     (its words joined by single spaces).
 
     A worker holds `batch_windows` windows, or a bucket: some 50 bytes for each of its windows, of which
-    12 MB of text have two million.  A larger table with the same buckets has more of them; larger buckets and
-    batches keep a batch's rows from becoming small.
+    12 MB of text have two million.  Both follow the table's size unless they are given; single: as in sizes_for.
     """
     docs = id_and_text(documents, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(1, -(-size // bucket_bytes) - 1).bit_length()
+    bits, coarse, batch_windows = sizes_for(size, bucket_bytes, batch_windows, single)
     # a bucket of hashes sends each bucket of documents at most one row
     doc_buckets = 1 << max(1, bits - 1)
-    rows = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+    rows = pa.schema([("bucket", pa.int32()), ("to", pa.int32()), ("payload", pa.binary())])
+    spec = "bucket int, to int, payload binary"
 
     def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], schema=rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), rows)], schema=rows)
 
     def hash_windows(batches):
         held: list[tuple] = []
         count = 0
 
         def flush():
-            return batch_of(list(_send(*(np.concatenate(x) for x in zip(*held)), bits)))
+            return batch_of(list(_send(*(np.concatenate(x) for x in zip(*held)), coarse, doc_buckets, bits - coarse)))
 
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
@@ -249,31 +281,64 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
         if count:
             yield flush()
 
+    def each(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "to", "payload")))
+
+    def send_on(batches):
+        """From coarse buckets to buckets, in batches of windows again."""
+        held: list[tuple] = []
+        count = 0
+
+        def flush():
+            return batch_of(list(_send(*(np.concatenate(x) for x in zip(*held)), bits, doc_buckets)))
+
+        for bucket, to, payload in each(batches):
+            if to >= 0:
+                yield batch_of([(to, to, payload)])  # fewer buckets of documents than of hashes
+                continue
+            held.append(_received(payload, bucket, coarse, bits - coarse))
+            count += len(held[-1][0])
+            if count >= batch_windows:
+                yield flush()
+                held, count = [], 0
+        if count:
+            yield flush()
+
     def mark(batches):
         held: list[tuple] = []
-        for batch in batches:
-            held += [_received(p) for p in batch.column(1).to_pylist()]
-        if not held:
-            return
-        hashes, ids, positions, marked_ids, marked_positions = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        late = _later(hashes, ids, positions)
-        ids, positions = np.concatenate([ids[late], marked_ids]), np.concatenate([positions[late], marked_positions])
-        order = np.lexsort((positions, ids))
-        ids, positions = ids[order], positions[order]
-        to = (xxhash64_of_long(ids) & _U(doc_buckets - 1)).astype(np.int64)
-        found = [(b, pack_places(ids[part], positions[part])) for b, part in _by_bucket(to)]
-        if found:
+        last = None
+
+        def flush():
+            hashes, _, ids, positions = (np.concatenate(x) for x in zip(*held))
+            late = _later(hashes, ids, positions)
+            order = np.lexsort((positions[late], ids[late]))
+            return [(to, to, payload) for to, payload in _marks(ids[late][order], positions[late][order], doc_buckets)]
+
+        for bucket, to, payload in each(batches):
+            if held and bucket != last:
+                if found := flush():
+                    yield batch_of(found)
+                held = []
+            last = bucket
+            if to >= 0:
+                yield batch_of([(to, to, payload)])
+            else:
+                held.append(_received(payload, bucket, bits))
+        if held and (found := flush()):
             yield batch_of(found)
 
     def cut(batches):
         marks: dict[int, np.ndarray] = {}
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
         for batch in batches:
             ids, texts, payloads = batch.column("doc_id"), batch.column("text"), batch.column("payload")
             names, out = ids.to_pylist(), []
-            for i, payload in enumerate(payloads):
-                if payload.is_valid:  # all marks come before the documents
+            for i, (bucket, payload) in enumerate(zip(batch.column("bucket").to_pylist(), payloads)):
+                if bucket != last:
+                    marks, waiting, last = {}, [], bucket
+                if payload.is_valid:  # all marks of a bucket come before its documents
                     waiting.append(unpack_places(payload.as_py())[:2])
                     continue
                 if waiting:
@@ -297,8 +362,17 @@ def remove_repeats(documents: DataFrame, window: int = 20, batch_windows: int =
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()))], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    marked = docs.mapInArrow(hash_windows, "bucket int, payload binary").repartitionById(1 << bits, "bucket").mapInArrow(mark, "bucket int, payload binary")
+    def dealt(df: DataFrame, buckets: int, *order: str) -> DataFrame:
+        """A partition for each bucket, or for several, which then come one after another."""
+        parts = min(buckets, most_partitions)
+        spread = df.repartitionById(parts, "bucket" if parts == buckets else F.pmod("bucket", F.lit(parts)))
+        return spread.sortWithinPartitions("bucket", *order) if parts < buckets or order else spread
+
+    sent = docs.mapInArrow(hash_windows, spec)
+    if coarse < bits:
+        sent = dealt(sent, 1 << coarse).mapInArrow(send_on, spec)
+    marked = dealt(sent, 1 << bits).mapInArrow(mark, spec).select("bucket", "payload")
     own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(doc_buckets)).cast("int")
     both = docs.select(own.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload")).unionByName(marked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    met = both.repartitionById(doc_buckets, "bucket").sortWithinPartitions("kind")
+    met = dealt(both, doc_buckets, "kind")
     return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string")

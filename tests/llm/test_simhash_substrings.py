@@ -148,6 +148,49 @@ def test_remove_repeats(spark, docs_of, real, odd, window, batch, bucket):
         assert all(a["end"] < b["start"] for a, b in zip(r["removed"], r["removed"][1:]))  # maximal
 
 
+def test_remove_repeats_in_two_hops_and_few_partitions(spark, docs_of, real, odd):
+    rows = [*odd, *real]
+    wanted = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(docs_of(rows), 8).collect()}
+    got = substrings.remove_repeats(docs_of(rows), 8, 3000, 2000, single=3, most_partitions=5)
+    assert substrings.sizes_for(400_000, 2000, 3000, 3)[:2] == (8, 1)
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()} == wanted
+
+
+def _windows(n, common=0, seed=1):
+    draw = np.random.default_rng(seed)
+    hashes, keys = draw.integers(0, 1 << 64, (2, n), np.uint64)
+    docs = (10**12 + np.cumsum(draw.integers(1, 4, n // 300))).repeat(300)
+    positions = np.tile(np.arange(300, dtype=np.int32), n // 300)
+    if common:  # one window in every document
+        hashes[::300], keys[::300] = hashes[0], keys[0]
+    return hashes, keys, docs, positions
+
+
+@pytest.mark.parametrize("size", [1 << 30, 48 << 30, 768 << 30, 12 << 40, 100 << 40])
+def test_bytes_a_window_at_any_size_of_the_table(size):
+    bits, coarse, batch = substrings.sizes_for(size)
+    assert bits <= 21 and coarse <= 15
+    n = batch // 4 // 300 * 300  # a quarter of a batch among a quarter of its buckets
+    hashes, keys, docs, positions = _windows(n)
+    keys >>= np.uint64(2)
+    rows = list(substrings._send(hashes, keys, docs, positions, coarse, 1 << bits - 1, bits - coarse))
+    assert sum(len(p) + 8 for _, _, p in rows) / n < 11.6
+    for bucket, to, payload in rows[:3]:
+        found = substrings._received(payload, bucket, coarse, bits - coarse)
+        known = keys >> np.uint64(64 - bits) == found[1][0] >> np.uint64(64 - bits)
+        assert to == -1 and {*zip(*(c.tolist() for c in (found[0], found[2], found[3])))} >= {*zip(*(c[known].tolist() for c in (hashes, docs, positions)))}
+
+
+def test_a_window_of_every_document_goes_to_its_bucket_once_a_batch():
+    hashes, keys, docs, positions = _windows(600_000, common=True)
+    rows = list(substrings._send(hashes, keys, docs, positions, 6, 32))
+    home = int(keys[0] >> np.uint64(58))
+    places = [substrings._received(p, b, 6)[0] for b, to, p in rows if to < 0 and b == home]
+    assert len(places) == 1 and (places[0] == hashes[0]).sum() == 1
+    straight = [(b, to, substrings.unpack_places(p)) for b, to, p in rows if to >= 0]
+    assert sum(len(x[2][0]) for x in straight) == 1999 and len(straight) == 32 and max(len(x[2][0]) for x in straight) < 150
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=30), max_size=6))
 def test_remove_repeats_of_small_texts(spark, docs_of, texts):
