@@ -19,8 +19,8 @@ that they leave is checked:
 5. Components of the links; a document's component is the least doc_id in it.
 
 `radius` (by default 0.2425 of the bits) is over four standard deviations above what sets of similarity 0.8 differ
-in, of 1024 bits: 155 for large sets (arccos(8/9) / pi of them), 192 for a set of 4 in one of 5.  Between sets
-of 32 hashes or more a worker goes on with pairs up to 212 bits, as far above what those differ in.
+in, of 1024 bits: 155 for large sets (arccos(8/9) / pi of them), 192 for a set of 4 in one of 5.  It is the same for sets
+of all sizes; radius = 64 * `words` compares all pairs of a key exactly.
 
 Nulls and ties: texts without words have the empty set and form one group; a text of fewer words than
 a shingle is one shingle; a row with a null id links others and has their component; a component's id
@@ -148,9 +148,6 @@ def _compare(words: int, least: float, radius: int, step: int = 1 << 20, at_once
     of each group's queries with its others of another root."""
     import pyarrow.compute as pc
 
-    bits, p = 64 * words, np.arccos(2 * least / (1 + least)) / np.pi
-    large = min(radius, round(bits * (p + 0.007) + 4.3 * np.sqrt(bits * p * (1 - p))))
-
     def numbers(column):
         """The lists of an Arrow column as arrays."""
         flat, ends = pc.list_flatten(column).to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(column).to_numpy())
@@ -164,8 +161,6 @@ def _compare(words: int, least: float, radius: int, step: int = 1 << 20, at_once
             # two sets that are both apart meet twice
             keep = (x["root"][i] != y["root"][j]) & (~y["apart"][j] | (x["set_id"][i] < y["set_id"][j])) & (np.minimum(n[i], m[j]) >= least * np.maximum(n[i], m[j]) - 1e-9)
             i, j = i[keep], j[keep]
-            keep = (np.minimum(n[i], m[j]) < 32) | (np.bitwise_count(x["fp"][i] ^ y["fp"][j]).sum(axis=1) <= large)
-            i, j = i[keep], j[keep]
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
