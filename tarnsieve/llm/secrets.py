@@ -5,8 +5,8 @@ their length check; they are always reported.  Kind `random` is added for runs o
 token characters, however long, that overlap no base span and pass the battery:
 
 * the encoding is inferred from the characters (hex in one case, base32, base36, base62, base64 of
-  either sign pair, or all of these mixed), without `=` at the end; a run that is the base64 of a text (as keys
-  in configuration files are) is judged by the longest run in that text; runs of
+  either sign pair, or all of these mixed), without `=` at the end; a run that is the base64 of a UTF-8 text (as keys
+  in configuration files are) is judged by every run of 20 or more in that text, and found if one of them is; runs of
   letters alone in one case, of digits alone, or of one class of characters are no candidates;
 * chi-squared uniformity over that alphabet: how likely characters distributed as in natural words
   and identifiers would look as uniform as the token does (their sum of squared shares and its
@@ -150,12 +150,20 @@ def _spans(column: str, kind: int) -> Column:
     return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _judged(token: Column) -> Column:
-    """The token, or the longest run in the text that it is the base64 of."""
-    plain = F.when((F.length(token) >= 64) & token.rlike("^[A-Za-z0-9+/]+={0,2}$"), F.try_to_binary(token, F.lit("base64")).cast("string"))
-    runs = F.when(plain.rlike(r"^[\x20-\x7E\t\r\n]+$"), F.regexp_extract_all(F.regexp_replace(plain, r"[\r\n]", ""), F.lit(_TOKEN), F.lit(0)))
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
-    return F.coalesce(longest["run"], token)
+def _runs(token: Column) -> Column:
+    """What is judged of a token: the runs in the UTF-8 text that it is the base64 of, else the token itself.  Text has
+    no control characters but tabs and line breaks, which so many random bytes hardly ever lack."""
+    bare = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4)).cast("int")))
+    data = F.when(token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)={0,2}$") & (F.length(bare) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
+    plain = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
+    text = F.when(~plain.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), plain)
+    return F.coalesce(F.regexp_extract_all(F.regexp_replace(text, r"[\r\n]", ""), F.lit(_TOKEN), F.lit(0)), F.array(token))
+
+
+def _candidate(token: Column) -> Column:
+    """Not of one class of characters, nor without a digit or capital."""
+    return ~token.rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & token.rlike("[0-9A-Z]")
 
 
 def _battery(tokens: DataFrame) -> DataFrame:
@@ -245,10 +253,10 @@ def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col
         base = _apart(base, "tokens", kind, f"_apart_{kind}")
     told = F.arrays_zip("tokens", *(f"_apart_{k}" for k in BASE_KINDS))
     free = F.filter(told, lambda x: x["_apart_assign"] & x["_apart_access"] & x["_apart_hex"])
-    mixed = F.filter(F.transform(free, lambda x: x["tokens"]), lambda x: ~x["m"].rlike(r"^([a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") & x["m"].rlike("[0-9A-Z]"))
+    mixed = F.filter(F.transform(free, lambda x: x["tokens"]), lambda x: _candidate(x["m"]))
     scanned = written(base.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", mixed.alias("tokens")), "secrets")
-    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", _judged(F.col("t.m")).alias("m"), "t.start", "t.end")
-    tested = written(_battery(tokens), "battery")
+    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", F.explode(_runs(F.col("t.m"))).alias("m"), "t.start", "t.end")
+    tested = written(_battery(tokens.where(_candidate(F.col("m")))), "battery")
     # Benjamini-Hochberg over a histogram of log p-values: the largest p with p * m / rank <= q
     bins = tested.groupBy(F.floor(-F.log10("p") * 20).cast("int").alias("bin")).count().collect()  # at most some 1300 bins
     total, rank, cut = sum(b["count"] for b in bins), 0, None
@@ -257,7 +265,7 @@ def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col
         if 10 ** (-b["bin"] / 20) * total <= false_discoveries * rank:
             cut = b["bin"]
     passed = F.lit(False) if cut is None else F.floor(-F.log10("p") * 20) >= cut
-    random = tested.where(passed & ~F.col("regular")).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end")).alias("random"))
+    random = tested.where(passed & ~F.col("regular")).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end")).alias("random"))
     every = F.sort_array(F.concat("base", F.coalesce("random", F.array().cast(_SPANS))))
     return scanned.join(random, "row", "left").select("doc_id", every.alias("spans"))
 

@@ -421,3 +421,21 @@ def test_battery_recall_of_one_case(spark):
     share = {k: sum(got[i] for i in kind if kind[i] == k) / sum(v == k for v in kind.values()) for k in set(kind.values())}
     assert share.pop(("natural", 0)) == 0
     assert all(v >= {20: 0.6, 32: 0.9, 40: 0.95}[n] for (_, n), v in share.items()), share
+
+
+def test_secrets_inside_base64_texts(spark, docs_of):
+    """Every run of a decoded text is judged, of any length and beside longer plain ones, ASCII or not."""
+    import base64
+    import random
+    import string
+
+    rng = random.Random(4)
+    secret = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(30)]
+    texts = [f"key {x} of_a_very_long_and_plain_identifier_with_many_words_in_it" for x in secret[:10]] + [f"ключ é {x}" for x in secret[10:20]] + [f"k:{x}" for x in secret[20:]]
+    plain = ["some words of plain text", "a_plain_identifier_with_many_words_in_it", "schöne Grüße aus Köln am Rhein", "x = y + z; call(me)"]
+    rows = [(k, f"see {base64.b64encode(t.encode()).decode()} there") for k, t in enumerate([*texts, *plain])]
+    rows += [(100 + k, f"see {base64.urlsafe_b64encode(t.encode()).decode().rstrip('=')} there") for k, t in enumerate([*texts, *plain])]
+    found = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.find_secrets(docs_of(rows)).collect()}
+    hits = {k for k, spans in found.items() if any(x[1] == 3 for x in spans)}
+    assert len(hits & {*range(30), *range(100, 130)}) >= 57 and not hits & {*range(30, 34), *range(130, 134)}
+    assert all(len({*spans}) == len(spans) for spans in found.values())
