@@ -16,7 +16,9 @@ UTF-8).  Text that is no page is converted line by line; other media types and c
 conversion, and the metadata says why.
 
 Nulls and ties: a null body is an empty one; a null URL becomes urn:page:<id>; a null id stays null;
-repeated rows give records with equal ids; other columns are ignored; an empty table gives no files.
+repeated rows give records with equal ids; other columns are ignored; an empty table gives no files.  A record is held
+whole, with its text, so a very long body takes some six times its size in the worker.  Records that are cut off or can't be
+read are reported in `damage` (responses_from_warc) and in the metadata, not dropped.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ _OPEN = re.compile(r"<(?:(!--)|(script|style|template|noscript)\b|([!?])|(/?)([a
 _CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "template", "noscript")}
 _SPECIAL = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-z][a-z0-9:-]{0,64}+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+#: Comments, scripts and styles as far as they go, or a meta element.
+_META = re.compile(rb"<!--(?:[^-]|-(?!->))*+(?:-->)?|<(?:script|style)\b(?:[^<]|<(?!/(?:script|style)))*+|<(meta\b[^>]*+)", re.I)
 # Elements that end a line of text, and attributes that hold links.
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -166,24 +170,104 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+class Headers(list):
+    """(name, value) pairs in order; names are looked up whatever their case, and may repeat."""
+
+    def all(self, name: str) -> list[str]:
+        return [v for k, v in self if k.lower() == name.lower()]
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next(iter(self.all(name)), default)
+
+    def named(self) -> dict[str, str | list[str]]:
+        """As an object: a name that repeats has the list of its values."""
+        names: dict[str, str] = {}
+        for k, _ in self:
+            names.setdefault(k.lower(), k)
+        return {k: found[0] if len(found := self.all(k)) == 1 else found for k in names.values()}
+
+
+def _plain(source, step: int):
+    """(bytes, damage) of a file: gzip members, one after another, or the file as it is."""
+    def two(held: bytes) -> bytes:
+        """With the two bytes that tell a gzip member, if there are as many."""
+        while len(held) < 2 and (part := source.read(step)):
+            held += part
+        return held
+
+    held = two(b"")
+    if held[:2] != b"\x1f\x8b":
+        while held:
+            yield held, None
+            held = source.read(step)
+        return
+    while held:
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            if not held and not (held := source.read(step)):
+                yield b"", "gzip member cut off"
+                return
+            try:
+                out = unpacker.decompress(held, 1 << 20)
+            except zlib.error as error:
+                yield b"", f"gzip: {error}"
+                return
+            held = unpacker.unconsumed_tail or unpacker.unused_data
+            if out:
+                yield out, None
+            elif not held and unpacker.eof:
+                break
+        held = two(held)
+        if held and held[:2] != b"\x1f\x8b":
+            if held.strip(b"\0"):
+                yield b"", "bytes behind the last gzip member"
+            return
+
+
 def members(source, step: int = 1 << 16):
-    """(offset, length, headers, block) of a file's records, holding one record at a time."""
-    at, held, end = 0, b"", False
-    unpacker, out, used = zlib.decompressobj(31), [], 0
+    """(headers, block, damage) of a file's records: plain, or gzipped by record, by several or as a whole.  damage says
+    what is wrong with a record that is cut off or has no header that can be read (then the rest of the
+    file is given up); else it is None.  One record is held at a time."""
+    parts, damage = _plain(source, step), None
+    held = bytearray()
+
+    def more() -> bool:
+        nonlocal damage
+        part, damage = next(parts, (b"", damage or "end"))
+        held.extend(part)
+        return damage is None
+
     while True:
-        if not held and not end:
-            held = source.read(step)
-            end = not held
+        while True:  # the empty lines between records
+            rest = held.lstrip(b"\r\n")
+            if rest or not more():
+                break
+        held = bytearray(rest)
         if not held:
+            if damage not in (None, "end"):
+                yield Headers(), b"", damage
+            return
+        at = 0
+        while not (end := re.compile(rb"\r?\n\r?\n").search(held, max(0, at - 4))):
+            at = len(held)
+            if at > 1 << 20 or not more():
+                yield Headers(), b"", "no record header" if damage in (None, "end") else damage
+                return
+        lines = re.sub(r"\r?\n[ \t]+", " ", bytes(held[: end.start()]).decode(errors="replace")).splitlines()
+        headers = Headers((k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:]))
+        length = headers.get("Content-Length") or ""
+        if not lines[0].startswith("WARC/") or not length.isascii() or not length.isdigit():
+            yield headers, b"", "no record header" if not lines[0].startswith("WARC/") else "no Content-Length"
+            return
+        stop = end.end() + int(length)
+        while len(held) < stop and more():
+            pass
+        short = len(held) < stop
+        block = bytes(held[end.end() : stop])
+        held = held[stop:]
+        yield headers, block, f"cut off after {len(block)} of {length} bytes" if short else None
+        if short:
             return
-        out.append(unpacker.decompress(held))
-        used += len(held) - len(unpacker.unused_data)
-        held = unpacker.unused_data
-        if unpacker.eof:
-            head, _, rest = b"".join(out).partition(b"\r\n\r\n")
-            headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])}
-            yield at, used, headers, rest[: int(headers["Content-Length"])]
-            at, used, out, unpacker = at + used, 0, [], zlib.decompressobj(31)
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -203,25 +287,27 @@ def response_id(source_id, url: str, payload: bytes) -> str:
 
 
 def responses_from_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Responses of WARC files with a gzip member for each record, each with its payload's bytes and its record's
-    headers (JSON); files: a column `file` of URIs."""
-    names = ["source_id", "url", "date", "headers", "body", "record_id", "payload", "warc"]
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.string()]
+    """Responses of WARC files, plain or gzipped, each with its payload's bytes, its record's headers (JSON) and damage:
+    null, or what is wrong with the record, whose payload is then what there is of it.  Of a record whose type can't be
+    read a row tells the damage.  files: a column `file` of URIs."""
+    names = ["source_id", "url", "date", "headers", "body", "record_id", "payload", "warc", "damage"]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.string(), pa.string()]
 
     def read(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 system, path = store(uri)
                 with system.open_input_stream(path, compression=None) as source:
-                    for _, _, h, block in members(source):
-                        if h["WARC-Type"] == "response":
+                    for at, (h, block, damage) in enumerate(members(source)):
+                        if (h.get("WARC-Type") or "").lower() == "response" or damage and not h.get("WARC-Type"):
                             head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-                            if "WARC-Block-Digest" not in h:
-                                h["WARC-Block-Digest"] = digest_of(block)
-                            row = [None, h.get("WARC-Target-URI"), h.get("WARC-Date"), head.decode("latin-1"), None, h["WARC-Record-ID"], payload, json.dumps(h)]
+                            if not h.get("WARC-Block-Digest"):
+                                h.append(("WARC-Block-Digest", digest_of(block)))
+                            url = h.get("WARC-Target-URI") or f"urn:record:{at}"
+                            row = [None, url, h.get("WARC-Date"), head.decode("latin-1"), None, h.get("WARC-Record-ID") or record_id("response", uri, at), payload, json.dumps(h.named()), damage]
                             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-    return files.select("file").mapInArrow(read, "source_id long, url string, date string, headers string, body string, record_id string, payload binary, warc string")
+    return files.select("file").mapInArrow(read, "source_id long, url string, date string, headers string, body string, record_id string, payload binary, warc string, damage string")
 
 
 def _dechunked(data: bytes) -> bytes:
@@ -278,14 +364,14 @@ def read_payload(headers: str, payload: bytes) -> tuple[str | None, dict]:
             return None, {"type": kind, "unread": f"content coding {coding}"}
         payload = data
     if not kind:  # undeclared: a page if it looks like one
-        looks = re.match(rb"(?:\xef\xbb\xbf)?\s*<(?:!doctype|html|head|body|title|p\b|div|!--)", payload[:1024], re.I)
+        looks = re.match(rb"(?:\xef\xbb\xbf)?\s*+<(?:!doctype|html|head|body|title|p\b|div|!--)", payload, re.I)
         kind = "text/html" if looks else "text/plain" if b"\0" not in payload and _is_utf8(payload) else "application/octet-stream"
     page = kind in ("text/html", "application/xhtml+xml")
     if not (page or kind.startswith("text/") or kind in ("application/json", "application/xml", "application/javascript") or kind.endswith(("+json", "+xml")) and not kind.startswith("image/")):
         return None, {"type": kind, "unread": f"media type {kind}"}
     marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
     declared = re.search(r"""charset\s*=\s*["']?([^\s"';,]+)""", more, re.I)
-    inside = re.search(rb"""<meta\b[^>]{0,1024}?charset\s*=\s*["']?([a-z0-9_:.-]+)""", payload[:4096], re.I) if page else None
+    inside = re.search(rb"""charset\s*=\s*["']?([a-z0-9_:.-]+)""", _meta(payload), re.I) if page else None
     charset = next((c for m, c in marks if payload.startswith(m)), None) or (declared[1] if declared else inside[1].decode() if inside else "utf-8")
     charset = "cp1252" if charset.lower() in ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii") else charset  # as browsers read them
     try:
@@ -295,6 +381,14 @@ def read_payload(headers: str, payload: bytes) -> tuple[str | None, dict]:
     return text, {"type": kind, "charset": charset.lower()}
 
 
+def _meta(page: bytes) -> bytes:
+    """The first meta element that names a charset, wherever it stands; comments and scripts are no elements."""
+    for found in _META.finditer(page):
+        if found[1] and b"charset" in found[1].lower():
+            return found[1]
+    return b""
+
+
 def _is_utf8(data: bytes) -> bool:
     try:
         data.decode()
@@ -303,7 +397,13 @@ def _is_utf8(data: bytes) -> bool:
         return False
 
 
-def derive(source_id, url: str, date: str, headers: str, body: str | None, source_record: str | None, made: str, raw: bytes | None = None, warc: str | None = None) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
+def _first(headers: dict, name: str) -> str | None:
+    """A header's first value, whatever its name's case."""
+    found = next((v for k, v in headers.items() if k.lower() == name.lower()), None)
+    return found[0] if isinstance(found, list) else found
+
+
+def derive(source_id, url: str, date: str, headers: str, body: str | None, source_record: str | None, made: str, raw: bytes | None = None, warc: str | None = None, damage: str | None = None) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
     """((id, metadata record), (id, conversion record)) of one response: its body as text, or the raw payload with
     the headers of its WARC record (JSON).  A response that isn't text has an empty conversion and no title or links."""
     payload = body.encode() if raw is None else raw
@@ -316,18 +416,18 @@ def derive(source_id, url: str, date: str, headers: str, body: str | None, sourc
         text, title, links = "\n".join(line for line in lines if line), "", []
     else:
         text, title, links = convert(body)
-    block, payload_digest = text.encode(), source.get("WARC-Payload-Digest") or digest_of(payload)
+    block, payload_digest = text.encode(), _first(source, "WARC-Payload-Digest") or digest_of(payload)
     metadata_id, conversion_id = record_id("metadata", source_record), record_id("conversion", source_record)
     about = {
         "source_id": source_id, "url": url, "response": {"record_id": source_record, "date": date, "http": headers.split("\r\n"), "payload_digest": payload_digest, "payload_length": len(payload)},
         "conversion": {"record_id": conversion_id, "digest": digest_of(block), "chars": len(text)}, "title": title, "links": links,
     }
     if raw is not None:
-        about["response"] |= {"warc": source, "block_digest": source.get("WARC-Block-Digest")}
+        about["response"] |= {"warc": source, "block_digest": _first(source, "WARC-Block-Digest")} | ({"damage": damage} if damage else {})
         about["conversion"] |= how
     refers = {"WARC-Target-URI": url, "WARC-Refers-To": source_record, "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": date}
     metadata = record("metadata", metadata_id, made, "application/json", json.dumps(about, ensure_ascii=False).encode(), refers)
-    conversion = record("conversion", conversion_id, made, "text/plain; charset=utf-8", block, {**refers, "WARC-Concurrent-To": metadata_id, "WARC-Source-Payload-Digest": payload_digest})
+    conversion = record("conversion", conversion_id, made, "text/plain; charset=utf-8", block, {**refers, "WARC-Source-Payload-Digest": payload_digest})
     return (metadata_id, metadata), (conversion_id, conversion)
 
 
@@ -352,7 +452,7 @@ def write_derivatives(responses: DataFrame, folder: str, made: str = "2024-01-01
                     at = len(about)
                 raw = row.get("payload")
                 source = row["record_id"] or response_id(row["source_id"], row["url"], row["body"].encode() if raw is None else raw)
-                for kind, (id_, data) in zip(("metadata", "conversion"), derive(row["source_id"], row["url"], row["date"], row["headers"], row["body"], source, made, raw, row.get("warc"))):
+                for kind, (id_, data) in zip(("metadata", "conversion"), derive(row["source_id"], row["url"], row["date"], row["headers"], row["body"], source, made, raw, row.get("warc"), row.get("damage"))):
                     out.write(data)
                     rows.append((part, f"warc/{name}", at, len(data), kind, id_, source))
                     at += len(data)
@@ -362,7 +462,7 @@ def write_derivatives(responses: DataFrame, folder: str, made: str = "2024-01-01
             out.close()
 
     spec = "part int, file string, offset long, length long, type string, record_id string, refers_to string"
-    more = [c for c in ("payload", "warc") if c in responses.columns]
+    more = [c for c in ("payload", "warc", "damage") if c in responses.columns]
     responses.select("source_id", "url", "date", "headers", "body", "record_id", *more).mapInArrow(write, spec).write.parquet(f"{folder}/index")
     return responses.sparkSession.read.schema(spec).parquet(f"{folder}/index")
 
@@ -380,14 +480,14 @@ def read_derivatives(spark: SparkSession, folder: str) -> DataFrame:
                 rows, size, about = [], 0, {}
                 system, path = store(f"{folder}/{file}")
                 with system.open_input_stream(path, compression=None) as source:
-                    for _, _, h, block in members(source):
-                        if digest_of(block) != h["WARC-Block-Digest"]:
-                            raise ValueError(f"{h['WARC-Record-ID']}: its block differs from its digest")
-                        if h["WARC-Type"] == "metadata":
+                    for h, block, damage in members(source):
+                        if damage or digest_of(block) != h.get("WARC-Block-Digest"):
+                            raise ValueError(f"{h.get('WARC-Record-ID')}: {damage or 'its block differs from its digest'}")
+                        if h.get("WARC-Type") == "metadata":
                             about = json.loads(block)
-                            metadata_id = h["WARC-Record-ID"]
-                        elif h["WARC-Type"] == "conversion":
-                            rows.append((about["source_id"], h["WARC-Target-URI"], h["WARC-Refers-To"], metadata_id, h["WARC-Record-ID"], h["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], about["title"], about["links"], block.decode()))
+                            metadata_id = h.get("WARC-Record-ID")
+                        elif h.get("WARC-Type") == "conversion":
+                            rows.append((about["source_id"], h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), metadata_id, h.get("WARC-Record-ID"), h.get("WARC-Source-Payload-Digest"), h.get("WARC-Block-Digest"), about["title"], about["links"], block.decode()))
                             size += len(block)
                             if size > 4_000_000:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)

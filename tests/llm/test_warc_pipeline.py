@@ -210,3 +210,49 @@ def test_responses_keep_bytes_and_headers(spark):
     assert about["latin"]["response"]["warc"]["WARC-IP-Address"] == "192.0.2.1" and about["latin"]["response"]["payload_length"] == len(page)
     assert about["latin"]["response"]["block_digest"] == sha1(f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload)
     assert about["image"]["conversion"]["unread"] == "media type image/png" and about["br"]["conversion"]["unread"] == "content coding br"
+
+
+def _warc_record(kind, payload, names=str, more=()):
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:x:{len(payload)}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", "http://a.example/"), *more, ("Content-Length", str(len(payload)))]
+    return b"WARC/1.0\r\n" + "".join(f"{names(k)}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + payload + b"\r\n\r\n"
+
+
+def _response(text):
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n" + text
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_records_in_any_lawful_form(step):
+    one, two = _warc_record("response", _response(b"first"), str.lower), _warc_record("response", _response(b"the second\r\n\r\n"), str.upper, [("warc-concurrent-to", "<a>"), ("WARC-Concurrent-To", "<b>")])
+    for data in (one + two, gzip.compress(one) + gzip.compress(two), gzip.compress(one + two), gzip.compress(b"") + gzip.compress(one) + gzip.compress(b"") + gzip.compress(two), gzip.compress(one[:50]) + gzip.compress(one[50:] + two)):
+        found = list(warc.members(io.BytesIO(data), step))
+        assert [(b, d) for _, b, d in found] == [(_response(b"first"), None), (_response(b"the second\r\n\r\n"), None)]
+        assert found[1][0].all("WARC-Concurrent-To") == ["<a>", "<b>"] and found[0][0].get("WARC-Type") == "response"
+        assert found[1][0].named()["WARC-CONCURRENT-TO"] == ["<a>", "<b>"]
+    assert list(warc.members(io.BytesIO(b""), step)) == list(warc.members(io.BytesIO(gzip.compress(b"")), step)) == []
+
+
+def test_damaged_records_are_reported(spark, tmp_path):
+    good, cut = _warc_record("response", _response(b"whole")), _warc_record("response", _response(b"this one is cut"))
+    files = {
+        "plain.warc": good + cut[:-9], "each.warc.gz": gzip.compress(good) + gzip.compress(cut)[:-30], "inside.warc.gz": gzip.compress(good + cut[:-9]), "junk.warc": good + b"no header at all\r\n\r\n",
+        "length.warc": good + cut.replace(b"Content-Length", b"Content-Size"), "tail.warc.gz": gzip.compress(good) + b"\0" * 512, "behind.warc.gz": gzip.compress(good) + b"junk",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in files], "file string")
+    rows = warc.responses_from_warc(spark, listed).collect()
+    whole = [r for r in rows if r["damage"] is None]
+    assert [bytes(r["payload"]) for r in whole] == [b"whole"] * 7
+    assert len(rows) == 7 + 6 and sum("cut off" in (r["damage"] or "") for r in rows) == 3
+    folder = new_folder(spark, "test")
+    warc.write_derivatives(warc.responses_from_warc(spark, listed), folder)
+    assert sorted(r["text"] for r in warc.read_derivatives(spark, folder).collect() if r["text"] == "whole") == ["whole"] * 7
+
+
+def test_a_late_charset():
+    page = b"<html><head>" + b"<!-- <meta charset=utf-16> " + b"x" * 50_000 + b" --><script>var a = '<meta charset=utf-16>'</script><meta name=a content='b'><meta http-equiv=x content='text/html; charset=koi8-r'>" + "тест".encode("koi8-r")
+    text, how = warc.read_payload("HTTP/1.1 200 OK\r\nContent-Type: text/html", page)
+    assert how["charset"] == "koi8-r" and text.endswith("тест")
+    undeclared = b" " * 5000 + b"<!doctype html><p>x"
+    assert warc.read_payload("HTTP/1.1 200 OK", undeclared)[1]["type"] == "text/html"
