@@ -8,8 +8,9 @@ runs of 2 to `longest` words of one piece.  Everything is counted per language.
 2. Phrases that could be frequent enough: executors count the hashes of all runs of frequent words in up to 2^`most_bits`
    buckets (a packed row for each block of buckets and batch).  A run's bucket holds at least its own count,
    so a run is a candidate only if its bucket and those of all its parts reach `min_count`: no frequent phrase is lost.
-3. The distinct candidates, words included, get a minimal perfect hash: shards of the hash range, each built in a task by
-   levels of bit arrays, which give n keys the slots 0 to n - 1 in about 3 bits a key.  Beside each slot stands
+3. Executors send the candidates that they meet, each once a task and packed in a row for each shard of the hash range.
+   A shard's task builds a minimal perfect hash of the distinct ones: levels of bit arrays, which give n keys the
+   slots 0 to n - 1 in about 3 bits a key.  Beside each slot stands
    its key, the run of word hashes, against which every lookup is verified.
 4. Mappers look all runs with live buckets up, `bincount` their slots, and the arrays are summed in a tree: first in
    groups of tasks, then by shard.
@@ -27,6 +28,7 @@ score, count, then the phrase's bytes.  An empty table, or one without a frequen
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from hashlib import blake2b
 from math import ceil, log2
 
@@ -79,7 +81,7 @@ class _Hasher:
             if b > a:
                 low, high = starts[a], ends[b - 1]
                 hashes[a:b] = _rolled(data[low:high].astype(_U) + _U(1), starts[a:b] - low, ends[a:b] - low, self.powers)
-        return _mix(hashes ^ language)
+        return np.maximum(_mix(hashes ^ language), _U(1))  # 0 stands for no word
 
     def language(self, names: list[str]) -> np.ndarray:
         for name in set(names) - self.languages.keys():
@@ -361,7 +363,7 @@ def _word_bits(words: DataFrame, min_count: int) -> DataFrame:
 
 
 def _live_bits(docs: DataFrame, word_folder: str, seed: int, bits: int, longest: int, min_count: int, most_places: int = 2_000_000) -> DataFrame:
-    """The bitmaps of buckets that reach min_count, a row for each length (level k - 2) and block."""
+    """The bitmaps of buckets that reach min_count, a row for each length (level k - 2) and block, and how many do."""
     block_bits = min(bits, BLOCK_BITS)
     lengths = range(2, longest + 1)
 
@@ -407,23 +409,41 @@ def _live_bits(docs: DataFrame, word_folder: str, seed: int, bits: int, longest:
                 at, more = np.cumsum(_unpacked(gaps, np.uint32)), _unpacked(counts, np.uint32)
                 # enough is enough: sums stop growing before they could overflow
                 total[at] = np.minimum(total[at] + np.minimum(more, min_count), min_count)
-        found = [(level, block, _packed(np.packbits(total >= min_count, bitorder="little"))) for (level, block), total in sums.items()]
+        found = [(level, block, int((total >= min_count).sum()), _packed(np.packbits(total >= min_count, bitorder="little"))) for (level, block), total in sums.items()]
         if found:
             columns = list(zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["level", "block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["level", "block", "n", "bits"])
 
     counted = docs.mapInArrow(count, "level int, block int, gaps binary, counts binary")
     # a partition for each block of each length: a task sums at most a few arrays of 4 MB
-    return counted.repartition(max(1, (longest - 1) << (bits - block_bits)), "level", "block").mapInArrow(live, "level int, block int, bits binary")
+    return counted.repartition(max(1, (longest - 1) << (bits - block_bits)), "level", "block").mapInArrow(live, "level int, block int, n long, bits binary")
 
 
-def _distinct_candidates(docs: DataFrame, word_folder: str, live_folder: str, seed: int, bits: int, longest: int, most_seen: int = 1_000_000) -> DataFrame:
-    """(lang, phrase, k, h, words) of every candidate, once."""
+def _payload(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _candidate_rows(docs: DataFrame, word_folder: str, live_folder: str, seed: int, bits: int, longest: int, shard_bits: int, most_seen: int = 500_000) -> DataFrame:
+    """(shard, payload): the candidates that a task has met, each once, packed by shard."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.uint64()), ("words", pa.binary(8 * longest))])
 
     def find(batches):
         hasher, word_bits = _Hasher(seed), _held(f"words|{word_folder}", lambda: _bitmaps(word_folder, 1, WORD_BITS)[0])
         live = _held(f"live|{live_folder}", lambda: _bitmaps(live_folder, longest - 1, bits))
-        seen = np.empty(0, _U)
+        seen, held = np.empty(0, _U), []
+
+        def flush():
+            whole = pa.Table.from_batches(held, schema).combine_chunks()
+            order = np.argsort(whole.column("h").to_numpy())
+            whole = whole.take(pa.array(order))
+            shards = (whole.column("h").to_numpy() >> _U(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(whole), np.int64)
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+                yield pa.RecordBatch.from_arrays([pa.array([int(shards[a])], pa.int32()), pa.array([_payload(whole.slice(a, b - a))], pa.binary())], names=["shard", "payload"])
+
         for names, texts in _groups(batches):
             runs, out = _Runs(names, texts, hasher), []
             fresh = [seen]
@@ -433,34 +453,40 @@ def _distinct_candidates(docs: DataFrame, word_folder: str, live_folder: str, se
                 known = np.zeros(len(once), bool)
                 known[place < len(seen)] = seen[place[place < len(seen)]] == once[place < len(seen)]
                 fresh.append(once[~known])
-                for h, i in zip(once[~known].view(np.int64).tolist(), at[first[~known]].tolist()):
-                    out.append((runs.names[runs.of[i]], runs.text(i, k), k, h, runs.words[i : i + k].tobytes()))
+                for h, i in zip(once[~known].tolist(), at[first[~known]].tolist()):
+                    out.append((runs.names[runs.of[i]], runs.text(i, k), h, runs.words[i : i + k].tobytes().ljust(8 * longest, b"\0")))
+            if out:
+                held.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema))
             seen = np.unique(np.concatenate(fresh))
             if len(seen) > most_seen:
-                seen = np.empty(0, _U)
-            for a in range(0, len(out), 50_000):
-                columns = list(zip(*out[a : a + 50_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["lang", "phrase", "k", "h", "words"])
+                yield from flush()
+                seen, held = np.empty(0, _U), []
+        if held:
+            yield from flush()
 
-    found = docs.mapInArrow(find, "lang string, phrase string, k int, h long, words binary")
-    return found.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.first("h").alias("h"), F.first("words").alias("words"))
+    return docs.mapInArrow(find, "shard int, payload binary")
 
 
-def _shards(candidates: DataFrame, shard_bits: int, longest: int) -> DataFrame:
-    """(shard, n, bits, sizes, keys): the perfect hash of each shard, and its keys by slot."""
-    shard = F.shiftrightunsigned("h", 64 - shard_bits).cast("int") if shard_bits else F.lit(0)
+def _shards(packed: DataFrame, longest: int) -> DataFrame:
+    """(shard, n, bits, sizes, keys, names): the perfect hash of each shard's distinct candidates, and by slot their
+    keys, languages and texts."""
 
     def build(key, table):
-        hashes, number = table.column("h").to_numpy().view(_U), key[0].as_py()
-        words = [w.ljust(8 * longest, b"\0") for w in table.column("words").to_pylist()]
+        whole = pa.concat_tables(pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("payload")).combine_chunks()
+        every = whole.column("h").to_numpy()
+        words = np.frombuffer(whole.column("words").chunk(0).buffers()[1], _U)[: len(every) * longest].reshape(-1, longest)
+        hashes, first, of = np.unique(every, return_index=True, return_inverse=True)
+        if (words != words[first][of]).any():
+            raise Collision
         bits, sizes = build_slots(hashes)
         slots = Slots([(0, bits, sizes)], 0)(hashes)
-        keys = np.empty((len(hashes), longest + 1), _U)
-        keys[slots, 0] = hashes
-        keys[slots, 1:] = np.frombuffer(b"".join(words), _U).reshape(-1, longest)
-        return pa.table([pa.array([number], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([bits.tobytes()], pa.binary()), pa.array([sizes], pa.list_(pa.int64())), pa.array([keys.tobytes()], pa.binary())], names=["shard", "n", "bits", "sizes", "keys"])
+        keys, order = np.empty((len(hashes), longest + 1), _U), np.empty(len(hashes), np.int64)
+        keys[slots, 0], keys[slots, 1:], order[slots] = hashes, words[first], first
+        names = _payload(whole.select(["lang", "phrase"]).take(pa.array(order)))
+        columns = ([key[0].as_py()], [len(hashes)], [bits.tobytes()], [sizes], [keys.tobytes()], [names])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["shard", "n", "bits", "sizes", "keys", "names"])
 
-    return candidates.select(shard.alias("shard"), "h", "words").groupBy("shard").applyInArrow(build, "shard int, n long, bits binary, sizes array<long>, keys binary")
+    return packed.groupBy("shard").applyInArrow(build, "shard int, n long, bits binary, sizes array<long>, keys binary, names binary")
 
 
 def _slot_counts(docs: DataFrame, word_folder: str, live_folder: str, shard_folder: str, shards: list[int], shard_bits: int, seed: int, bits: int, longest: int, fan: int = 32) -> DataFrame:
@@ -505,12 +531,14 @@ def _slot_counts(docs: DataFrame, word_folder: str, live_folder: str, shard_fold
     return leaves.repartition(n * fan, "shard", "leaf").select("shard", "counts").mapInArrow(add, spec).repartition(n, "shard").mapInArrow(add, spec)
 
 
-def _parts_by_slot(candidates: DataFrame, shard_folder: str, counts_folder: str, shards: list[int], shard_bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, k, parts): of each candidate phrase the counts of itself and of the left and right part of each
-    cut, as far as these shards hold them."""
+def _parts_by_slot(shards: DataFrame, every_count: DataFrame, counts_folder: str, some: list[int], shard_bits: int, longest: int, min_count: int) -> DataFrame:
+    """(lang, phrase, k, parts): of each frequent phrase the counts of itself and of the left and right part of each
+    cut, -1 for those that the shards `some` don't hold."""
+
+    shard_folder = shards._tarnsieve_folder
 
     def tables():
-        table = _Candidates(shard_folder, shards, shard_bits, longest)
+        table = _Candidates(shard_folder, some, shard_bits, longest)
         counts = np.zeros(len(table.keys), np.int64)
         place = {s: i for i, s in enumerate(table.numbers)}
         for number, blob in _rows_of(counts_folder, ["shard", "counts"]):
@@ -519,25 +547,27 @@ def _parts_by_slot(candidates: DataFrame, shard_folder: str, counts_folder: str,
         return table, counts
 
     def read(batches):
-        table, counts = _held(f"counts|{counts_folder}|{shards[0]}-{shards[-1]}", tables)
+        table, counts = _held(f"counts|{counts_folder}|{some[0]}-{some[-1]}", tables)
         for batch in batches:
-            ks = batch.column("k").to_numpy()
-            for k in range(2, longest + 1):
-                some = batch.filter(pa.array(ks == k))
-                if not some.num_rows:
-                    continue
-                words = np.frombuffer(b"".join(some.column("words").to_pylist()), _U).reshape(-1, k)
-                found = []
-                for a, b in [(0, k), *(edges for cut in range(1, k) for edges in ((0, cut), (cut, k)))]:
-                    hashes = words[:, a].copy()
-                    for j in range(a + 1, b):
-                        hashes = longer(hashes, words[:, j])
-                    slots = table.find(hashes, [words[:, j] for j in range(a, b)])
-                    found.append(np.where(slots >= 0, counts[slots], -1) if len(counts) else np.full(len(slots), -1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, some.num_rows * len(found) + 1, len(found)), pa.int32()), pa.array(np.stack(found, 1).reshape(-1), pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("phrase"), some.column("k"), lists], names=["lang", "phrase", "k", "parts"])
-
-    return candidates.where("k > 1").select("lang", "phrase", "k", "words").mapInArrow(read, "lang string, phrase string, k int, parts array<long>")
+            for keys, names, own in zip(*(batch.column(c).to_pylist() for c in ("keys", "names", "counts"))):
+                keys, names, own = np.frombuffer(keys, _U).reshape(-1, longest + 1), pa.ipc.open_stream(names).read_all(), _unpacked(own, np.int64)
+                lengths = (keys[:, 1:] != 0).sum(1)
+                for k in range(2, longest + 1):
+                    at = np.flatnonzero((lengths == k) & (own >= min_count))
+                    if not len(at):
+                        continue
+                    words, found = keys[at, 1 : k + 1], []
+                    for a, b in [(0, k), *(edges for cut in range(1, k) for edges in ((0, cut), (cut, k)))]:
+                        hashes = words[:, a].copy()
+                        for j in range(a + 1, b):
+                            hashes = longer(hashes, words[:, j])
+                        slots = table.find(hashes, [words[:, j] for j in range(a, b)])
+                        found.append(np.where(slots >= 0, counts[slots], -1))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * len(found) + 1, len(found)), pa.int32()), pa.array(np.stack(found, 1).reshape(-1), pa.int64()))
+                    named = names.take(pa.array(at)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([named.column("lang").chunk(0), named.column("phrase").chunk(0), pa.array([k] * len(at), pa.int32()), lists], names=["lang", "phrase", "k", "parts"])
+
+    return shards.select("shard", "keys", "names").join(every_count, "shard").select("keys", "names", "counts").mapInArrow(read, "lang string, phrase string, k int, parts array<long>")
 
 
 def _mined(docs: DataFrame, min_count: int, longest: int, most_bits: int, most_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -549,13 +579,12 @@ def _mined(docs: DataFrame, min_count: int, longest: int, most_bits: int, most_s
     n = sizes.agg(F.sum("n")).first()[0] or 0
     bits = min(max(ceil(log2(max(n, 1) / 4)), 16), most_bits)
     word_folder = written(_word_bits(words, min_count), "phrase-word-bits")._tarnsieve_folder
-    live_folder = written(_live_bits(docs, word_folder, seed, bits, longest, min_count), "phrase-live-bits")._tarnsieve_folder
-    candidates = written(_distinct_candidates(docs, word_folder, live_folder, seed, bits, longest), "phrase-candidates")
-    total = candidates.count()
-    shard_bits = max(0, ceil(log2(max(total, 1) / SHARD)))
-    if not candidates.groupBy("h").count().where("count > 1").isEmpty():
-        raise Collision
-    shards = written(_shards(candidates, shard_bits, longest), "phrase-shards")
+    live = written(_live_bits(docs, word_folder, seed, bits, longest, min_count), "phrase-live-bits")
+    live_folder = live._tarnsieve_folder
+    # a live bucket holds a frequent phrase, or several, or none: twice as many candidates, with the frequent words
+    expected = 2 * (live.agg(F.sum("n")).first()[0] or 0) + words.where(F.col("n") >= min_count).count()
+    shard_bits = max(0, ceil(log2(max(expected, 1) / SHARD)))
+    shards = written(_shards(_candidate_rows(docs, word_folder, live_folder, seed, bits, longest, shard_bits), longest), "phrase-shards")
     # passes: neighbouring shards of at most most_slots candidates together; a row for each 131,072 candidates
     passes, held = [], 0
     for number, size in sorted((r["shard"], r["n"]) for r in shards.select("shard", "n").collect()):
@@ -563,17 +592,15 @@ def _mined(docs: DataFrame, min_count: int, longest: int, most_bits: int, most_s
             passes, held = [*passes, []], 0
         passes[-1].append(number)
         held += size
-    found = None
-    for some in passes:
-        counts = written(_slot_counts(docs, word_folder, live_folder, shards._tarnsieve_folder, some, shard_bits, seed, bits, longest), "phrase-counts")
-        parts = _parts_by_slot(candidates, shards._tarnsieve_folder, counts._tarnsieve_folder, some, shard_bits, longest)
-        found = parts if found is None else found.unionByName(parts)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "lang string, phrase string, k int, parts array<long>")
+    counts = [written(_slot_counts(docs, word_folder, live_folder, shards._tarnsieve_folder, some, shard_bits, seed, bits, longest), "phrase-counts") for some in passes]
+    if not passes:
+        return written(docs.sparkSession.createDataFrame([], "lang string, phrase string, k int, parts array<long>"), "phrase-parts"), sizes
+    every_count = reduce(DataFrame.unionByName, counts)
+    found = reduce(DataFrame.unionByName, (_parts_by_slot(shards, every_count, own._tarnsieve_folder, some, shard_bits, longest, min_count) for some, own in zip(passes, counts)))
     if len(passes) > 1:  # each pass has told what its shards hold
         merged = [F.max(F.get("parts", i)).alias(f"_{i}") for i in range(2 * longest - 1)]
         found = found.groupBy("lang", "phrase", "k").agg(*merged).select("lang", "phrase", "k", F.filter(F.array(*(f"_{i}" for i in range(2 * longest - 1))), lambda x: x.isNotNull()).alias("parts"))
-    return written(found.where(F.get("parts", 0) >= min_count), "phrase-parts"), sizes
+    return written(found, "phrase-parts"), sizes
 
 
 def collocations(documents: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000, most_bits: int = 28, most_slots: int = 1 << 22, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
