@@ -6,7 +6,8 @@ item holds a hash that both have kept.  Kept hashes of texts meet those of the i
 a common one is clean and its words go no further.  In the others, the hits are extended: all windows
 around a common hash's positions are compared with the items' windows, word for word, and the union of
 equal ones is the contaminated part.  Items of fewer words than a window are windows themselves;
-they are too short for the guarantee, so texts' runs of exactly their lengths are compared.
+they are too short for the guarantee, so texts' runs of exactly their lengths are compared, from the places where the first
+word of such an item stands; a text without any such word goes no further for their sake.
 
 The benchmark's side is broadcast only below a counted bound; beyond it the same joins shuffle.  The
 texts' side is written once: ids and word counts, and the words of texts with hits only.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 from .words import grams, letter_words, lower_ascii
 
 
@@ -48,6 +49,13 @@ def _runs(words: str, size: int):
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 100_000, most_literals: int = 4096, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, the items found (sorted as strings) and the hit spans."""
+    with scratch(documents.sparkSession) as keep:
+        result = written(_found(documents, benchmark, window, k, most_broadcast, most_literals, id_col, text_col, item_col, item_text_col), "contamination")
+        keep(result)
+    return result
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, window: int, k: int, most_broadcast: int, most_literals: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     items = written(_worded(benchmark, item_col, item_text_col, "item_id"), "items")
     long_items, short_items = items.where(F.col("n_words") >= window), items.where(F.col("n_words").between(1, window - 1))
 
@@ -58,6 +66,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     windows = written(named.groupBy(F.col("w.run").alias("run"), "size").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "item-windows")
     prints = written(_winnowed(long_items, window, k).select(F.explode("least").alias("print")).distinct(), "item-prints")
     lengths = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # at most window - 1 values
+    # first words of short items: so few that they are held beside each task, or more, which are joined
+    begun = written(windows.where(F.col("size") < window).select("size", F.substring_index("run", " ", 1).alias("first")).distinct(), "first-words")
+    few = begun.count() <= most_literals
+    firsts = {n: sorted(r["first"] for r in begun.where(F.col("size") == n).select("first").collect()) for n in lengths} if few else {}
+    begins = F.exists("words", lambda w: w.isin(sorted({w for some in firsts.values() for w in some}))) if firsts else F.lit(bool(lengths))
     n_prints, n_windows = prints.count(), windows.count()
     some = F.broadcast(windows) if n_windows <= most_broadcast else windows
     shared = F.broadcast(prints) if n_prints <= most_broadcast else prints
@@ -69,7 +82,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     if known is not None:
         hit = F.exists("least", lambda h: h.isin(known)) if known else F.lit(False)
         docs = docs.withColumn("hit", hit)
-        docs = written(docs.select(*columns, "hit", F.when(F.col("hit") | F.lit(bool(lengths)), F.col("words")).alias("words")), "texts")
+        docs = written(docs.select(*columns, "hit", F.when(F.col("hit") | begins, F.col("words")).alias("words")), "texts")
     else:
         docs = written(docs, "texts")
         met = docs.select("row", F.explode(F.array_distinct("least")).alias("print")).join(shared, "print", "left_semi").select("row").distinct()
@@ -83,8 +96,15 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     starts = placed.where(F.col("n") >= window).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(around))).alias("starts"))
     tried = hit.join(starts, "row").select("row", F.lit(window).alias("size"), F.explode(F.transform("starts", _runs("words", window))).alias("w"))
     for size in lengths:
-        every = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - size), _runs("words", size))
-        tried = tried.union(docs.where(F.col("n_words") >= size).select("row", F.lit(size).alias("size"), F.explode(every).alias("w")))
+        places = F.sequence(F.lit(0), F.col("n_words").cast("int") - size)
+        some_words = docs.where((F.col("n_words") >= size) & F.col("words").isNotNull())
+        if few:
+            some_words = some_words.withColumn("places", F.filter(places, lambda p: F.get("words", p).isin(firsts[size]))).where(F.size("places") > 0)
+            runs_ = some_words.select("row", F.lit(size).alias("size"), F.explode(F.transform("places", _runs("words", size))).alias("w"))
+        else:
+            every = some_words.select("row", F.lit(size).alias("size"), F.explode(F.transform(places, _runs("words", size))).alias("w"))
+            runs_ = every.withColumn("first", F.substring_index("w.run", " ", 1)).join(begun.where(F.col("size") == size).select("first"), "first", "left_semi").select("row", "size", "w")
+        tried = tried.union(runs_)
     equal = tried.select("row", "size", F.col("w.pos").alias("pos"), F.col("w.run").alias("run")).join(some, ["run", "size"])
     found = equal.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("pos", F.col("size").alias("len"))).alias("places"))
     # the words inside any place, in order; a span begins where the word before is none of them

@@ -37,7 +37,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -234,6 +234,13 @@ def _battery(tokens: DataFrame) -> DataFrame:
 
 def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its spans: an array of (start, kind, end), in that order; kind 3 is `random`."""
+    with scratch(documents.sparkSession) as keep:
+        result = written(_found(documents, false_discoveries, id_col, text_col), "secret-spans")
+        keep(result)
+    return result
+
+
+def _found(documents: DataFrame, false_discoveries: float, id_col: str, text_col: str) -> DataFrame:
     docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     lowered = docs.withColumn("_low", F.lower("text"))
     keyed = F.lit(False)

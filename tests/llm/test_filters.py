@@ -439,3 +439,12 @@ def test_secrets_inside_base64_texts(spark, docs_of):
     hits = {k for k, spans in found.items() if any(x[1] == 3 for x in spans)}
     assert len(hits & {*range(30), *range(100, 130)}) >= 57 and not hits & {*range(30, 34), *range(130, 134)}
     assert all(len({*spans}) == len(spans) for spans in found.values())
+
+
+@pytest.mark.parametrize("literals", [4096, 0])
+def test_short_items_by_their_first_words(spark, docs_of, literals):
+    """Items of 1 to 4 words: the same hits whether their first words are literals or joined; clean texts go no further."""
+    items = spark.createDataFrame([("a", "alpha"), ("b", "beta gamma delta"), ("c", "delta delta"), ("d", ""), ("e", "omega psi chi phi")], "item_id string, text string")
+    texts = [(1, "x alpha y beta gamma delta"), (2, "beta gamma"), (3, "delta delta delta z"), (4, "nothing here at all"), (5, None), (6, "Alpha, beta; GAMMA-delta omega psi chi phi")]
+    found = {r["doc_id"]: (r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.find_contamination(docs_of(texts), items, most_literals=literals).collect()}
+    assert found == {1: (4, ["a", "b"], [(1, 2), (3, 6)]), 2: (0, [], []), 3: (3, ["c"], [(0, 3)]), 4: (0, [], []), 5: (0, [], []), 6: (8, ["a", "b", "e"], [(0, 8)])}
