@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tarnsieve.llm import decontaminate, near, packing, secrets, toxicity
 from tarnsieve.llm.queries import word_bpe_path
-from tarnsieve.llm.shared import new_folder, table, text_batches, with_row_key, without
+from tarnsieve.llm.shared import new_folder, scratch, table, text_batches, with_row_key, without
+from tarnsieve.storage import hadoop_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        with scratch(spark):  # what the stage writes besides goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if last:
+            files, at = hadoop_path(spark, last)
+            files.delete(at, True)
+        docs, last = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
