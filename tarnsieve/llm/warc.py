@@ -170,6 +170,9 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 class Headers(list):
     """(name, value) pairs in order; names are looked up whatever their case, and may repeat."""
 
@@ -177,7 +180,11 @@ class Headers(list):
         return [v for k, v in self if k.lower() == name.lower()]
 
     def get(self, name: str, default: str | None = None) -> str | None:
-        return next(iter(self.all(name)), default)
+        name = name.lower()
+        for k, v in self:
+            if len(k) == len(name) and k.lower() == name:
+                return v
+        return default
 
     def named(self) -> dict[str, str | list[str]]:
         """As an object: a name that repeats has the list of its values."""
@@ -248,12 +255,13 @@ def members(source, step: int = 1 << 16):
                 yield Headers(), b"", damage
             return
         at = 0
-        while not (end := re.compile(rb"\r?\n\r?\n").search(held, max(0, at - 4))):
+        while not (end := _HEAD_END.search(held, max(0, at - 4))):
             at = len(held)
             if at > 1 << 20 or not more():
                 yield Headers(), b"", "no record header" if damage in (None, "end") else damage
                 return
-        lines = re.sub(r"\r?\n[ \t]+", " ", bytes(held[: end.start()]).decode(errors="replace")).splitlines()
+        head = bytes(held[: end.start()]).decode(errors="replace")
+        lines = (re.sub(r"\r?\n[ \t]+", " ", head) if "\n " in head or "\n\t" in head else head).splitlines()
         headers = Headers((k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:]))
         length = headers.get("Content-Length") or ""
         if not lines[0].startswith("WARC/") or not length.isascii() or not length.isdigit():
