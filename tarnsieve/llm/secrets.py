@@ -15,11 +15,14 @@ token characters, however long, that overlap no base span and pass the battery:
 * for base32, base36 and upper-case hex, where uniformity of 20 to 40 characters says little, in its place how
   likely words have letter pairs as rare as the token's, or (hex) letters of A to F only;
 * class changes (lower case, upper case, digit, sign): how likely an identifier would change as often;
-* runs above and below the middle of the alphabet, and serial correlation of neighbouring ranks: a
-  sequence such as abc..., 0123... or a repeated pattern is dismissed if either rejects randomness;
-* the first two p-values are combined by Fisher's method, and the Benjamini-Hochberg rule over all
-  candidates of the corpus bounds the share of false discoveries.  Ranks are counted in a histogram
-  of log p-values, so the rule costs one small aggregate.
+* equal pairs of characters (chi-squared, with the skewness that few characters over many letters have), runs
+  above and below the middle of the alphabet, and serial correlation of neighbouring ranks: how likely random
+  characters would be as uneven, or a sequence such as abc..., 0123... or a repeated pattern as orderly;
+* Fisher's method combines the tests against natural origin into one p-value, those against randomness into
+  another.  The Benjamini-Hochberg rule over all candidates of the corpus is used on both: it dismisses tokens that
+  aren't random, at most `false_dismissals` of them wrongly, and then, with weight 0 for those (they still count among
+  the candidates), bounds the share of false discoveries.  All distributions are those of the token's length.
+  Ranks are counted in histograms of log p-values, so the rule costs two small aggregates.
 
 All expressions are native.  Positions come from the gaps between matches (split) and the matches
 themselves; texts without a literal that a pattern needs are not searched.
@@ -66,22 +69,35 @@ ENCODINGS = (
 )
 #: Share of neighbours of different class in natural identifiers.
 _CHANGE = 0.15
-#: Letter pairs of words and identifiers (four languages and program text): a row for each first letter, a
-#: character for each second; its code less 68 is 4 log2 of the pair's share against that of random letters.
+# 4 log2 of a letter pair's share in words and identifiers (four languages and program text)
+# against that of random letters; a row for each first letter, a to z, a number for each second.
 _PAIRS = (
-    "ABFD>8@9E0;IDL;A2IJLE::9;1" "JAD>M;78DC5O::H=5BB<G366F6"
-    "I8><I;5NH0GG<6L92C>IA841<0" "H?>BQ=:?K43C:?J;2BDCC6<591"
-    "G;DGCA::C03G@K>??NKF<<;C87" "I=?AGI=9M55E:>M;3IADF674<5"
-    "H>=;P;BFG48D>ED=3GIDC<;47;" "M?:6Q27CG08@7BH80BCG<7>056"
-    "@>FAGAA5914ECPJ@3AHJ1=1;0>" "N>@@M=>?C>C?>>IB>>E>H=>=?="
-    "E=A?R>A=I<:F;A??9@GB?;C7=8" "I8:APJ43J03H86H<07CCB530I2"
-    "LB8<P955I17@B;IJ38D>B661@3" "G>DKJ>K@E1;@9AH;5>GM>=;054"
-    "=?DE8F<1A2;BDPAC0MDDJ;@902" "M7==LD7>F08H78IE6JAHA770E1"
-    "=;:9:9:9;7:@:<9;=>><U;:998" "I=@?P9@>H0;?@CI;0FFIA;;0?3"
-    "A8E9O6;HF2;><;CB7;IOD390>0" "G:?:M;4OL04=:<F=0GDCA5:1A<"
-    "GD@<L@=9C04GDL@E5IFI685F04" "M<<9R:9:L66:>:D96;;;87:6;9"
-    "K:<>F:7PN55>9DF94FC:89<:44" "GAKALF7<G:8?B;AH<@>M9<9FB9"
-    "CAB?G?<AE68EBGEL8BJK<=B<D>" "F?@>N<?>H;<?@:C?;<@?N<<>>K"
+    (-3, -2, 2, 0, -6, -12, -4, -11, 1, -20, -9, 5, 0, 8, -9, -3, -18, 5, 6, 8, 1, -10, -10, -11, -9, -19),  # a
+    (6, -3, 0, -6, 9, -9, -13, -12, 0, -1, -15, 11, -10, -10, 4, -7, -15, -2, -2, -8, 3, -17, -14, -14, 2, -14),  # b
+    (5, -12, -6, -8, 5, -9, -15, 10, 4, -20, 3, 3, -8, -14, 8, -11, -18, -1, -6, 5, -3, -12, -16, -19, -8, -20),  # c
+    (4, -5, -6, -2, 13, -7, -10, -5, 7, -16, -17, -1, -10, -5, 6, -9, -18, -2, 0, -1, -1, -14, -8, -15, -11, -19),  # d
+    (3, -9, 0, 3, -1, -3, -10, -10, -1, -20, -17, 3, -4, 7, -6, -5, -5, 10, 7, 2, -8, -8, -9, -1, -12, -13),  # e
+    (5, -7, -5, -3, 3, 5, -7, -11, 9, -15, -15, 1, -10, -6, 9, -9, -17, 5, -3, 0, 2, -14, -13, -16, -8, -15),  # f
+    (4, -6, -7, -9, 12, -9, -2, 2, 3, -16, -12, 0, -6, 1, 0, -7, -17, 3, 5, 0, -1, -8, -9, -16, -13, -9),  # g
+    (9, -5, -10, -14, 13, -18, -13, -1, 3, -20, -12, -4, -13, -2, 4, -12, -20, -2, -1, 3, -8, -13, -6, -20, -15, -14),  # h
+    (-4, -6, 2, -3, 3, -3, -3, -15, -11, -19, -16, 1, -1, 12, 6, -4, -17, -3, 4, 6, -19, -7, -19, -9, -20, -6),  # i
+    (10, -6, -4, -4, 9, -7, -6, -5, -1, -6, -1, -5, -6, -6, 5, -2, -6, -6, 1, -6, 4, -7, -6, -7, -5, -7),  # j
+    (1, -7, -3, -5, 14, -6, -3, -7, 5, -8, -10, 2, -9, -3, -5, -5, -11, -4, 3, -2, -5, -9, -1, -13, -7, -12),  # k
+    (5, -12, -10, -3, 12, 6, -16, -17, 6, -20, -17, 4, -12, -14, 4, -8, -20, -13, -1, -1, -2, -15, -17, -20, 5, -18),  # l
+    (8, -2, -12, -8, 12, -11, -15, -15, 5, -19, -13, -4, -2, -9, 5, 6, -17, -12, 0, -6, -2, -14, -14, -19, -4, -17),  # m
+    (3, -6, 0, 7, 6, -6, 7, -4, 1, -19, -9, -4, -11, -3, 4, -9, -15, -6, 3, 9, -6, -7, -9, -20, -15, -16),  # n
+    (-7, -5, 0, 1, -12, 2, -8, -19, -3, -18, -9, -2, 0, 12, -3, -1, -20, 9, 0, 0, 6, -9, -4, -11, -20, -18),  # o
+    (9, -13, -7, -7, 8, 0, -13, -6, 2, -20, -12, 4, -13, -12, 5, 1, -14, 6, -3, 4, -3, -13, -13, -20, 1, -19),  # p
+    (-7, -9, -10, -11, -10, -11, -10, -11, -9, -13, -10, -4, -10, -8, -11, -9, -7, -6, -6, -8, 17, -9, -10, -11, -11, -12),  # q
+    (5, -7, -4, -5, 12, -11, -4, -6, 4, -20, -9, -5, -4, -1, 5, -9, -20, 2, 2, 5, -3, -9, -9, -20, -5, -17),  # r
+    (-3, -12, 1, -11, 11, -14, -9, 4, 2, -18, -9, -6, -8, -9, -1, -2, -13, -9, 5, 11, 0, -17, -11, -20, -6, -20),  # s
+    (3, -10, -5, -10, 9, -9, -16, 11, 8, -20, -16, -7, -10, -8, 2, -7, -20, 3, 0, -1, -3, -15, -10, -19, -3, -8),  # t
+    (3, 0, -4, -8, 8, -4, -7, -11, -1, -20, -16, 3, 0, 8, -4, 1, -15, 5, 2, 5, -14, -12, -15, 2, -20, -16),  # u
+    (9, -8, -8, -11, 14, -10, -11, -10, 8, -14, -14, -10, -6, -10, 0, -11, -14, -9, -9, -9, -12, -13, -10, -14, -9, -11),  # v
+    (7, -10, -8, -6, 2, -10, -13, 12, 10, -15, -15, -6, -11, 0, 2, -11, -16, 2, -1, -10, -12, -11, -8, -10, -16, -16),  # w
+    (3, -3, 7, -3, 8, 2, -13, -8, 3, -10, -12, -5, -2, -9, -3, 4, -8, -4, -6, 9, -11, -8, -11, 2, -2, -11),  # x
+    (-1, -3, -2, -5, 3, -5, -8, -3, 1, -14, -12, 1, -2, 3, 1, 8, -12, -2, 6, 7, -8, -7, -2, -8, 0, -6),  # y
+    (2, -5, -4, -6, 10, -8, -5, -6, 4, -9, -8, -5, -4, -10, -1, -5, -9, -8, -4, -5, 10, -8, -8, -6, -6, 7),  # z
 )
 #: Mean log2 of a pair in natural tokens of 20 letters or more, and its spread (as if pairs were independent).
 _PAIR_MEAN, _PAIR_SPREAD = 0.95, 1.7
@@ -94,10 +110,13 @@ _CHANGED = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[A-Z
 
 
 def _normal_below(z: Column) -> Column:
-    """P(Z <= z) of the normal distribution, by a rational approximation (error below 1e-7; Abramowitz and Stegun 26.2.17)."""
+    """P(Z <= z) of the normal distribution, by a rational approximation (error below 1e-7; Abramowitz and Stegun 26.2.17),
+    beyond 3 by the continued fraction of the tail (26.2.14), whose relative error is small there."""
     x = F.abs(z)
     t = 1 / (1 + 0.2316419 * x)
-    tail = F.exp(-x * x / 2) / sqrt(6.283185307179586) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    near = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    far = 1 / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 5 / (x + 6 / (x + 1)))))))
+    tail = F.exp(-x * x / 2) / sqrt(6.283185307179586) * F.when(x > 3, far).otherwise(near)
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
@@ -126,16 +145,15 @@ def _places(df: DataFrame, wanted: Column, pattern: str, name: str) -> DataFrame
     return placed.withColumn(name, joined).drop("_m", "_gaps", "_lengths", "_at")
 
 
-def _apart(df: DataFrame, tokens: str, kind: str, name: str) -> DataFrame:
-    """df with `name`: for each token (in order, none overlapping another) whether it overlaps no span of `kind` (likewise).
-    A token overlaps one if more spans begin before its end than end before or at its start; both are running
+def _apart(df: DataFrame, tokens: str, spans: str, name: str) -> DataFrame:
+    """df with `name`: for each token (in order, none overlapping another) whether it overlaps none of the spans.  A token overlaps one if more spans begin before its end than end before or at its start; both are running
     counts over the ends of all, sorted."""
     # at equal positions: a span's end counts before a token's start, a token's end before a span's start
     def events(column, at, order, more):
         return F.transform(column, lambda x: F.struct(x[at].alias("at"), F.lit(order).alias("order"), F.lit(more).alias("more")))
 
-    both = (F.size(tokens) > 0) & (F.size(kind) > 0)
-    sorted_ = F.sort_array(F.concat(events(kind, "end", 0, 0), events(tokens, "start", 1, 0), events(tokens, "end", 2, 0), events(kind, "start", 3, 1)))
+    both = (F.size(tokens) > 0) & (F.size(spans) > 0)
+    sorted_ = F.sort_array(F.concat(events(spans, "end", 0, 0), events(tokens, "start", 1, 0), events(tokens, "end", 2, 0), events(spans, "start", 3, 1)))
     counted = df.withColumn("_events", F.when(both, sorted_).otherwise(F.array().cast("array<struct<at:int,order:int,more:int>>")))
     begun = _running(counted.withColumn("_n", F.transform("_events", lambda e: e["more"])), "_n", "_begun")
     ended = _running(begun.withColumn("_n", F.transform("_events", lambda e: (e["order"] == 0).cast("int"))), "_n", "_ended")
@@ -167,7 +185,7 @@ def _candidate(token: Column) -> Column:
 
 
 def _battery(tokens: DataFrame) -> DataFrame:
-    """tokens (m, ...): adds encoding, p (natural origin) and regular (a test rejects randomness)."""
+    """tokens (m, ...): adds encoding, p (of natural origin) and p_random (of random characters)."""
     encoding = alphabet = squared = cubed = None
     for k, (_, letters, pattern, s2, s3) in enumerate(ENCODINGS):
         fits = F.col("m").rlike(pattern)
@@ -193,7 +211,7 @@ def _battery(tokens: DataFrame) -> DataFrame:
     used = F.filter("counts", lambda v: (n < 8 * size) | (v >= n / (4 * size)))
     # of neighbouring letters; null if one is none
     places = F.transform("ranks", lambda r: F.instr(F.lit(_ALPHABET), F.lower(F.substring("alphabet", r + 1, F.lit(1)))))
-    table = F.array(*(F.lit(ord(c) - 68) for c in "".join(_PAIRS)))
+    table = F.array(*(F.lit(v) for row in _PAIRS for v in row))
     scores = F.transform(F.slice("places", 1, F.size("places") - 1), lambda a, i: F.when((a > 0) & (F.get("places", i + 1) > 0), F.get(table, (a - 1) * 26 + F.get("places", i + 1) - 1)))
     one_case = F.when(F.col("encoding").isin(*_ONE_CASE), places).otherwise(F.array().cast("array<int>"))
     step3 = step2.withColumns({"used": used, "places": one_case}).withColumn("scores", F.when(F.size("places") > 1, scores).otherwise(F.array().cast("array<int>"))).withColumns({
@@ -209,38 +227,70 @@ def _battery(tokens: DataFrame) -> DataFrame:
         "product": neighbours("ranks", lambda a, b: (a - middle) * (b - middle)),
         "square": total(F.transform("counts", lambda v, i: v * (i - middle) * (i - middle))),
     })
-    s2, s3 = F.col("s2"), F.col("s3")
-    spread = 2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2)
-    uniform = F.greatest(_normal_below((F.col("equal") - n - n * (n - 1) * s2) / F.sqrt(spread)), F.lit(1e-30))
-    changing = F.greatest(1 - _normal_below((F.col("changes") - 0.5 - (n - 1) * _CHANGE) / F.sqrt((n - 1) * _CHANGE * (1 - _CHANGE))), F.lit(1e-30))
+    # each step's columns are used several times in the next, so they are made once
+    s2, s3, pairs, q, used_n = F.col("s2"), F.col("s3"), F.col("pairs"), 1 / F.col("used_size"), F.col("used_n")
+    twos = used_n * (used_n - 1) / 2
+    step4 = step3.withColumns({
+        "natural_spread": F.sqrt(2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2)),
+        "spread": twos * q * (1 - q),
+        "third": twos * q * (1 - q) * (1 - 2 * q + 2 * (used_n - 2) * q),
+        "expected": 1 + 2 * F.col("above") * (n - F.col("above")) / n,
+    })
+    # chi-squared against even shares as the number of equal pairs, by a gamma distribution of its three moments
+    step5 = step4.withColumns({"shape": 4 * F.pow("spread", F.lit(3.0)) / (F.col("third") * F.col("third")), "variance": (F.col("expected") - 1) * (F.col("expected") - 2) / (n - 1)})
+    shape = F.col("shape")
+    gamma = 1 + ((F.col("used_equal") - used_n - 1) / 2 - twos * q) / F.sqrt("spread") / F.sqrt(shape)
+    step6 = step5.withColumns({
+        "z_equal": (F.col("equal") - n - n * (n - 1) * s2) / F.col("natural_spread"),
+        "z_changes": (F.col("changes") - 0.5 - (n - 1) * _CHANGE) / F.sqrt((n - 1) * _CHANGE * (1 - _CHANGE)),
+        "z_pairs": (F.col("pair_score") - pairs * _PAIR_MEAN) / (_PAIR_SPREAD * F.sqrt(F.greatest("pairs", F.lit(1.0)))),
+        "z_runs": -F.abs(F.col("crossings") + 1 - F.col("expected")) / F.sqrt("variance"),
+        "z_serial": -F.abs(F.col("product") / F.col("square")) * F.sqrt(n),
+        # Wilson and Hilferty
+        "z_even": (F.cbrt(F.greatest(gamma, F.lit(0.0))) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape),
+    })
+    least = F.lit(1e-30)
     # one case: letters against those of words
-    word = F.col("pairs") > 0
-    worded = F.when(word, _normal_below((F.col("pair_score") - F.col("pairs") * _PAIR_MEAN) / (_PAIR_SPREAD * F.sqrt(F.greatest("pairs", F.lit(1.0)))))).otherwise(F.lit(1.0))
-    hexed = F.pow(F.lit(_HEX_LETTERS), F.regexp_count("core", F.lit("[A-F]")).cast("double"))
-    letters_p = F.greatest(F.when(F.col("encoding") == _UPPER_HEX, hexed).otherwise(worded), F.lit(1e-30))
-    uniform = F.when(F.col("encoding").isin(_UPPER_HEX, *_ONE_CASE), letters_p).otherwise(uniform)
-    fisher = -2 * (F.log(uniform) + F.log(changing))
-    combined = F.exp(-fisher / 2) * (1 + fisher / 2)  # chi-squared with 4 degrees of freedom
-    below = n - F.col("above")
-    expected = 1 + 2 * F.col("above") * below / n
-    variance = (expected - 1) * (expected - 2) / (n - 1)
-    runs = F.when(variance > 0, F.abs(F.col("crossings") + 1 - expected) / F.sqrt(variance)).otherwise(F.lit(99.0))
-    serial = F.when(F.col("square") > 0, F.abs(F.col("product") / F.col("square")) * F.sqrt(n)).otherwise(F.lit(99.0))
-    used_n, used_size = F.col("used_n"), F.col("used_size")
-    uniform_rejected = F.when((used_size > 1) & (used_n > 0), (used_size * F.col("used_equal") / used_n - used_n - (used_size - 1)) / F.sqrt(2 * (used_size - 1))).otherwise(F.lit(99.0))
-    regular = (runs > 3.3) | (serial > 3.3) | (uniform_rejected > 6)
-    return step3.select("m", "start", "end", *[c for c in tokens.columns if c not in ("m", "start", "end")], "encoding", combined.alias("p"), regular.alias("regular"))
-
-
-def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    one_case = F.when(F.col("encoding") == _UPPER_HEX, F.pow(F.lit(_HEX_LETTERS), F.regexp_count("core", F.lit("[A-F]")).cast("double")))
+    one_case = one_case.when(F.col("encoding").isin(*_ONE_CASE), F.when(pairs > 0, _normal_below(F.col("z_pairs"))).otherwise(F.lit(1.0)))
+    step7 = step6.withColumns({
+        "p_uniform": F.greatest(one_case.otherwise(_normal_below(F.col("z_equal"))), least),
+        "p_changes": F.greatest(1 - _normal_below(F.col("z_changes")), least),
+        "p_runs": F.when(F.col("variance") > 0, F.greatest(2 * _normal_below(F.col("z_runs")), least)).otherwise(least),
+        "p_serial": F.when(F.col("square") > 0, F.greatest(2 * _normal_below(F.col("z_serial")), least)).otherwise(least),
+        "p_even": F.when((F.col("used_size") > 1) & (used_n > 2), F.greatest(_normal_below(-F.col("z_even")), least)).otherwise(least),
+    })
+    step8 = step7.withColumns({"half": -(F.log("p_uniform") + F.log("p_changes")), "half_random": -(F.log("p_runs") + F.log("p_serial") + F.log("p_even"))})
+    half, other = F.col("half"), F.col("half_random")
+    # chi-squared with 4 and with 6 degrees of freedom
+    combined, p_random = F.exp(-half) * (1 + half), F.exp(-other) * (1 + other + other * other / 2)
+    return step8.select("m", "start", "end", *[c for c in tokens.columns if c not in ("m", "start", "end")], "encoding", combined.alias("p"), p_random.alias("p_random"))
+
+
+def _bin(p: str) -> Column:
+    return F.floor(-F.log10(p) * 20).cast("int")
+
+
+def _passing(tested: DataFrame, p: str, share: float, total: int) -> Column:
+    """Whether the Benjamini-Hochberg rule rejects, by the histogram of the rows' p-values among `total` tests."""
+    bins = tested.groupBy(_bin(p).alias("bin")).count().collect()  # at most some 1800 bins
+    rank, cut = 0, None
+    for b in sorted(bins, key=lambda b: -b["bin"]):
+        rank += b["count"]
+        if 10 ** (-b["bin"] / 20) * total <= share * rank:
+            cut = b["bin"]
+    return F.lit(False) if cut is None else _bin(p) >= cut
+
+
+def find_secrets(documents: DataFrame, false_discoveries: float = 0.0001, id_col: str = "doc_id", text_col: str = "text", false_dismissals: float = 0.001) -> DataFrame:
     """doc_id and its spans: an array of (start, kind, end), in that order; kind 3 is `random`."""
     with scratch(documents.sparkSession) as keep:
-        result = written(_found(documents, false_discoveries, id_col, text_col), "secret-spans")
+        result = written(_found(documents, false_discoveries, false_dismissals, id_col, text_col), "secret-spans")
         keep(result)
     return result
 
 
-def _found(documents: DataFrame, false_discoveries: float, id_col: str, text_col: str) -> DataFrame:
+def _found(documents: DataFrame, false_discoveries: float, false_dismissals: float, id_col: str, text_col: str) -> DataFrame:
     docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     lowered = docs.withColumn("_low", F.lower("text"))
     keyed = F.lit(False)
@@ -256,23 +306,16 @@ def _found(documents: DataFrame, false_discoveries: float, id_col: str, text_col
     found = _places(found, F.col("_hexed"), _HEX, "hex")
     found = _places(found, F.col("_long"), _TOKEN, "tokens")
     base = found.withColumn("base", F.sort_array(F.concat(*(_spans(k, i) for i, k in enumerate(BASE_KINDS)))))
-    for kind in BASE_KINDS:
-        base = _apart(base, "tokens", kind, f"_apart_{kind}")
-    told = F.arrays_zip("tokens", *(f"_apart_{k}" for k in BASE_KINDS))
-    free = F.filter(told, lambda x: x["_apart_assign"] & x["_apart_access"] & x["_apart_hex"])
-    mixed = F.filter(F.transform(free, lambda x: x["tokens"]), lambda x: _candidate(x["m"]))
-    scanned = written(base.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", mixed.alias("tokens")), "secrets")
+    told = _apart(base, "tokens", "base", "_apart")
+    free = F.transform(F.filter(F.arrays_zip("tokens", "_apart"), lambda x: x["_apart"]), lambda x: x["tokens"])
+    mixed = F.filter(free, lambda x: _candidate(x["m"]))
+    scanned = written(told.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", mixed.alias("tokens")), "secrets")
     tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", F.explode(_runs(F.col("t.m"))).alias("m"), "t.start", "t.end")
     tested = written(_battery(tokens.where(_candidate(F.col("m")))), "battery")
-    # Benjamini-Hochberg over a histogram of log p-values: the largest p with p * m / rank <= q
-    bins = tested.groupBy(F.floor(-F.log10("p") * 20).cast("int").alias("bin")).count().collect()  # at most some 1300 bins
-    total, rank, cut = sum(b["count"] for b in bins), 0, None
-    for b in sorted(bins, key=lambda b: -b["bin"]):
-        rank += b["count"]
-        if 10 ** (-b["bin"] / 20) * total <= false_discoveries * rank:
-            cut = b["bin"]
-    passed = F.lit(False) if cut is None else F.floor(-F.log10("p") * 20) >= cut
-    random = tested.where(passed & ~F.col("regular")).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end")).alias("random"))
+    total = tested.count()
+    left = tested.where(~_passing(tested, "p_random", false_dismissals, total))
+    left = left.where(_passing(left, "p", false_discoveries, total))
+    random = left.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end")).alias("random"))
     every = F.sort_array(F.concat("base", F.coalesce("random", F.array().cast(_SPANS))))
     return scanned.join(random, "row", "left").select("doc_id", every.alias("spans"))
 

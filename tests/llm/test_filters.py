@@ -448,3 +448,105 @@ def test_short_items_by_their_first_words(spark, docs_of, literals):
     texts = [(1, "x alpha y beta gamma delta"), (2, "beta gamma"), (3, "delta delta delta z"), (4, "nothing here at all"), (5, None), (6, "Alpha, beta; GAMMA-delta omega psi chi phi")]
     found = {r["doc_id"]: (r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.find_contamination(docs_of(texts), items, most_literals=literals).collect()}
     assert found == {1: (4, ["a", "b"], [(1, 2), (3, 6)]), 2: (0, [], []), 3: (3, ["c"], [(0, 3)]), 4: (0, [], []), 5: (0, [], []), 6: (8, ["a", "b", "e"], [(0, 8)])}
+
+
+# -- the battery by its definition
+
+
+def plain_battery(token):
+    """(p of natural origin, p of random characters) of a token, by sums over its characters."""
+    from math import comb, erfc, exp, log, sqrt
+
+    def below(z):
+        return erfc(-z / sqrt(2)) / 2
+
+    def fisher(*ps):
+        half, total, term = -sum(log(max(p, 1e-30)) for p in ps), 0.0, 1.0
+        for k in range(len(ps)):
+            total, term = total + term, term * half / (k + 1)
+        return exp(-half) * total
+
+    core = token.rstrip("=") if re.search("[^=].{14,}[^=]=*$", token) else token
+    name, letters, _, s2, s3 = next(e for e in secrets.ENCODINGS if re.match(e[2], token))
+    n, counts, ranks = len(core), Counter(core), [letters.index(c) for c in core]
+    if name == "HEX":
+        natural = 0.32 ** sum(c in "ABCDEF" for c in core)
+    elif name in ("base32", "base36"):
+        scores = [secrets._PAIRS[ord(a) - 97][ord(b) - 97] / 4 for a, b in zip(core.lower(), core.lower()[1:]) if a.isalpha() and b.isalpha()]
+        natural = below((sum(scores) - 0.95 * len(scores)) / (1.7 * sqrt(len(scores)))) if scores else 1.0
+    else:
+        spread = 2 * n * (n - 1) * (s2 - s2**2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2**2)
+        natural = below((sum(v * (v - 1) for v in counts.values()) - n * (n - 1) * s2) / sqrt(spread))
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in core]
+    changed = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    changes = 1 - below((changed - 0.5 - 0.15 * (n - 1)) / sqrt((n - 1) * 0.15 * 0.85))
+    middle = (len(letters) - 1) / 2
+    high = [r > middle for r in ranks]
+    expected = 1 + 2 * sum(high) * (n - sum(high)) / n
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    runs = 2 * below(-abs(1 + sum(a != b for a, b in zip(high, high[1:])) - expected) / sqrt(variance)) if variance > 0 else 0
+    square = sum((r - middle) ** 2 for r in ranks)
+    serial = 2 * below(-abs(sum((a - middle) * (b - middle) for a, b in zip(ranks, ranks[1:])) / square) * sqrt(n))
+    used = [counts[c] for c in letters if n < 8 * len(letters) or counts[c] >= n / (4 * len(letters))]
+    m, q = sum(used), 1 / len(used)
+    mean, spread, third = comb(m, 2) * q, comb(m, 2) * q * (1 - q), comb(m, 2) * q * (1 - q) * (1 - 2 * q) + 6 * comb(m, 3) * q * q * (1 - q)
+    shape = 4 * spread**3 / third**2
+    x = shape + (sum(v * (v - 1) / 2 for v in used) - 0.5 - mean) / sqrt(spread) * sqrt(shape)
+    even = below(-((max(x, 0) / shape) ** (1 / 3) - 1 + 1 / (9 * shape)) * 3 * sqrt(shape))
+    return fisher(natural, changes), fisher(runs, serial, even)
+
+
+def plain_rejected(ps, share, total):
+    """Benjamini-Hochberg: the largest p-value that is rejected."""
+    return max((p for k, p in enumerate(sorted(ps), 1) if p * total <= share * k), default=-1.0)
+
+
+def test_battery_against_plain_version(spark):
+    """2000 tokens: random ones of each encoding, words, and orderly sequences."""
+    import random
+    import string
+    from math import log10
+
+    rng = random.Random(12)
+    words = "user account number service default retries maximum connection timeout python library version request header parser".split()
+    alphabets = ("0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+    tokens = {"".join(rng.choices(a, k=rng.randrange(20, 70))) for a in alphabets for _ in range(200)}
+    while len(tokens) < 1800:
+        w = rng.choices(words, k=5)
+        tokens.add(rng.choice(("_".join(w).upper(), "".join(x.title() for x in w), "-".join(w), "/".join(w))) + str(rng.randrange(100)))
+    while len(tokens) < 2000:
+        start, step = rng.randrange(62), rng.choice((1, 2, 3, 61))
+        tokens.add("".join(alphabets[3][(start + step * k) % 62] for k in range(rng.randrange(24, 60))))
+    tokens = sorted(t for t in tokens if not re.search("[0-9a-f]{16}|AKIA", t))
+    rows = list(enumerate(tokens))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["p"], r["p_random"]) for r in secrets._battery(frame.select("doc_id", F.col("text").alias("m"), F.lit(0).alias("start"), F.length("text").alias("end"))).collect()}
+    want = {k: plain_battery(t) for k, t in rows}
+    for k, t in rows:
+        for a, b in zip(got[k], want[k]):
+            assert abs(log10(a) - log10(b)) < 0.02 or max(a, b) < 1e-12, (t, a, b)
+    judged = [k for k, t in rows if not re.fullmatch("[a-z]+|[A-Z]+|[0-9]+", t) and re.search("[0-9A-Z]", t)]
+    dismissed = plain_rejected([want[k][1] for k in judged], 0.001, len(judged))
+    left = [k for k in judged if want[k][1] > dismissed]
+    found = plain_rejected([want[k][0] for k in left], 0.0001, len(judged))
+    hits = {r["doc_id"] for r in secrets.find_secrets(frame).where(F.size("spans") > 0).collect()}
+    # tokens at the cuts may fall on either side, as ranks are counted in twentieths of a decade
+    sure = {k for k in judged if all(abs(log10(max(p, 1e-99)) - log10(cut)) > 0.2 for p, cut in zip(want[k], (found, dismissed)) if cut > 0)}
+    assert len(sure) > 0.9 * len(judged) and 600 < len(hits) < 1300
+    assert hits & sure == {k for k in left if want[k][0] <= found} & sure
+
+
+def test_letter_pairs_against_a_count():
+    """The table of letter pairs agrees with a count over the program text of the standard library."""
+    import sysconfig
+    from pathlib import Path
+
+    import numpy as np
+
+    counts = np.full((26, 26), 0.5)
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        codes = np.frombuffer(path.read_bytes().lower(), np.uint8).astype(int) - 97
+        both = ((codes >= 0) & (codes < 26))[:-1] & ((codes >= 0) & (codes < 26))[1:]
+        np.add.at(counts, (codes[:-1][both], codes[1:][both]), 1)
+    table = np.array(secrets._PAIRS)
+    assert table.shape == (26, 26) and np.corrcoef(np.log2(counts / counts.sum()).ravel(), table.ravel())[0, 1] > 0.65
