@@ -81,12 +81,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    """The counts, references and distances in long form: a row for each bin of a document."""
-    listed = ",\n  ".join(f"('{lang}', {k}, '{w}')" for lang, words in quality.COMMON.items() for k, w in enumerate(words))
-    other = len(next(iter(quality.COMMON.values())))
+    """The words of the clean set, counts, references and distances in long form: a row for each bin of a document."""
+    between = quality.BETWEEN.replace("'", "''")
     return rf"""
-WITH common AS (SELECT * FROM (VALUES {listed}) v(lang, bin, word)),
-d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 c AS (SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) AS BIGINT) AS chars,
@@ -95,14 +93,17 @@ c AS (SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array
 spots AS (SELECT doc_id, ws, unnest(range(len(ws) - 2)) AS i FROM w WHERE len(ws) > 2),
 tri AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, ws[i + 1], ws[i + 2], ws[i + 3]) AS k FROM spots),
 rep AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM tri WHERE k > 1) x GROUP BY doc_id),
-words AS (SELECT doc_id, lang, lower(unnest(ws)) AS word FROM w),
+clean AS (SELECT doc_id FROM labels WHERE quality = 1),
+words AS (SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(t), '{between}')) AS word FROM d) x WHERE word <> ''),
+plain AS (SELECT doc_id, COUNT(*) AS n_plain FROM words GROUP BY doc_id),
+often AS (SELECT lang, word, COUNT(*) AS n FROM words WHERE doc_id IN (SELECT doc_id FROM clean) GROUP BY ALL),
+common AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS bin FROM often QUALIFY bin <= 24),
 hits AS (SELECT s.doc_id, s.lang, m.bin, COUNT(*) AS v FROM words s JOIN common m ON m.lang = s.lang AND m.word = s.word GROUP BY ALL),
 bins AS (SELECT doc_id, lang, 'w' AS kind, bin, v FROM hits
-  UNION ALL SELECT c.doc_id, c.lang, 'w', {other}, n_words - coalesce((SELECT SUM(v) FROM hits h WHERE h.doc_id = c.doc_id), 0) FROM c WHERE lang IN (SELECT lang FROM common)
+  UNION ALL SELECT c.doc_id, c.lang, 'w', 0, coalesce((SELECT n_plain FROM plain p WHERE p.doc_id = c.doc_id), 0) - coalesce((SELECT SUM(v) FROM hits h WHERE h.doc_id = c.doc_id), 0) FROM c WHERE lang IN (SELECT lang FROM common)
   UNION ALL SELECT doc_id, lang, 'c', 0, word_chars - n_symbols - upper - digits - marks FROM c UNION ALL SELECT doc_id, lang, 'c', 1, upper FROM c
   UNION ALL SELECT doc_id, lang, 'c', 2, digits FROM c UNION ALL SELECT doc_id, lang, 'c', 3, marks FROM c
   UNION ALL SELECT doc_id, lang, 'c', 4, n_symbols FROM c UNION ALL SELECT doc_id, lang, 'c', 5, chars - word_chars FROM c),
-clean AS (SELECT doc_id FROM labels WHERE quality = 1),
 refs AS (SELECT lang, kind, bin, SUM(CASE WHEN doc_id IN (SELECT doc_id FROM clean) THEN v ELSE 0 END) AS v FROM bins
   WHERE lang IN (SELECT lang FROM d WHERE doc_id IN (SELECT doc_id FROM clean)) GROUP BY ALL),
 shares AS (SELECT lang, kind, bin, CAST(v AS DOUBLE) / SUM(v) OVER (PARTITION BY lang, kind) AS q FROM refs),
@@ -110,12 +111,13 @@ own AS (SELECT doc_id, lang, kind, bin, CAST(v AS DOUBLE) / SUM(v) OVER (PARTITI
 ids AS (SELECT DISTINCT doc_id, lang, kind FROM own),
 met AS (SELECT i.doc_id, i.kind, coalesce(o.p, 0) AS p, s.q FROM ids i JOIN shares s ON s.lang = i.lang AND s.kind = i.kind
   LEFT JOIN own o ON o.doc_id = i.doc_id AND o.kind = i.kind AND o.bin = s.bin),
+degrees AS (SELECT lang, COUNT(*) AS k FROM common GROUP BY lang),
 js AS (SELECT doc_id, kind, sqrt(greatest(0, SUM(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS dist FROM met GROUP BY ALL),
-f AS (SELECT c.*, coalesce(rep.n, 0) AS n_repeat_words, CASE WHEN chars >= 200 THEN a.dist END AS class_distance, CASE WHEN n_words >= 100 THEN b.dist END AS word_distance
-  FROM c LEFT JOIN rep ON rep.doc_id = c.doc_id LEFT JOIN js a ON a.doc_id = c.doc_id AND a.kind = 'c' LEFT JOIN js b ON b.doc_id = c.doc_id AND b.kind = 'w'),
+f AS (SELECT c.*, coalesce(rep.n, 0) AS n_repeat_words, CASE WHEN chars >= 200 THEN a.dist END AS class_distance, CASE WHEN n_plain >= 100 THEN b.dist END AS word_distance, k, n_plain
+  FROM c LEFT JOIN degrees USING (lang) LEFT JOIN plain ON plain.doc_id = c.doc_id LEFT JOIN rep ON rep.doc_id = c.doc_id LEFT JOIN js a ON a.doc_id = c.doc_id AND a.kind = 'c' LEFT JOIN js b ON b.doc_id = c.doc_id AND b.kind = 'w'),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.22 + 0.6 / sqrt(greatest(chars, 1)) OR coalesce(word_distance, 0) > 0.2 + 0.5 / sqrt(greatest(n_words, 1))) AS kept,
+  NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.22 + 0.6 / sqrt(greatest(chars, 1)) OR coalesce(word_distance * word_distance > 0.2 * 0.2 + (k + 2 * sqrt(2 * k)) / (8 * ln(2) * greatest(n_plain, 1)), false)) AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM g
 """
 

@@ -305,10 +305,53 @@ def test_quality_references(spark):
     got = {r["doc_id"]: r for r in quality.judge(docs, clean).collect()}
     assert len(got) == len(rows) and all(got[i]["kept"] for i in range(100, 105)) and not any(got[i]["kept"] for i in range(30))
     assert got[200]["kept"] and got[200]["class_distance"] is None
-    refs = quality.references(quality.features(docs.where("doc_id in (100, 101)")))
+    good = docs.where("doc_id in (100, 101)")
+    common = quality.common_words(good)
+    refs = quality.references(quality.features(good, common), common)
     assert {r["doc_id"]: tuple(r) for r in quality.judge(docs, refs=refs).collect()} == {i: tuple(r) for i, r in got.items()}
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_quality_common_words(spark, monkeypatch, most):
+    """Words of every language of the clean set, null included, without case and marks; counts of each in its slot."""
+    monkeypatch.setattr(quality, "MOST_LISTED", most)
+    rows = [(1, "The the, (the) a a B! -- ...", "en"), (2, "der der die", "de"), (3, "x x y", None), (4, None, "fr"), (5, "z", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = quality.common_words(docs, n_common=3)
+    assert {(r["ref_lang"], r["ref_null"]): r["ref_words"] for r in common.collect()} == {("en", False): ["the", "a", "--"], ("de", False): ["der", "die"], ("", True): ["x", "y"], ("", False): ["z"]}
+    more = spark.createDataFrame([(1, "a THE b the c", "en"), (2, "", "de"), (3, "y y q", None), (4, "the", "fr"), (5, "z z", "")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["bins"] for r in quality.features(more, common).collect()} == {1: [2, 2, 1, 0], 2: [0, 0, 0], 3: [1, 0, 2], 4: None, 5: [0, 2]}
+    assert quality.common_words(docs.limit(0)).count() == 0
+
+
+def test_quality_divergence_of_words(spark, sf):
+    """Distances of whole texts from the learned words equal a plain version's."""
+    from math import log2, sqrt
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+
+    def words(text):
+        return re.findall(r"[^\x20\x09-\x0D.,;:!?\"'()\[\]{}]+", (text or "").lower())
+
+    counts = {}
+    for i, text, lang in docs:
+        if i in clean:
+            counts.setdefault(lang, Counter()).update(words(text))
+    want = {}
+    for i, text, lang in docs:
+        own = words(text)
+        if lang in counts and len(own) >= 100:
+            often = sorted(counts[lang], key=lambda w: (-counts[lang][w], w.encode()))[:24]
+            bins = [[c[w] for w in often] for c in (Counter(own), counts[lang])]
+            p, q = ([*b, sum(c.values()) - sum(b)] for b, c in zip(bins, (Counter(own), counts[lang])))
+            p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+            want[i] = sqrt(sum(a * log2(2 * a / (a + b)) for x, y in zip(p, q) for a, b in ((x, y), (y, x)) if a) / 2)
+    table = spark.createDataFrame([(i,) for i in clean], "doc_id long")
+    got = {r["doc_id"]: r["word_distance"] for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), table).where("word_distance is not null").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_jensen_shannon(spark):
     from math import log2, sqrt
 
